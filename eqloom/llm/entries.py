@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqloom.llm import ann, langid, minhash, packing, quality, toxicity
-from eqloom.llm.common import crc_fold
+from eqloom.llm import ann, decontam, langid, minhash, packing, quality, toxicity, warc
+from eqloom.llm.common import crc_fold, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,20 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op9_ann)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payload and digested anew; revisits by their headers."""
+    path = f"{shared_dir(spark)}/eqloom/warc-{uuid.uuid4().hex}"
+    warc.archive(_table(spark, sf_dir, "pages"), path)
+    full = warc.read(spark, path).where("record_type = 'response'").withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
+    heads = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    return full.unionByName(heads).select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op7_warc, op9_ann, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_minhash": r"""
@@ -71,4 +85,11 @@ b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, z) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, r.z FROM r JOIN b ON b.x = r.doc_id),
 m AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY 1)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m USING (doc_id)""",
+    "op7_warc": r"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM m""",
 }
