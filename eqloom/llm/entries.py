@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqloom.llm import ann, decontam, langid, minhash, packing, quality, toxicity, warc
+from eqloom.llm import ann, decontam, langid, line_dedup, minhash, packing, quality, toxicity, warc
 from eqloom.llm.common import crc_fold, shared_dir
 
 
@@ -66,7 +66,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op7_warc, op9_ann, op10_decontamination)}
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op6_lines, op7_warc, op9_ann, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_minhash": r"""
@@ -92,4 +97,18 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
 FROM m""",
+    "op6_lines": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS raw FROM d),
+t AS (SELECT doc_id, line, raw, lower(regexp_replace(raw, '^[ \t\n\r\v\f]+|[ \t\n\r\v\f]+$', '', 'g')) AS norm FROM l),
+f AS (SELECT norm, min((doc_id, line)) AS pos FROM t WHERE length(norm) >= 24 GROUP BY norm),
+v AS (SELECT norm, pos, norm AS v FROM f UNION ALL
+  SELECT norm, pos, substr(norm, 1, i - 1) || substr(norm, i + 1) FROM (SELECT norm, pos, unnest(range(1, length(norm) + 1)) AS i FROM f)),
+k AS (SELECT norm, pos, hash(v) AS v FROM v),
+n AS (SELECT DISTINCT a.norm FROM k a JOIN k b ON a.v = b.v AND b.pos < a.pos AND levenshtein(a.norm, b.norm) <= 1),
+g AS (SELECT t.*, n.norm IS NOT NULL OR (f.norm IS NOT NULL AND (t.doc_id, t.line) > f.pos) AS gone
+  FROM t LEFT JOIN f ON t.norm = f.norm LEFT JOIN n ON t.norm = n.norm)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(d.ls) END AS BIGINT) AS n_lines, CAST(count(*) FILTER (g.gone) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(string_agg(g.raw, chr(10) ORDER BY g.line) FILTER (NOT g.gone), '')) END AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id, d.text, d.ls""",
 }
