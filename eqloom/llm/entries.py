@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eqloom.llm import ann, decontam, langid, line_dedup, minhash, packing, quality, toxicity, warc
+from eqloom.llm import ann, decontam, langid, line_dedup, minhash, packing, quality, substring, toxicity, warc
 from eqloom.llm.common import crc_fold, shared_dir
 
 
@@ -71,7 +71,12 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op6_lines, op7_warc, op9_ann, op10_decontamination)}
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_passages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_language, op4_packing, op5_quality, op6_lines, op7_warc, op8_passages, op9_ann, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_minhash": r"""
@@ -111,4 +116,16 @@ g AS (SELECT t.*, n.norm IS NOT NULL OR (f.norm IS NOT NULL AND (t.doc_id, t.lin
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(d.ls) END AS BIGINT) AS n_lines, CAST(count(*) FILTER (g.gone) AS BIGINT) AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(string_agg(g.raw, chr(10) ORDER BY g.line) FILTER (NOT g.gone), '')) END AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id, d.text, d.ls""",
+    "op8_passages": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
+  FROM documents),
+n AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS g FROM n),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS o FROM k) WHERE o > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r),
+e AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+x AS (SELECT e.doc_id, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (c.i IS NULL), '') AS kept FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN x ON x.doc_id = w.doc_id""",
 }
