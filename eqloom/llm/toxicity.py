@@ -110,24 +110,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     return Weights(bits, at, w[at], bias + float(np.log(share[0] / share[1])))
 
 
+def _probability(model: Weights):
+    dense = np.zeros(1 << model.bits, np.float32)
+    dense[model.at] = model.w
+
+    def run(texts: pa.Array) -> np.ndarray:
+        n = len(texts)
+        off, words = split_words(texts)
+        h = _hashes(words)
+        doc = np.repeat(np.arange(n), np.diff(off))
+        hit = []
+        for span, x in features(h, model.bits):
+            at = np.nonzero(dense[x])[0]
+            at = at[doc[at] == doc[at + span - 1]]
+            hit.append(doc[at] * (1 << model.bits) + x[at])
+        key = np.unique(np.concatenate(hit))
+        s = np.bincount(key >> model.bits, weights=dense[key & ((1 << model.bits) - 1)], minlength=n) + model.bias
+        return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+
+    return run
+
+
 def _score(model: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << model.bits, np.float32)
-        dense[model.at] = model.w
+        probability = _probability(model)
         for b in batches:
             texts = plain(b.column("text"))
             for lo, hi in text_slices(texts):
-                off, words = split_words(texts.slice(lo, hi - lo))
-                h = _hashes(words)
-                doc = np.repeat(np.arange(hi - lo), np.diff(off))
-                hit = []
-                for span, x in features(h, model.bits):
-                    at = np.nonzero(dense[x])[0]
-                    at = at[doc[at] == doc[at + span - 1]]
-                    hit.append(doc[at] * (1 << model.bits) + x[at])
-                key = np.unique(np.concatenate(hit))
-                s = np.bincount(key >> model.bits, weights=dense[key & ((1 << model.bits) - 1)], minlength=hi - lo) + model.bias
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(probability(texts.slice(lo, hi - lo)))], ["id", "score"])
 
     return run
 
@@ -141,3 +151,17 @@ def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(_score(model), "id long, score double").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: Weights, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under `least`, all columns unchanged."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probability = _probability(model)
+        for b in batches:
+            texts = plain(b.column(place))
+            for lo, hi in text_slices(texts):
+                yield b.slice(lo, hi - lo).filter(pa.array(probability(texts.slice(lo, hi - lo)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
