@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 
 
@@ -61,6 +61,21 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         hi = max(lo + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield lo, hi
         base, lo = int(size[hi - 1]), hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so idle workers of an executor hold little."""
+    state = kept_state()
+    if "trim" not in state:
+        import ctypes
+
+        try:
+            state["trim"] = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            state["trim"] = int
+    pa.default_memory_pool().release_unused()
+    state["trim"](0)
 
 
 def plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from eqloom.llm.common import dictionary, kept_state, materialize, plain, split_words, text_slices
 
 CAPACITY, END_ID, PIECE = 4096, 2, 1024
-GROUP_WINDOWS, GROUP_PIECES, CACHE = 256, 8192, 400_000
+GROUP_WINDOWS, GROUP_PIECES, CACHE = 256, 8192, 250_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices, unit_hash
 
-BITS, PER_CLASS, EPOCHS = 20, 4000, 6
+BITS, PER_CLASS, EPOCHS = 20, 2500, 6
 EDGE = b".,;:!?\"'()[]{}<>|*#%&$-_~`"
 
 
