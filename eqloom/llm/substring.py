@@ -13,7 +13,7 @@ windows are matched by anchors instead:
 2. A bitmap of fixed size of the anchors that occur twice lets a second pass emit only the
    segments (runs of windows with one anchor) that can repeat; a full bitmap only costs rows.
 3. Equal segments: all but the earliest are covered.  Where an anchor has different
-   segments, their earliest copies are compared window by window.
+   segments, a third pass emits the windows of their earliest copies, and those join by hash.
 All groups are settled by map-side minima, so a passage in a third of all documents is one
 row a task.
 """
@@ -69,22 +69,41 @@ def _anchors(window: int, gram: int):
     return run
 
 
+def _has(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
+    x = (key.astype(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return ((bitmap[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _segments(bitmap: np.ndarray, bits: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = plain(b.column("text"))
             for lo, hi in text_slices(texts):
                 off, words = split_words(texts.slice(lo, hi - lo))
-                d, first, size, anchor, seg, win = segments(word_hashes(words), off, window, gram)
-                x = (anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
-                hit = ((bitmap[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
-                d, first, size, anchor, seg = d[hit], first[hit], size[hit], anchor[hit], seg[hit]
+                d, first, size, anchor, seg, _ = segments(word_hashes(words), off, window, gram)
+                hit = _has(bitmap, bits, anchor)
+                d, first = d[hit], first[hit]
+                row = pa.array(d + lo)
+                yield pa.RecordBatch.from_arrays([as_long(anchor[hit]), as_long(seg[hit]), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int32()), pa.array(size[hit], pa.int32())], ["anchor", "seg", "id", "fp", "start", "size"])
+
+    return run
+
+
+def _windows(bitmap: np.ndarray, bits: int, window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids = plain(b.column("text")), pc.fill_null(b.column("id"), 0).to_numpy()
+            for lo, hi in text_slices(texts):
+                off, words = split_words(texts.slice(lo, hi - lo))
+                d, first, size, _, seg, win = segments(word_hashes(words), off, window, gram)
+                hit = _has(bitmap, bits, seg.view(np.int64) ^ ids[lo + d] ^ ((first - off[d]) << 7))
+                d, first, size, seg = d[hit], first[hit], size[hit], seg[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 flat = win[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
                 row = pa.array(d + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(anchor), as_long(seg), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), as_long(flat))],
-                    ["anchor", "seg", "id", "fp", "start", "wins"],
+                    [as_long(seg), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), as_long(flat))],
+                    ["seg", "id", "fp", "start", "wins"],
                 )
 
     return run
@@ -92,7 +111,7 @@ def _segments(bitmap: np.ndarray, bits: int, window: int, gram: int):
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """A bit for the low bits of each hash: 2 ** bits bits, whatever the number of hashes."""
-    n = F.pmod(F.col("anchor"), F.lit(1 << bits)) + 1
+    n = F.pmod(F.col("key"), F.lit(1 << bits)) + 1
     out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
     for r in hashes.select(n.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m")).collect():
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
@@ -102,18 +121,20 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def repeated_spans(src: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """(id, fp, spans) of each row (id, fp, text) with words to remove; a span is [from, to) in words."""
     counts = src.select("text").mapInArrow(_anchors(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = _bitmap(counts.select("anchor"), bits)
-    rows = materialize(src.mapInArrow(_segments(bitmap, bits, window, gram), "anchor long, seg long, id long, fp long, start long, wins array<long>"), "segments")
+    bitmap = _bitmap(counts.select(F.col("anchor").alias("key")), bits)
+    rows = materialize(src.mapInArrow(_segments(bitmap, bits, window, gram), "anchor long, seg long, id long, fp long, start int, size int"), "segments")
     pos = F.struct("id", "start", "fp")
     first = materialize(rows.groupBy("anchor", "seg").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")), "first")
-    mixed = first.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a <> b").select("anchor", F.lit(True).alias("mixed"))
-    known = first.join(mixed, "anchor", "left").where("n > 1 or mixed")
-    met = materialize(rows.join(known, ["anchor", "seg"]).select("id", "fp", "start", "wins", "mixed", (pos == F.col("first")).alias("is_first")).where("mixed or not is_first"), "met")
-    later = met.where("not is_first").select("id", "fp", "start", (F.col("start") + F.size("wins") + window - 1).alias("end"))
-    each = met.where("is_first and mixed").select("id", "fp", F.col("start").alias("s"), F.posexplode("wins").alias("o", "win")).select("id", (F.col("s") + F.col("o")).alias("start"), "fp", "win").distinct()
-    least = each.groupBy("win").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = rows.drop("anchor").join(first.where("n > 1").select("seg", "first"), "seg").where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + F.col("size") + window - 1).alias("end"))
+    mixed = first.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a <> b").select("anchor")
+    need = materialize(first.join(mixed, "anchor").select("seg", "first.*"), "mixed")
+    key = F.col("seg").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 7))
+    found = src.mapInArrow(_windows(_bitmap(need.select(key.alias("key")), bits), bits, window, gram), "seg long, id long, fp long, start int, wins array<long>")
+    # a chance hit of the bitmap is another true segment, so it may take part
+    each = materialize(found.select("id", F.posexplode("wins").alias("o", "win"), "fp", "start").select("id", (F.col("start") + F.col("o")).alias("start"), "fp", "win"), "windows")
+    least = each.groupBy("win").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).where("first <> last").drop("last")
     single = each.join(least, "win").where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + window).alias("end"))
-    return later.unionByName(single).distinct().groupBy("id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return later.unionByName(single).groupBy("id", "fp").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
