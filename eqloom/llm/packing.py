@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import dictionary, kept_state, materialize, plain, split_words, text_slices
+from eqloom.llm.common import kept_state, materialize, plain, split_words, text_slices
 
 CAPACITY, END_ID, PIECE = 4096, 2, 1024
 GROUP_WINDOWS, GROUP_PIECES, CACHE = 256, 8192, 250_000
@@ -70,24 +71,73 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _encoder(path: str):
-    """Words to ids by the tokenizer, with a bounded cache a worker keeps between tasks."""
+    """Words to ids by the tokenizer, with a bounded cache a worker keeps between tasks.
+
+    White space always parts tokens, and so does a run of stops after a letter or digit;
+    case is folded by the tokenizer.  So ids are looked up for lower-cased stems and for
+    their stops.  Stems of letters alone are one pre-token each: many of them are encoded
+    in one text and told apart by the tokens that end a word.
+    """
     state = kept_state()
     if ("tokenizer", path) not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        state["tokenizer", path] = (Tokenizer.from_file(path), {})
-    tok, cache = state["tokenizer", path]
-
-    def ids_of(words: list[bytes]) -> list[bytes]:
+        tok = Tokenizer.from_file(path)
+        vocab = tok.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        state["tokenizer", path] = (tok, ends, {})
+    tok, ends, cache = state["tokenizer", path]
+
+    def alone(words: list[str]) -> None:
+        for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False)):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(words: list[str]) -> None:
+        if len(cache) + len(words) > CACHE:
+            cache.clear()
+        letters = [w for w in words if w.isalpha()]
+        alone([w for w in words if not w.isalpha()])
+        for lo in range(0, len(letters), 64):
+            part = letters[lo : lo + 64]
+            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(ends[ids])[0] + 1
+            if len(at) != len(part) or at[-1] != len(ids):
+                alone(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, z in zip(part, (at * 4).tolist()):
+                cache[w] = raw[a:z]
+                a = z
+
+    def lookup(words: list[str]) -> list[bytes]:
         miss = [w for w in words if w not in cache]
-        if miss:
-            if len(cache) + len(miss) > CACHE:
-                cache.clear()
-                miss = words
-            for w, e in zip(miss, tok.encode_batch_fast([m.decode() for m in miss], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [cache[w] for w in words]
+        if len(cache) + len(miss) > CACHE:
+            cache.clear()
+            miss = words
+        for lo in range(0, len(miss), CACHE):
+            learn(miss[lo : lo + CACHE])
+        return [cache[w] if w in cache else learn([w]) or cache[w] for w in words]
+
+    def ids_of(words: pa.Array) -> list[bytes]:
+        stem = pc.utf8_rtrim(words, characters=".,;:!?")
+        parted = pc.match_substring_regex(stem, r"[\pL\pN]$")
+        stem = pc.if_else(parted, stem, words)
+        stem = pc.if_else(pc.match_substring(stem, "\u0130"), stem, pc.utf8_lower(stem))
+        enc = stem.dictionary_encode()
+        pool = lookup(enc.dictionary.to_pylist())
+        size = pc.subtract(pc.utf8_length(words), pc.utf8_length(pc.utf8_rtrim(words, characters=".,;:!?")))
+        more = pc.and_(parted, pc.greater(size, 0)).to_numpy(zero_copy_only=False)
+        out = [pool[i] for i in enc.indices.to_numpy().tolist()]
+        at = np.nonzero(more)[0]
+        if len(at):
+            n = size.to_numpy(zero_copy_only=False)[at].tolist()
+            stops = [w[-k:] for w, k in zip(words.take(pa.array(at)).to_pylist(), n)]
+            known = dict(zip(dict.fromkeys(stops), lookup(list(dict.fromkeys(stops)))))
+            for i, t in zip(at.tolist(), stops):
+                out[i] += known[t]
+        return out
 
     return ids_of
 
@@ -97,10 +147,10 @@ def _pieces(path: str, capacity: int, piece: int, end_id: int, with_ids: bool):
         ids_of = _encoder(path)
         for b in batches:
             texts, key = plain(b.column("text")), b.column("id").to_pylist()
-            for lo, hi in text_slices(texts):
+            for lo, hi in text_slices(texts, 2 << 20):
                 off, words = split_words(texts.slice(lo, hi - lo))
-                idx, uniq = dictionary(words)
-                pool = ids_of(uniq)
+                enc = words.dictionary_encode()
+                idx, pool = enc.indices.to_numpy(zero_copy_only=False), ids_of(enc.dictionary)
                 size = np.array([len(p) // 4 for p in pool], np.int64)
                 at, n = np.concatenate([[0], np.cumsum(size)])[:-1][idx] if len(idx) else np.zeros(0, np.int64), size[idx] if len(idx) else np.zeros(0, np.int64)
                 end = np.concatenate([[0], np.cumsum(n)])
