@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from eqloom.llm.common import kept_state, materialize, plain, split_words, text_slices
 
 CAPACITY, END_ID, PIECE = 4096, 2, 1024
-GROUP_WINDOWS, GROUP_PIECES, CACHE = 256, 8192, 250_000
+GROUP_WINDOWS, GROUP_PIECES, CACHE = 128, 8192, 250_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -112,32 +112,27 @@ def _encoder(path: str):
                 a = z
 
     def lookup(words: list[str]) -> list[bytes]:
-        miss = [w for w in words if w not in cache]
-        if len(cache) + len(miss) > CACHE:
-            cache.clear()
-            miss = words
-        for lo in range(0, len(miss), CACHE):
-            learn(miss[lo : lo + CACHE])
-        return [cache[w] if w in cache else learn([w]) or cache[w] for w in words]
+        out = [cache.get(w) for w in words]
+        at = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(at), CACHE):
+            part = at[lo : lo + CACHE]
+            learn([words[i] for i in part])
+            for i in part:
+                out[i] = cache[words[i]]
+        return out
 
-    def ids_of(words: pa.Array) -> list[bytes]:
+    def ids_of(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Id strings, and for each word the two of them (stem, stops) that make it up."""
         stem = pc.utf8_rtrim(words, characters=".,;:!?")
-        parted = pc.match_substring_regex(stem, r"[\pL\pN]$")
+        parted = pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.not_equal(stem, words))
         stem = pc.if_else(parted, stem, words)
-        stem = pc.if_else(pc.match_substring(stem, "\u0130"), stem, pc.utf8_lower(stem))
-        enc = stem.dictionary_encode()
-        pool = lookup(enc.dictionary.to_pylist())
-        size = pc.subtract(pc.utf8_length(words), pc.utf8_length(pc.utf8_rtrim(words, characters=".,;:!?")))
-        more = pc.and_(parted, pc.greater(size, 0)).to_numpy(zero_copy_only=False)
-        out = [pool[i] for i in enc.indices.to_numpy().tolist()]
-        at = np.nonzero(more)[0]
-        if len(at):
-            n = size.to_numpy(zero_copy_only=False)[at].tolist()
-            stops = [w[-k:] for w, k in zip(words.take(pa.array(at)).to_pylist(), n)]
-            known = dict(zip(dict.fromkeys(stops), lookup(list(dict.fromkeys(stops)))))
-            for i, t in zip(at.tolist(), stops):
-                out[i] += known[t]
-        return out
+        stem = pc.if_else(pc.match_substring(stem, "\u0130"), stem, pc.utf8_lower(stem)).dictionary_encode()
+        stops = pc.replace_substring_regex(words.filter(parted), r"^.*[\pL\pN]", "").dictionary_encode()
+        at = np.nonzero(parted.to_numpy(zero_copy_only=False))[0]
+        pool = lookup(stem.dictionary.to_pylist())
+        unit = np.column_stack([stem.indices.to_numpy().astype(np.int64), np.full(len(words), len(pool), np.int64)])
+        unit[at, 1] += 1 + stops.indices.to_numpy()
+        return [*pool, b"", *lookup(stops.dictionary.to_pylist())], unit
 
     return ids_of
 
@@ -150,12 +145,13 @@ def _pieces(path: str, capacity: int, piece: int, end_id: int, with_ids: bool):
             for lo, hi in text_slices(texts, 2 << 20):
                 off, words = split_words(texts.slice(lo, hi - lo))
                 enc = words.dictionary_encode()
-                idx, pool = enc.indices.to_numpy(zero_copy_only=False), ids_of(enc.dictionary)
+                pool, unit = ids_of(enc.dictionary)
+                unit = unit[enc.indices.to_numpy(zero_copy_only=False)].ravel()
                 size = np.array([len(p) // 4 for p in pool], np.int64)
-                at, n = np.concatenate([[0], np.cumsum(size)])[:-1][idx] if len(idx) else np.zeros(0, np.int64), size[idx] if len(idx) else np.zeros(0, np.int64)
+                at, n = (np.cumsum(size) - size)[unit], size[unit]
                 end = np.concatenate([[0], np.cumsum(n)])
-                flat = np.frombuffer(b"".join(pool), "<u4")
-                tokens = flat[np.repeat(at - end[:-1], n) + np.arange(end[-1])] if len(idx) else np.zeros(0, "<u4")
+                tokens = np.frombuffer(b"".join(pool), "<u4")[np.repeat(at - end[:-1], n) + np.arange(end[-1])]
+                off = 2 * off
                 rows: list[list] = [[], [], [], [], [], []]
                 for d in range(hi - lo):
                     t = np.append(tokens[end[off[d]] : end[off[d + 1]]], np.array([end_id], "<u4")).astype("<u4")
