@@ -4,7 +4,8 @@ Inner products become distances on the unit sphere (one more coordinate fills ea
 up to the largest norm).  Every vector is projected on m random lines; each block of vectors
 keeps one sorted array a line.  A query opens a window round its own projection on each line
 and widens all of them together (virtual rehashing: the windows of a radius contain those
-of the radii before).  A vector met in at least `share` of the windows is verified by its
+of the radii before), by whole sixteenths of the sorted array, so that the collisions of many
+queries are counted by one matrix product.  A vector met in at least `share` of the windows is verified by its
 true inner product, and the widening ends when enough vectors of the block have been
 verified.  Vectors and queries meet in a grid of blocks of bounded size; each cell gives its
 best k, and a ranking over cells gives the answer.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import materialize
 
-LINES, SHARE, BETA, BLOCK, QUERY_BLOCK = 64, 0.6, 0.45, 8192, 2048
+LINES, SHARE, BETA, BINS, BLOCK, QUERY_BLOCK = 64, 0.6, 0.4, 16, 8192, 2048
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -30,47 +31,42 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return s
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qs: np.ndarray, k: int, top: float, lines: int = LINES, share: float = SHARE, beta: float = BETA, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qs: np.ndarray, k: int, top: float, lines: int = LINES, share: float = SHARE, beta: float = BETA, bins: int = BINS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best found of one block for each query: query ids, vector ids, scores."""
     n, dim = x.shape
     a = np.random.default_rng(seed).standard_normal((dim + 1, lines))
     fill = np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1) / (top * top)))
     p = np.hstack([x / top, fill[:, None]]) @ a
-    order = np.argsort(p, axis=0, kind="stable")
-    lined = np.take_along_axis(p, order, axis=0)
-    order = np.ascontiguousarray(order.T)
+    lined = np.sort(p, axis=0)
+    steps = lined[np.arange(1, bins) * n // bins]  # windows widen by whole steps of the sorted arrays
+    place = np.column_stack([np.searchsorted(steps[:, j], p[:, j], side="right") for j in range(lines)])
+    held = np.zeros((n, lines * bins), np.float32)
+    held[np.arange(n)[:, None], np.arange(lines) * bins + place] = 1
     pq = (qs / np.linalg.norm(qs, axis=1, keepdims=True)) @ a[:dim]
     need, want = int(np.ceil(share * lines)), min(n, max(8 * k, int(beta * n)))
-    radii = 0.5 * 1.3 ** np.arange(40)
-    edges = {}
-
-    def window(r: int) -> tuple[np.ndarray, np.ndarray]:
-        if r not in edges:
-            edges[r] = tuple(np.stack([np.searchsorted(lined[:, j], pq[:, j] + s * radii[r], side) for j in range(lines)]) for s, side in ((-1, "left"), (1, "right")))
-        return edges[r]
-
     out: list[list] = [[], [], []]
-    for i in range(len(qs)):
-        count = np.zeros(n, np.int64)
-        lo = hi = None
-        for r in range(len(radii)):
-            l2, h2 = (e[:, i] for e in window(r))
-            if lo is None:
-                new = [order[j, l2[j] : h2[j]] for j in range(lines)]
-            else:
-                new = [order[j, l2[j] : lo[j]] for j in range(lines)] + [order[j, hi[j] : h2[j]] for j in range(lines)]
-            count += np.bincount(np.concatenate(new), minlength=n)
-            lo, hi = l2, h2
-            hit = count >= need
-            if hit.sum() >= want:
-                break
-        else:
-            hit = np.ones(n, bool)
+
+    def verify(i: int, hit: np.ndarray) -> None:
         at = np.nonzero(hit & (ids != qids[i]))[0]
+        # the matrix product ranks; the places that may be among the k get their exact product
+        s = x[at] @ qs[i]
+        if len(at) > k:
+            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * top * np.abs(qs[i]).sum()]
         s = inner(x[at], qs[i])
         best = np.lexsort((ids[at], -s))[:k]
         for col, v in zip(out, (np.full(len(best), qids[i]), ids[at][best], s[best])):
             col.append(v)
+
+    for lo in range(0, len(qs), 128):
+        left, radius = np.arange(lo, min(lo + 128, len(qs))), 1.0
+        while len(left):
+            ends = [np.stack([np.searchsorted(steps[:, j], pq[left, j] + s * radius, side="right") for j in range(lines)], 1) for s in (-1, 1)]
+            window = (np.arange(bins) >= ends[0][:, :, None]) & (np.arange(bins) <= ends[1][:, :, None])
+            met = window.reshape(len(left), -1).astype(np.float32) @ held.T >= need
+            enough = (met.sum(axis=1) >= want) | window.all(axis=(1, 2))
+            for r in np.nonzero(enough)[0]:
+                verify(left[r], met[r])
+            left, radius = left[~enough], radius * 1.3
     return tuple(np.concatenate(c) if c else np.zeros(0) for c in out)
 
 
