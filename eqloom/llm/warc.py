@@ -169,7 +169,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's single partition where none was planned
+            return
         fs, _ = _fs(self.path)
         if part.path.endswith(".gz"):
             f = io.BufferedReader(gzip.GzipFile(fileobj=fs.open_input_file(part.path)))
