@@ -235,16 +235,13 @@ def eq_number_parse(spark, sf_dir):
 
 
 # papers written from documents: sentence i is paragraph i + 1, every third one is followed by formula (i + 1) / 3
-def paper_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.nodes(H.templated(table(spark, sf_dir, "documents")), "id", "html")
-
-
-SQUASH = "s"
+def paper_nodes(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return H.nodes(H.templated(table(spark, sf_dir, "documents")), "id", "html", set(kinds))
 
 
 @query(f"WITH {SENT} SELECT doc_id, CAST((i + 1) // 3 AS VARCHAR) AS eq_num, 'x_{{' || (i + 1) // 3 || '}}=y' AS equation, 'annotation' AS latex_method FROM sent WHERE i % 3 = 2 AND i < 21")
 def equations(spark, sf_dir):
-    e = paper_nodes(spark, sf_dir).where("kind = 'equation'")
+    e = paper_nodes(spark, sf_dir, "equation")
     e = e.withColumn("o", F.row_number().over(Window.partitionBy("id", "number").orderBy("ord"))).where("o = 1")
     e = e.withColumn("o", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("o <= 7")
     return e.select(F.col("id").alias("doc_id"), F.col("number").alias("eq_num"), F.col("latex").alias("equation"), F.col("method").alias("latex_method"))
@@ -252,22 +249,22 @@ def equations(spark, sf_dir):
 
 @query(f"WITH {SENT} SELECT doc_id, 'S1.E' || (i + 1) // 3 AS elem_id, '(' || (i + 1) // 3 || ')' AS tag, 'x_{{' || (i + 1) // 3 || '}}=y' AS preview FROM sent WHERE i % 3 = 2")
 def fragments(spark, sf_dir):
-    return paper_nodes(spark, sf_dir).where("kind = 'fragment'").select(F.col("id").alias("doc_id"), "elem_id", F.col("text").alias("tag"), F.col("latex").alias("preview"))
+    return paper_nodes(spark, sf_dir, "fragment").select(F.col("id").alias("doc_id"), "elem_id", F.col("text").alias("tag"), F.col("latex").alias("preview"))
 
 
 @query(f"WITH {SENT} SELECT doc_id, 'S1.p' || (i + 1) AS from_para_id, CAST(i // 3 AS VARCHAR) AS to_eq_num, 'structural' AS source FROM sent WHERE i % 3 = 0 AND i > 0 AND i // 3 * 3 <= i")
 def xrefs_structural(spark, sf_dir):
-    n = paper_nodes(spark, sf_dir)
-    ids = n.where("kind = 'equation'").groupBy("id", "elem_id").agg(F.min_by("number", "ord").alias("number"))
-    ref = n.where((F.col("kind") == "link") & F.col("href").rlike(r"\.[Ee](?:Gx)?\d+"))
-    j = ref.select("id", "para_id", "href", "text").join(ids.withColumnRenamed("elem_id", "href"), ["id", "href"], "left")
+    # links and formulas come from one parse and meet by a window on what they point at or are
+    at = Window.partitionBy("id", F.coalesce("href", "elem_id"))
+    n = paper_nodes(spark, sf_dir, "equation", "link").withColumn("number", F.min_by("number", F.when(F.col("kind") == "equation", F.col("ord"))).over(at))
+    j = n.where((F.col("kind") == "link") & F.col("href").rlike(r"\.[Ee](?:Gx)?\d+"))
     shown = F.nullif(F.regexp_extract("text", r"(\d+[a-z]?(?:\.\d+)?)", 1), F.lit(""))
     return j.select(F.col("id").alias("doc_id"), F.col("para_id").alias("from_para_id"), F.coalesce("number", shown).alias("to_eq_num"), F.when(F.col("number").isNotNull(), "structural").otherwise("structural_text").alias("source"))
 
 
 @query("SELECT page_id, CAST((length(html) - length(replace(html, '<p>', ''))) / 3 + (length(html) - length(replace(html, '<p ', ''))) / 3 AS BIGINT) AS paragraphs FROM pages WHERE html IS NOT NULL AND regexp_matches(html, '<p[ >]')")
 def page_paragraphs(spark, sf_dir):
-    n = H.nodes(table(spark, sf_dir, "pages"), "page_id", "html").where("kind = 'page_p'")
+    n = H.nodes(table(spark, sf_dir, "pages"), "page_id", "html", {"page_p"})
     return n.groupBy(F.col("id").alias("page_id")).agg(F.count(F.lit(1)).alias("paragraphs"))
 
 

@@ -12,6 +12,7 @@ from eqloom import lexicon as L
 from eqloom.functions import text as T
 
 SCHEMA = "id long, kind string, ord int, elem_id string, classes array<string>, para_id string, section_id string, text string, latex string, method string, number string, before string, after string, href string, mi array<string>"
+KINDS = frozenset({"equation", "fragment", "para", "link", "page_p"})
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BLOCKS = {"div", "table", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
@@ -115,7 +116,7 @@ def latex(m: Node) -> tuple[str, str]:
     return raw.replace("%\n", "").strip(), how
 
 
-def rows(doc_id: int, html: str) -> Iterator[tuple]:
+def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
     """Rows of kind equation (a numbered formula), fragment, para, page_p and link, in document order."""
     import re
 
@@ -141,12 +142,15 @@ def rows(doc_id: int, html: str) -> Iterator[tuple]:
         return tuple((base | more).values())
 
     for i, n in enumerate(nodes):
-        if n.tag == "table" and n.has("ltx_eqn_table"):
+        if n.tag == "table" and n.has("ltx_eqn_table") and kinds & {"equation", "fragment"}:
             tags = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equation")]
             group = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equationgroup")]
             maths = [m for m in n.walk() if m.tag == "math"]
             tag = (tags or group or [None])[0]
-            yield row("fragment", i, n, text=tag.text() if tag else "?", latex=latex(maths[0])[0][:120] if maths else None, number=number(tag.text()) if tag else None)
+            if "fragment" in kinds:
+                yield row("fragment", i, n, text=tag.text() if tag else "?", latex=latex(maths[0])[0][:120] if maths else None, number=number(tag.text()) if tag else None)
+            if "equation" not in kinds:
+                continue
             before, after = sides(n)
             found = []
             if n.has("ltx_equationgroup") and group:
@@ -168,31 +172,37 @@ def rows(doc_id: int, html: str) -> Iterator[tuple]:
                 if num := number(t.text()):
                     mi = [x.text() for x in ms[0].walk() if x.tag == "mi"]
                     yield row("equation", i * 100 + k, n, latex=tex, method=how, number=num, before=before, after=after, mi=mi)
-        elif n.tag == "div" and n.has("ltx_para") and n.attrs.get("id"):
+        elif "para" in kinds and n.tag == "div" and n.has("ltx_para") and n.attrs.get("id"):
             prose = " ".join(s for s in (k.text() for k in n.kids if isinstance(k, Node) and k.tag == "p" and k.has("ltx_p")) if s)
             yield row("para", i, n, text=prose, para_id=n.attrs["id"])
-        elif n.tag == "a" and n.has("ltx_ref") and "#" in (n.attrs.get("href") or ""):
+        elif "link" in kinds and n.tag == "a" and n.has("ltx_ref") and "#" in (n.attrs.get("href") or ""):
             p = n.above(lambda a: a.tag == "p")
             yield row("link", i, n, text=n.text(), before=p.text() if p is not None else None, href=n.attrs["href"].partition("#")[2])
-        elif n.tag == "p":
+        elif "page_p" in kinds and n.tag == "p":
             yield row("page_p", i, n, text=n.text())
 
 
-def nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Node rows of every page; a null or broken page has those that could be read."""
-    from eqloom.sources import html as here
+def nodes(pages: DataFrame, id_col: str, html_col: str, kinds: frozenset | set = KINDS) -> DataFrame:
+    """Node rows of the given kinds of every page; a null or broken page has those that could be read.
 
-    parse = here.rows
+    The tree is built once a page, and rows of other kinds are never made.
+    """
+    kinds, parse = frozenset(kinds), rows
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        text, num = pa.string(), pa.int64()
+        types = [num, text, pa.int32(), text, pa.list_(text), *[text] * 9, pa.list_(text)]
         for b in batches:
-            out = [r for i, h in zip(b["id"], b["html"]) for r in parse(int(i), h)]
-            cols = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=cols)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200).to_pydict()
+                out = [r for i, h in zip(part["id"], part["html"]) for r in parse(i, h, kinds)]
+                cols = zip(*out) if out else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("id is not null").mapInPandas(run, SCHEMA)
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("id is not null").mapInArrow(run, SCHEMA)
 
 
 def templated(docs: DataFrame) -> DataFrame:
