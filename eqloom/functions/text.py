@@ -83,7 +83,7 @@ def latex_symbols(c: Column) -> Column:
     return F.array_distinct(F.filter(F.arrays_zip(found.alias("t"), names.alias("n")), lambda x: F.when(x["t"].startswith("\\"), F.array_contains(greek, x["n"])).otherwise(~F.array_contains(skip, x["n"])))["n"])
 
 
-def reject_reason(definition: Column, symbol: Column) -> Column:
+def reject_reason(definition: Column, symbol: Column, others: Column | None = None) -> Column:
     """Why a definition is no definition of the symbol (first rule that holds), else null."""
     d = strip(definition)
     words = F.filter(F.split(F.lower(d), r"\s+"), lambda w: w != "")
@@ -93,6 +93,7 @@ def reject_reason(definition: Column, symbol: Column) -> Column:
     return (
         F.when(F.length(d) <= 1, "single_char_def")
         .when(F.lower(d) == F.lower(symbol), "def_equals_symbol")
+        .when(F.array_contains(others, d) if others is not None else F.lit(False), "def_equals_other_symbol")
         .when(F.array_contains(dangling, F.try_element_at(words, F.lit(1))), "starts_with_function_word")
         .when(F.array_contains(dangling, F.try_element_at(words, F.lit(-1))), "dangling_function_word")
         .when(F.forall(words, lambda w: F.array_contains(stop, w)), "stop_words_only")

@@ -7,6 +7,13 @@ RETRIEVAL_ARTIFACTS = "italic start end over road superscript subscript postsubs
 # Stop words of the pairwise TF-IDF.
 PAIR_STOP = "the a an and or in on at to for of with by from is are was be been this that it we as if not no".split()
 
+# Stop words of the query that looks for a formula's meaning.
+MEANING_STOP = (
+    "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might can "
+    "this that these those it its we our us as if when where which who whom what how not no also both each all any such given here thus hence "
+    "equation eq fig figure table section note above below following shown see italic start end postsubscript postsuperscript arg over displaystyle rm bf operatorname"
+).split()
+
 # Names of well-known equations and objects.
 GAZETTEER = [
     "Schrödinger equation", "Schrodinger equation", "Hamiltonian", "Lindblad equation", "Lindblad master equation", "master equation", "von Neumann equation",
@@ -34,6 +41,18 @@ SKIP_LETTERS = list("dnijklm")
 # Greek letters by name.
 GREEK = dict(zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega hbar".split(), "αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΥΦΨΩℏ"))
 
+# Second forms of Greek letters.
+GREEK_ALSO = {"phi": "ϕ", "hbar": "ħ"}
+
+# Phrases that define a symbol, with their confidence; {SYM} stands for its forms.
+DEFINITIONS = [
+    ("where_is", r"\bwhere\s+{SYM}\s+(?:is|are|denotes?|represents?|gives?|stands?\s+for|corresponds?\s+to)\s+(?:the\s+)?(.+?)(?:[,;]|\s+and\s+|\.$|$)", "high"),
+    ("let_be", r"\blet\s+{SYM}\s+be\s+(?:the\s+)?(.+?)(?:[,;.]|$)", "high"),
+    ("sym_is", r"\b{SYM}\s+(?:is|are|denotes?|represents?|corresponds?\s+to)\s+(?:the\s+)?(.+?)(?:[,;.]|$)", "high"),
+    ("the_noun_sym", r"\bthe\s+((?:\w+\s+){0,4}\w+)\s+{SYM}(?:\b|$)", "medium"),
+    ("sym_the", r"\b{SYM}\s*,\s+the\s+([\w\s\-]+?)(?:[,;.]|$)", "low"),
+]
+
 # Words that reject a definition.
 DANGLING = "the a an of in for to is are and or with by from at on its their where into that as which each given such than but only between within".split()
 DEFINITION_STOP = "the a an and or but in on at to for of with by from is are was were be been this that it we as if not no also".split()
@@ -50,3 +69,4 @@ CITATION = r"(?i)(?:eq(?:uation)?s?\.?\s*)?\(\s*(\d+[a-z]?(?:\.\d+)?)\s*\)"
 DEFINITION_CUE = r"(?i)\b(?:define[sd]?|describes?|represents?|gives?|denotes?|is\s+defined\s+(?:as|by))\b"
 EQ_NUMBER = r"^\s*\(\s*([\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*)\s*\)\s*$"
 GARBAGE = r"^[a-zA-Z]$|^[\\^_{}()\[\]|]+$|^\\.+"
+NOISE = r"\bitalic[-_]\S+|\bstart_[A-Z]\w*|\bend_[A-Z]\w*|\broad_[A-Za-z_]+|\bcaligraphic_\S+|\bbold_[a-z]\S*|[\x{1D400}-\x{1D7FF}]|[_^]\{[^{}]*\}|\\[a-zA-Z]+(?:\{[^{}]*\})*|\b(?:subscript|superscript|postsubscript|postsuperscript)\b|\x{A0}"

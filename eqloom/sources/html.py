@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from eqloom import lexicon as L
 from eqloom.functions import text as T
 
-SCHEMA = "id long, kind string, ord int, elem_id string, classes array<string>, para_id string, section_id string, text string, latex string, method string, number string, before string, after string, href string, mi array<string>"
-KINDS = frozenset({"equation", "fragment", "para", "link", "page_p"})
+SCHEMA = "id long, kind string, ord int, elem_id string, classes array<string>, para_id string, section_id string, text string, latex string, method string, number string, before string, after string, href string, mi array<string>, title string"
+KINDS = frozenset({"equation", "fragment", "para", "link", "page_p", "spot"})
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BLOCKS = {"div", "table", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
@@ -116,8 +116,25 @@ def latex(m: Node) -> tuple[str, str]:
     return raw.replace("%\n", "").strip(), how
 
 
+def identifiers(m: Node) -> list[str]:
+    """Names of a formula in order; one with a plain subscript comes as base_subscript, then as its base."""
+    out = []
+    for n in m.walk():
+        if n.tag != "mi":
+            continue
+        name, kids = n.text(), [k for k in n.up.kids if isinstance(k, Node)]
+        if n.up.tag == "msub" and len(kids) > 1 and kids[0] is n and kids[1].text().isalnum():
+            out.append(f"{name}_{kids[1].text()}")
+        out.append(name)
+    return out
+
+
 def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
-    """Rows of kind equation (a numbered formula), fragment, para, page_p and link, in document order."""
+    """Rows of kind equation (a numbered formula), fragment, para, page_p, link and spot, in document order.
+
+    A spot is a numbered table inside a paragraph: the prose of the paragraph before and after
+    it, and method `child` if it lies right under the paragraph.
+    """
     import re
 
     tree = Tree()
@@ -129,6 +146,11 @@ def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
     section = lambda n: n.above(lambda a: a.tag == "section")
     number = lambda s: (m[1] if (m := re.match(L.EQ_NUMBER, s)) else None)
     of = lambda n: n.attrs.get("id") if n is not None else None
+    prose = lambda ks: " ".join(s for s in (k.text() for k in ks if isinstance(k, Node) and k.tag == "p" and k.has("ltx_p")) if s)
+
+    def title(n: Node) -> str | None:
+        box = section(n)
+        return next((k.text() for k in box.kids if isinstance(k, Node) and k.has("ltx_title")), None) if box is not None else None
 
     def sides(t: Node) -> tuple[str, str]:
         box = para(t) or t.above(lambda a: a.tag == "p") or t.up
@@ -138,17 +160,20 @@ def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
         return " ".join(full(kids[:at])[-2:]), " ".join(full(kids[at + 1 :])[:2])
 
     def row(kind, i, n, **more):
-        base = dict(id=doc_id, kind=kind, ord=i, elem_id=of(n), classes=cls(n), para_id=of(para(n)), section_id=of(section(n)), text=None, latex=None, method=None, number=None, before=None, after=None, href=None, mi=None)
+        base = dict(id=doc_id, kind=kind, ord=i, elem_id=of(n), classes=cls(n), para_id=of(para(n)), section_id=of(section(n)), text=None, latex=None, method=None, number=None, before=None, after=None, href=None, mi=None, title=title(n) if kind in ("para", "spot") else None)
         return tuple((base | more).values())
 
     for i, n in enumerate(nodes):
-        if n.tag == "table" and n.has("ltx_eqn_table") and kinds & {"equation", "fragment"}:
+        if n.tag == "table" and n.has("ltx_eqn_table") and kinds & {"equation", "fragment", "spot"}:
             tags = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equation")]
             group = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equationgroup")]
             maths = [m for m in n.walk() if m.tag == "math"]
             tag = (tags or group or [None])[0]
             if "fragment" in kinds:
                 yield row("fragment", i, n, text=tag.text() if tag else "?", latex=latex(maths[0])[0][:120] if maths else None, number=number(tag.text()) if tag else None)
+            if "spot" in kinds and tags and of(n) and (box := para(n)) is not None:
+                at = next((j for j, k in enumerate(box.kids) if k is n), len(box.kids))
+                yield row("spot", i, n, number=tags[0].text().strip("()"), method="child" if n.up is box else None, before=prose(box.kids[:at]), after=prose(box.kids[at:]))
             if "equation" not in kinds:
                 continue
             before, after = sides(n)
@@ -170,11 +195,10 @@ def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
                 found.append((tags[0], *latex(maths[0]), maths[:1]))
             for k, (t, tex, how, ms) in enumerate(found):
                 if num := number(t.text()):
-                    mi = [x.text() for x in ms[0].walk() if x.tag == "mi"]
+                    mi = identifiers(maths[0]) if t in tags else None  # a shared number leaves them to the LaTeX
                     yield row("equation", i * 100 + k, n, latex=tex, method=how, number=num, before=before, after=after, mi=mi)
         elif "para" in kinds and n.tag == "div" and n.has("ltx_para") and n.attrs.get("id"):
-            prose = " ".join(s for s in (k.text() for k in n.kids if isinstance(k, Node) and k.tag == "p" and k.has("ltx_p")) if s)
-            yield row("para", i, n, text=prose, para_id=n.attrs["id"])
+            yield row("para", i, n, text=prose(n.kids), para_id=n.attrs["id"])
         elif "link" in kinds and n.tag == "a" and n.has("ltx_ref") and "#" in (n.attrs.get("href") or ""):
             p = n.above(lambda a: a.tag == "p")
             yield row("link", i, n, text=n.text(), before=p.text() if p is not None else None, href=n.attrs["href"].partition("#")[2])
@@ -194,7 +218,7 @@ def nodes(pages: DataFrame, id_col: str, html_col: str, kinds: frozenset | set =
         import pyarrow as pa
 
         text, num = pa.string(), pa.int64()
-        types = [num, text, pa.int32(), text, pa.list_(text), *[text] * 9, pa.list_(text)]
+        types = [num, text, pa.int32(), text, pa.list_(text), *[text] * 9, pa.list_(text), text]
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200).to_pydict()

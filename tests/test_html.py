@@ -37,7 +37,7 @@ def test_unnumbered_and_odd_numbers_are_skipped():
 def test_mathml_fold():
     body = f"<tr><td><math><mfrac><mi>α</mi><msub><mi>x</mi><mn>1</mn></msub></mfrac></math>{TAG.format(3)}</td></tr>"
     e = kinds(table("ltx_equation", body), "equation")
-    assert (e[0]["latex"], e[0]["method"], e[0]["mi"]) == ("\\frac{\\alpha }{x_{1}}", "mathml", ["α", "x"])
+    assert (e[0]["latex"], e[0]["method"], e[0]["mi"]) == ("\\frac{\\alpha }{x_{1}}", "mathml", ["α", "x_1", "x"])
 
 
 def test_paragraphs_links_and_implied_ends():
@@ -46,5 +46,10 @@ def test_paragraphs_links_and_implied_ends():
     assert [(x["href"], x["before"]) for x in kinds(html, "link")] == [("S1.E1", "Two (1)")]
 
 
+def test_spot_keeps_the_prose_of_both_sides():
+    html = '<section id="S1"><h2 class="ltx_title">Head</h2><div class="ltx_para" id="S1.p1"><p class="ltx_p">A.</p>' + table("x", f'<tr><td><math alttext="a"></math>{TAG.format(4)}</td></tr>').replace("<table", '<table id="S1.E4"') + '<p class="ltx_p">B.</p></div></section>'
+    assert [(s["number"], s["before"], s["after"], s["method"], s["title"]) for s in kinds(html, "spot")] == [("4", "A.", "B.", "child", "Head")]
+
+
 def test_null_page(spark):
     assert H.nodes(spark.createDataFrame([(1, None)], "i long, h string"), "i", "h").count() == 0
