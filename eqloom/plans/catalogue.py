@@ -332,35 +332,6 @@ def symbol_rejects(spark, sf_dir):
     return d.select("definition", T.reject_reason(F.col("definition"), F.lit("H")).alias("reason"))
 
 
-# relations between the turns of a conversation stand for those between formulas of a paper
-_GRADED = """pairs AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, CASE WHEN a.role <> b.role AND b.turn - a.turn = 1 THEN 'strong' WHEN a.role = b.role THEN 'potential' ELSE 'none' END AS grade
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn)"""
-
-
-def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("a"), F.col("role").alias("ra"))
-    d = c.select("conv_id", F.col("a").alias("b"), F.col("ra").alias("rb"))
-    grade = F.when((F.col("ra") != F.col("rb")) & (F.col("b") - F.col("a") == 1), "strong").when(F.col("ra") == F.col("rb"), "potential").otherwise("none")
-    return c.join(d, "conv_id").where("a <> b").select("conv_id", "a", "b", grade.alias("grade"))
-
-
-@query(f"WITH {_GRADED} SELECT * FROM pairs")
-def relation_grades(spark, sf_dir):
-    return graded(spark, sf_dir)
-
-
-@query(f"WITH {_GRADED} SELECT grade, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM pairs GROUP BY grade")
-def grade_dist(spark, sf_dir):
-    g = graded(spark, sf_dir).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("grade", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
-
-
-@query("SELECT a.conv_id, a.turn AS a, b.turn AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE (a.turn + b.turn) % 5 = 0")
-def missing_pairs(spark, sf_dir):
-    full = graded(spark, sf_dir).drop("grade")
-    return full.join(full.where((F.col("a") + F.col("b")) % 5 != 0), ["conv_id", "a", "b"], "left_anti")
-
-
 @query("SELECT n, count(*) AS convs FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) GROUP BY n")
 def eq_histogram(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("convs"))

@@ -229,8 +229,12 @@ def nodes(pages: DataFrame, id_col: str, html_col: str, kinds: frozenset | set =
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("id is not null").mapInArrow(run, SCHEMA)
 
 
-def templated(docs: DataFrame) -> DataFrame:
-    """(id, html): papers written from the sentences of documents, with a numbered formula after each third."""
+def templated(docs: DataFrame, said: bool = False) -> DataFrame:
+    """(id, html): papers written from the sentences of documents, with a numbered formula after each third.
+
+    With `said`, the paragraph of a formula also defines its symbol and cites the formula before
+    it; brackets of the sentences are dropped, so that nothing else is cited.
+    """
     s = F.filter(T.sentences(F.col("text")), lambda x: F.length(T.strip(x)) >= 10)
     esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -245,6 +249,11 @@ def templated(docs: DataFrame) -> DataFrame:
                 F.lit('}=y</annotation></semantics></math></td><td><span class="ltx_tag ltx_tag_equation">('), k, F.lit(")</span></td></tr></table>"),
             ),
         ).otherwise("")
-        return F.concat(F.lit('<div class="ltx_para" id="S1.p'), (i + 1).cast("string"), F.lit('"><p class="ltx_p">'), esc(T.strip(x)), link, F.lit("</p>"), table, F.lit("</div>"))
+        words = T.strip(x)
+        tail = F.lit("")
+        if said:
+            words = F.translate(words, "()", "")
+            tail = F.when(i % 3 == 2, F.concat(F.lit(" where x is the mean number of parts, and by ("), last, F.lit(") it becomes ("), k, F.lit(")."))).otherwise("")
+        return F.concat(F.lit('<div class="ltx_para" id="S1.p'), (i + 1).cast("string"), F.lit('"><p class="ltx_p">'), esc(words), tail, link, F.lit("</p>"), table, F.lit("</div>"))
 
     return docs.where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.lit('<html><body><section id="S1">'), F.array_join(F.transform(s, para), ""), F.lit("</section></body></html>")).alias("html"))
