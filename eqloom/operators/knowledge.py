@@ -9,6 +9,7 @@ from eqloom import lexicon as L
 from eqloom.operators import documents as D
 from eqloom.operators import meaning as M
 from eqloom.operators import relations as E
+from eqloom.operators import retrieval as R
 from eqloom.operators import symbols as S
 from eqloom.sources import html as H
 from eqloom.sources.durable import keep
@@ -22,15 +23,17 @@ ENTRY = "map<string,map<string,map<string,string>>>"
 def analyse(pages: DataFrame, id_col: str, html_col: str, cap: int = 7) -> dict[str, DataFrame]:
     """Tables by name: equations, chunks, xrefs, meanings, symbols, relations, audit.
 
-    Pages are parsed once; the node rows, formulas and passages are written to the shared folder.
+    Pages are parsed once; node rows, formulas, passages and postings are written to the shared folder.
     """
     nodes = keep(H.nodes(pages, id_col, html_col, D.PARTS), "nodes")
     eqs = keep(D.equations(nodes, cap), "equations")
     chunks = keep(D.passages(nodes, eqs), "chunks")
     xrefs = D.cross_references(nodes, chunks)
-    meanings = keep(M.choose(M.signals(M.candidates(eqs, chunks), D.places(chunks)), eqs), "meanings")
-    symbols = keep(S.definitions(eqs, chunks), "symbols")
-    relations = E.graded(eqs, chunks, xrefs, meanings, symbols)
+    pieces, places = M.pool(chunks), keep(D.places(chunks), "places")
+    posts = keep(R.paper_postings(pieces), "postings")
+    meanings = keep(M.choose(M.signals(M.candidates(eqs, pieces, posts), places), eqs), "meanings")
+    symbols = keep(S.definitions(eqs, pieces, posts), "symbols")
+    relations = E.graded(eqs, places, pieces, posts, xrefs, meanings, symbols)
     out = {"equations": eqs, "chunks": chunks, "xrefs": xrefs, "meanings": meanings, "symbols": symbols, "relations": keep(relations, "relations")}
     out["audit"] = audit(out)
     return out

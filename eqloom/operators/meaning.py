@@ -27,10 +27,12 @@ def query_text(number: Column, latex: Column) -> Column:
     return F.concat_ws(" ", F.lit("equation"), number, F.lit("eq"), number, F.array_join(terms, " "))
 
 
-def candidates(eqs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row for each formula and distinct prose sentence: retrieved ones, then those after and before it."""
-    pieces = pool(chunks)
-    hits = R.within_papers(pieces, eqs.select("id", F.col("eq_num").alias("qid"), query_text(F.col("eq_num"), F.col("equation")).alias("text")), DEPTH)
+def candidates(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame:
+    """A row for each formula and distinct prose sentence: retrieved ones, then those after and before it.
+
+    `pieces` is the pool of passages, `posts` its postings.
+    """
+    hits = R.within_papers(posts, eqs.select("id", F.col("eq_num").alias("qid"), query_text(F.col("eq_num"), F.col("equation")).alias("text")), DEPTH)
     found = hits.join(pieces.select("id", "chunk_ord", "chunk_id", "text", "section_id", "para_id", "char_offset"), ["id", "chunk_ord"])
     found = found.select("id", F.col("qid").alias("eq_num"), "rank", "chunk_id", "section_id", "para_id", "char_offset", "score", F.lit(False).alias("context"), T.clean_context(F.col("text")).alias("text"))
     side = F.explode(F.array(F.struct(F.lit(DEPTH + 1).alias("rank"), F.col("after").alias("text")), F.struct(F.lit(DEPTH + 2).alias("rank"), F.col("before").alias("text")))).alias("x")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from eqloom import lexicon as L
 from eqloom.functions import text as T
 from eqloom.operators import documents as D
-from eqloom.operators import meaning as M
 from eqloom.operators import retrieval as R
 
 DEPTH, JACCARD, COSINE, WIDTH = 3, 0.30, 0.60, 200
@@ -20,9 +19,14 @@ def pairs(eqs: DataFrame) -> DataFrame:
 
 
 def citing(number: Column) -> Column:
-    """Pattern of the sentence around a citation of a number."""
+    """Pattern of the sentence around a citation of a number; it starts only where a sentence does."""
     safe = F.regexp_replace(number, r"([^A-Za-z0-9])", r"\\$1")
-    return F.concat(F.lit(r"(?isU)([^.!?]*?(?:eq(?:uation)?s?\.?\s*)?\(\s*"), safe, F.lit(r"\s*\)[^.!?]*[.!?]?)"))
+    return F.concat(F.lit(r"(?isU)(?:(?<=[.!?])|^)([^.!?]*?(?:eq(?:uation)?s?\.?\s*)?\(\s*"), safe, F.lit(r"\s*\)[^.!?]*[.!?]?)"))
+
+
+def bracketed(context: Column) -> Column:
+    """Numbers in brackets, lower-cased: what a text can cite at all."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(context, F.lit(r"\(\s*([0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*)\s*\)"), 1), F.lower))
 
 
 def citation_sentence(number: Column, context: Column) -> Column:
@@ -56,25 +60,24 @@ def clean(c: Column) -> Column:
     return F.substring(T.strip(F.regexp_replace(c, " {2,}", " ")), 1, WIDTH)
 
 
-def graded(eqs: DataFrame, chunks: DataFrame, refs: DataFrame, meanings: DataFrame, symbols: DataFrame) -> DataFrame:
+def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, posts: DataFrame, refs: DataFrame, meanings: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, a, b, grade, description, jaccard, cosine, signals) of every ordered pair.
 
     strong: a cross reference to b beside a, a citation of b in a's own context, or a sentence
     that cites b with a cue of a derivation; potential: shared symbols or similar texts.
     """
-    at = D.places(chunks)
     local = T.strip(F.concat_ws(" ", "before", "after"))
     ask = eqs.select("id", F.col("eq_num").alias("qid"), F.concat(F.lit("equation "), "eq_num", F.lit(" eq "), "eq_num", F.lit(" ("), "eq_num", F.lit(")")).alias("text"))
-    pieces = M.pool(chunks)
-    hits = R.within_papers(pieces, ask, DEPTH).join(pieces.select("id", "chunk_ord", "text"), ["id", "chunk_ord"])
+    hits = R.within_papers(posts, ask, DEPTH).join(pieces.select("id", "chunk_ord", "text"), ["id", "chunk_ord"])
     wide = hits.groupBy("id", F.col("qid").alias("eq_num")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("found"))
     own = symbols.where("reject_reason IS NULL").groupBy("id", "eq_num").agg(F.sort_array(F.collect_set("sym")).alias("syms"))
-    side = eqs.select("id", "eq_num", local.alias("local")).join(meanings.select("id", "eq_num", "meaning"), ["id", "eq_num"], "left").join(at, ["id", "eq_num"], "left").join(own, ["id", "eq_num"], "left").join(wide, ["id", "eq_num"], "left")
+    side = eqs.select("id", "eq_num", local.alias("local")).join(meanings.select("id", "eq_num", "meaning"), ["id", "eq_num"], "left").join(places, ["id", "eq_num"], "left").join(own, ["id", "eq_num"], "left").join(wide, ["id", "eq_num"], "left")
     side = side.withColumn("syms", F.coalesce("syms", F.array().cast("array<string>")))
     text = F.coalesce(F.nullif(T.strip(F.col("meaning")), F.lit("")), F.nullif(F.substring("local", 1, 500), F.lit("")), F.lit(" "))
     alike = cosines(side.select("id", "eq_num", text.alias("text")))
 
     a = side.select("id", F.col("eq_num").alias("a"), "local", F.coalesce("section_id", F.lit("")).alias("sec"), F.coalesce("para_id", F.lit("")).alias("para"), T.strip(F.concat_ws(" ", "local", "found")).alias("wide"), F.col("syms").alias("sa"))
+    a = a.withColumns({"_near": bracketed(F.col("local")), "_far": bracketed(F.col("wide"))})
     p = pairs(eqs).join(a, ["id", "a"]).join(side.select("id", F.col("eq_num").alias("b"), F.col("syms").alias("sb")), ["id", "b"])
     # the references to b beside a, of which the first one counts, even with an empty sentence
     beside = pairs(eqs).join(a.select("id", "a", "sec", "para"), ["id", "a"]).join(refs.withColumnRenamed("to_eq_num", "b"), ["id", "b"])
@@ -83,7 +86,7 @@ def graded(eqs: DataFrame, chunks: DataFrame, refs: DataFrame, meanings: DataFra
     graph = beside.where(match).groupBy("id", "a", "b").agg(F.min_by("sentence", "ord").alias("graph"))
     p = p.join(graph, ["id", "a", "b"], "left").join(alike, ["id", "a", "b"], "left")
 
-    p = p.withColumns({"graph": F.nullif("graph", F.lit("")), "cite": citation_sentence(F.col("b"), F.col("local")), "cue": cue_sentence(F.col("b"), F.col("wide"))})
+    p = p.withColumns({"graph": F.nullif("graph", F.lit("")), "cite": F.when(F.array_contains("_near", F.lower("b")), citation_sentence(F.col("b"), F.col("local"))), "cue": F.when(F.array_contains("_far", F.lower("b")), cue_sentence(F.col("b"), F.col("wide")))})
     strong = F.coalesce("graph", "cite", "cue")
     shared = F.sort_array(F.array_intersect("sa", "sb"))
     union = F.size(F.array_union("sa", "sb"))

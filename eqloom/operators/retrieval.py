@@ -88,17 +88,20 @@ def rerank(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, vec: s
     return j.drop("dv", "qv").withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 6)), "rank")))
 
 
-def within_papers(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, qid, rank, chunk_ord, score): the k best passages of a query's own paper.
-
-    `chunks` is (id, chunk_ord, text), `queries` (id, qid, text).  Counts and lengths are those
-    of the paper; ties go to the smaller chunk_ord.
-    """
+def paper_postings(chunks: DataFrame) -> DataFrame:
+    """(id, chunk_ord, term, tf, dl, n, avgdl, df) of passages (id, chunk_ord, text); counts are those of the paper."""
     paper = Window.partitionBy("id")
     tok = chunks.select("id", "chunk_ord", T.tokens(F.col("text")).alias("t")).withColumn("dl", F.greatest(F.size("t"), F.lit(0)))
     tok = tok.withColumns({"n": F.count(F.lit(1)).over(paper), "avgdl": F.avg("dl").over(paper)})
     posts = tok.select("id", "chunk_ord", "dl", "n", "avgdl", F.explode("t").alias("term")).groupBy("id", "chunk_ord", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", "n", "avgdl")])
-    posts = posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term")))
+    return posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term")))
+
+
+def within_papers(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, qid, rank, chunk_ord, score): the k best passages of a query's own paper.
+
+    `posts` is as paper_postings gives it, `queries` (id, qid, text).  Ties go to the smaller chunk_ord.
+    """
     q = queries.select("id", "qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from eqloom import lexicon as L
 from eqloom.functions import text as T
-from eqloom.operators import meaning as M
 from eqloom.operators import retrieval as R
 
 DEPTH, WORDS = 5, 15
@@ -57,16 +56,15 @@ def find(sym: Column, context: Column) -> Column:
     return F.coalesce(*out)
 
 
-def definitions(eqs: DataFrame, chunks: DataFrame) -> DataFrame:
+def definitions(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame:
     """(id, eq_num, ord, sym, definition, pattern, confidence, reject_reason, chunk_id) of each symbol with a phrase.
 
     A phrase is looked for in the five best passages for the symbol, then in the formula's own
     context; rows with a reject_reason are for the audit, the others are results.
     """
     syms = of_formulas(eqs)
-    pieces = M.pool(chunks)
     asked = syms.select("id", F.col("sym").alias("qid"), F.array_join(F.slice(forms(F.col("sym")), 1, 3), " ").alias("text")).distinct()
-    hits = R.within_papers(pieces, asked, DEPTH).join(pieces.select("id", "chunk_ord", "chunk_id", "text"), ["id", "chunk_ord"])
+    hits = R.within_papers(posts, asked, DEPTH).join(pieces.select("id", "chunk_ord", "chunk_id", "text"), ["id", "chunk_ord"])
     top = F.array_sort(F.collect_list(F.struct("rank", "text", "chunk_id")))
     near = hits.groupBy("id", F.col("qid").alias("sym")).agg(top.alias("h"))
     s = syms.join(near, ["id", "sym"], "left")

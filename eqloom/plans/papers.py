@@ -40,7 +40,7 @@ def parts(spark: SparkSession, sf_dir: str, said: bool) -> tuple[DataFrame, Data
 
 
 # formulas 1.. of a paper, seven at most, as numbers
-EQ = f"{SENT}, eq AS (SELECT doc_id, (i + 1) // 3 AS k, s FROM sent WHERE i % 3 = 2 AND i < 21)"
+EQ = f"{SENT}, eq AS MATERIALIZED (SELECT doc_id, (i + 1) // 3 AS k, s FROM sent WHERE i % 3 = 2 AND i < 21)"
 PAIR = f"{EQ}, pair AS (SELECT a.doc_id, a.k AS a, b.k AS b FROM eq a JOIN eq b ON a.doc_id = b.doc_id AND a.k <> b.k)"
 CLEAN = TRIM.format(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, chr(160), ' ', 'g'), '{L.SCRIPTS}', '', 'g'), '{L.RAW_LATEX}', '', 'g'), '\s+', ' ', 'g')")
 
