@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later copies of a line go, its earliest copy stays; documents all stay."""
-    return _columns(docs, line_dedup.dedup_lines(docs))
+    """Line dedup: later copies of a line of any length go, its earliest copy stays; documents all stay."""
+    return _columns(docs, line_dedup.dedup_lines(docs, exact_chars=1))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, edit bound 1.
 
-Lines are compared trimmed and lower-cased; those under `min_chars` are left alone.  A line
-goes if an earlier line (by document id, then line number) is equal or one edit away.
+Lines are compared trimmed and lower-cased.  A line of `exact_chars` or more goes if an earlier
+line (by document id, then line number) is equal, one of `min_chars` or more also if an earlier
+one of that length is one edit away; blank lines stay.  op6 leaves lines under 24 characters
+alone, as its SQL does; the pipeline removes the later exact copies of every non-blank line.
 
 1. Equal lines meet by hash; a map-side minimum keeps the earliest place of each.
 2. Coarse variants: a line without one of three blocks, for both lengths that the shorter
@@ -69,7 +71,7 @@ def fine(line: str, at: int, blocks: int, key: int) -> list[tuple[int, int]]:
     return [(k, 2) for k in {h(f"{key}\0{c[:i]}{c[i + 1 :]}", 2) for i in range(len(c))}]
 
 
-def _lines(min_chars: int, blocks: int):
+def _lines(min_chars: int, exact_chars: int, blocks: int):
     from xxhash import xxh3_64_intdigest as h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,14 +81,15 @@ def _lines(min_chars: int, blocks: int):
                 off, flat = normal_lines(texts.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(lo, hi), np.diff(off))
                 number = np.arange(len(doc)) - np.repeat(off[:-1], np.diff(off))
-                long = pc.greater_equal(pc.utf8_length(flat), min_chars)
-                pick = long.to_numpy(zero_copy_only=False).astype(bool)
-                doc, number = doc[pick], number[pick]
-                enc = flat.filter(long).dictionary_encode()
+                size = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
+                pick = size >= max(1, exact_chars)
+                doc, number, near = doc[pick], number[pick], size[pick] >= min_chars
+                enc = flat.filter(pa.array(pick)).dictionary_encode()
                 idx, uniq = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary.to_pylist()
                 hs = np.fromiter((h(u) for u in uniq), np.uint64, len(uniq))
-                keys = np.array([coarse(u, blocks) for u in uniq], np.uint64).reshape(len(uniq), 2 * blocks)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * 2 * blocks, pa.int32()), pa.array(keys[idx].ravel().view(np.int64)))
+                keys = np.array([coarse(u, blocks) if len(u) >= min_chars else [0] * 2 * blocks for u in uniq], np.uint64).reshape(len(uniq), 2 * blocks)
+                ends = np.concatenate([[0], np.cumsum(near * 2 * blocks)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[idx[near]].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), b.column("fp").take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(hs[idx].view(np.int64)), lists], ["id", "fp", "line", "h", "keys"])
 
     return run
@@ -129,14 +132,15 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, blocks: int = BLOCKS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, blocks: int = BLOCKS, exact_chars: int | None = None) -> DataFrame:
     """(id, fp, gone): the numbers (from 0) of the lines to remove from each document that has any.
 
     fp is xxhash64 of the text, so rows that share an id but not a text stay apart; rows that
-    repeat both stand at the same places and lose the same lines.  A null id is earliest.
+    repeat both stand at the same places and lose the same lines.  A null id is earliest.  Without `exact_chars`, it is `min_chars`.
     """
+    exact_chars = min_chars if exact_chars is None else exact_chars
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("fp"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    lines = materialize(src.mapInArrow(_lines(min_chars, blocks), "id long, fp long, line long, h long, keys array<long>"), "lines")
+    lines = materialize(src.mapInArrow(_lines(min_chars, exact_chars, blocks), "id long, fp long, line long, h long, keys array<long>"), "lines")
     pos = F.struct("id", "line", "fp")
     firsts = materialize(lines.groupBy("h").agg(F.min(pos).alias("pos"), F.count(F.lit(1)).alias("n")), "firsts")
     keyed = lines.select("h", F.posexplode("keys").alias("at", "key"))

@@ -139,6 +139,17 @@ def test_lines_brute_force(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_of_the_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    long = "a line of more than twenty-four characters"
+    rows = [(1, f"Les.\n\n{long}"), (2, f"les. \n\nlex.\n{long}s"), (3, "ä\n \nÄ\nLES.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in p.drop_lines(spark, df, sf).collect()}
+    assert got == {1: rows[0][1], 2: "\nlex.", 3: "ä\n "}
+    assert {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df).collect()} == {**dict(rows), 2: "les. \n\nlex."}
+
+
 def test_passages_brute_force(docs, empty):
     import hashlib
 
