@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units after a number, and names (capitalised words inside a sentence) become typed
-placeholders, other words lose case and outer punctuation.  Windows of five canonical words
-of the benchmark are hashed and joined with the windows of every document.  A document that
+placeholders, other words lose case and outer punctuation.  A capitalised word that opens a
+sentence is read both ways, as a word and as a name.  Windows of five canonical words of the
+benchmark are hashed and joined with the windows of every document.  A document that
 holds at least `coverage` of an item's windows is a candidate; the values in its slots must
 then agree with the item's slots one to one (the same value of the item always meets the
 same value of the document, and the other way round), which keeps re-parameterised copies
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import dictionary, ngram_hashes, plain, split_words, text_slices
+from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices
 
 WINDOW, COVERAGE, CHUNK = 5, 0.8, 1_000_000
 UNITS = "% mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw v a pa k c f usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years percent degrees"
@@ -34,6 +35,8 @@ NUM, UNIT, NAME = 1, 2, 3
 class Canon:
     h: np.ndarray  # hash of each canonical word
     kind: np.ndarray  # 0 word, 1 number, 2 unit, 3 name
+    named: np.ndarray  # the same, where a capitalised word that opens a sentence is a name too
+    value: np.ndarray  # hash of each word's value
     word: np.ndarray  # index into values
     values: list[bytes]
     offsets: np.ndarray
@@ -61,13 +64,30 @@ def canonical(texts: pa.Array) -> Canon:
     first = np.ones(len(idx), bool)
     first[1:] = (doc[1:] != doc[:-1]) | end[:-1]
     full = kind >= 0
-    kind = np.where((kind == NAME) & first, 0, kind)
+    opens = ((kind == NAME) & first)[full]
     offsets = np.concatenate([[0], np.cumsum(full)])[off]
     kind, word, doc = kind[full], idx[full], doc[full]
     after = np.zeros(len(kind), bool)
     after[1:] = (kind[:-1] == NUM) & (doc[1:] == doc[:-1])
-    kind = np.where((kind == UNIT) & ~after, 0, kind).astype(np.int8)
-    return Canon(np.where(kind > 0, kind.astype(np.uint64), hs[word]), kind, word, values, offsets)
+    named = np.where((kind == UNIT) & ~after, 0, kind).astype(np.int8)
+    kind = np.where(opens, 0, named).astype(np.int8)
+    return Canon(np.where(kind > 0, kind.astype(np.uint64), hs[word]), kind, named, hs[word], word, values, offsets)
+
+
+def opened(c: Canon, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that read differently where sentence openings are names: (index into starts, hash).
+
+    Windows of placeholders only are left out, as any run of names would meet them.
+    """
+    new = np.concatenate([[0], np.cumsum(c.named != c.kind)])
+    words = np.concatenate([[0], np.cumsum(c.named == 0)])
+    pick = np.nonzero((new[starts + k] > new[starts]) & (words[starts + k] > words[starts]))[0]
+    h = np.where(c.named > 0, c.named.astype(np.uint64), c.value)
+    acc = np.zeros(len(pick), np.uint64)
+    for j in range(k):
+        acc = (acc ^ h[starts[pick] + j]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return pick, mix(acc)
 
 
 @dataclass
@@ -76,9 +96,11 @@ class Index:
     start: np.ndarray  # postings of each
     item: np.ndarray
     pos: np.ndarray
+    first: np.ndarray  # least position of an equal window
     ids: list
     size: np.ndarray  # distinct windows of each item
     slots: list[dict]  # position in the item -> (kind, value)
+    soft: list[set]  # slots that may be no names: they open a sentence and stand nowhere inside one
     length: np.ndarray  # words of each item
 
 
@@ -89,20 +111,27 @@ def windows_of(c: Canon, d: int, k: int) -> np.ndarray:
 
 def build_index(items: list[tuple], k: int) -> Index:
     c = canonical(plain(pa.array([t for _, t in items], pa.string())))
-    rows, size, slots, length = [], [], [], []
+    rows, size, slots, soft, length = [], [], [], [], []
     for d in range(len(items)):
         w = windows_of(c, d, k)
         a, z = c.offsets[d], c.offsets[d + 1]
         size.append(max(1, len(np.unique(w))))
         length.append(z - a)
-        slots.append({int(p - a): (int(c.kind[p]), c.values[c.word[p]]) for p in range(a, z) if c.kind[p]})
+        slots.append({int(p - a): (int(c.named[p]), c.values[c.word[p]]) for p in range(a, z) if c.named[p]})
+        names = {c.values[c.word[p]] for p in range(a, z) if c.kind[p] == NAME}
+        soft.append({p for p, (_, v) in slots[-1].items() if not c.kind[a + p] and v not in names})
         if (c.kind[a:z] == 0).any():  # an item of placeholders only says nothing
-            rows.append(np.column_stack([w.view(np.int64), np.full(len(w), d), np.arange(len(w))]))
-    m = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+            same = np.unique(w, return_index=True, return_inverse=True)
+            first = same[1][same[2]]  # a window that the item repeats counts once
+            rows.append(np.column_stack([w.view(np.int64), np.full(len(w), d), np.arange(len(w)), first]))
+            if z - a >= k:
+                at, g = opened(c, np.arange(a, z - k + 1), k)
+                rows.append(np.column_stack([g.view(np.int64), np.full(len(g), d), at, first[at]]))
+    m = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
     h = m[:, 0].view(np.uint64) if len(m) else np.zeros(0, np.uint64)
     o = np.argsort(h, kind="stable")
     u, start = np.unique(h[o], return_index=True)
-    return Index(u, np.append(start, len(h)), m[o, 1], m[o, 2], [i for i, _ in items], np.array(size), slots, np.array(length))
+    return Index(u, np.append(start, len(h)), m[o, 1], m[o, 2], m[o, 3], [i for i, _ in items], np.array(size), slots, soft, np.array(length))
 
 
 def consistent(slots: dict, other: dict, shifts: list[int]) -> tuple[int, int]:
@@ -130,17 +159,19 @@ def _match(ix: Index, k: int, coverage: float):
                 doc = np.repeat(np.arange(hi - lo), np.diff(c.offsets))
                 keep = doc[: len(g)] == doc[k - 1 :][: len(g)] if len(g) else np.zeros(0, bool)
                 short = [d for d in range(hi - lo) if 0 < c.offsets[d + 1] - c.offsets[d] < k]
-                h = np.concatenate([g[keep], *[windows_of(c, d, k) for d in short]])
-                at = np.concatenate([np.nonzero(keep)[0], *[[c.offsets[d]] for d in short]]).astype(np.int64)
+                starts = np.nonzero(keep)[0]
+                extra, e = opened(c, starts, k)
+                h = np.concatenate([g[keep], e, *[windows_of(c, d, k) for d in short]])
+                at = np.concatenate([starts, starts[extra], *[[c.offsets[d]] for d in short]]).astype(np.int64)
                 slot = np.searchsorted(ix.hashes, h)
                 slot[slot == len(ix.hashes)] = 0
                 hit = np.nonzero(ix.hashes[slot] == h)[0] if len(ix.hashes) else np.zeros(0, int)
                 slot, at = slot[hit], at[hit]
                 n = ix.start[slot + 1] - ix.start[slot]
                 post = np.repeat(ix.start[slot] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                at, slot = np.repeat(at, n), np.repeat(slot, n)
+                at = np.repeat(at, n)
                 pair = doc[at] * len(ix.ids) + ix.item[post]
-                found = np.unique(np.column_stack([pair, slot]), axis=0)[:, 0] if len(pair) else pair
+                found = np.unique(np.column_stack([pair, ix.first[post]]), axis=0)[:, 0] if len(pair) else pair
                 key, count = np.unique(found, return_counts=True)
                 share = count / ix.size[key % len(ix.ids)] if len(key) else np.zeros(0)
                 out: list[list] = [[], [], [], [], []]
@@ -151,8 +182,9 @@ def _match(ix: Index, k: int, coverage: float):
                     shifts = shift[np.argsort(-votes, kind="stable")].tolist()
                     a, z = c.offsets[d], c.offsets[d + 1]
                     near = {q for r in shifts for q in range(max(a, r), min(z, r + ix.length[i]))} if ix.slots[i] else ()
-                    other = {int(q): (int(c.kind[q]), c.values[c.word[q]]) for q in near if c.kind[q]}
-                    good, bad = consistent(ix.slots[i], other, shifts)
+                    other = {int(q): (int(c.named[q]), c.values[c.word[q]]) for q in near if c.named[q]}
+                    sure = {q: v for q, v in ix.slots[i].items() if q not in ix.soft[i] or all(other.get(q + r, v) != v for r in shifts)}
+                    good, bad = consistent(sure, other, shifts)
                     if bad > good:
                         continue
                     same = all(v == other.get(q + shifts[0]) for q, v in ix.slots[i].items() if q + shifts[0] in other)

@@ -235,6 +235,18 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def found(spark, items, texts):
+    d, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(x["doc_id"], x["item_id"], x["match"]) for x in decontam.contaminated(d, b).collect()}
+
+
+def test_decontamination_names_open_sentences(spark):
+    items = ["Anna has 12 apples. Anna gives 5 apples to Ben. How many apples does Anna have left?", "Anna walks to the market every morning. Carl sleeps until noon on most days."]
+    texts = ["Maria has 30 apples. Maria gives 7 apples to Tom. How many apples does Maria have left?", "Eve walks to the market every morning. Fred sleeps until noon on most days.", "It is said that Eve walks to the market every morning. Fred sleeps until noon on most days.", "Maria paints a wall. Tom runs home."]
+    assert {(0, 0, "template"), (1, 1, "template"), (2, 1, "template")} <= (got := found(spark, items, texts)) and 3 not in {x[0] for x in got}
+    assert found(spark, items, items) == {(0, 0, "verbatim"), (1, 1, "verbatim")}
+
+
 def test_decontamination_finds_every_planted_item(spark, sf):
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     planted = {tuple(x) for x in d.join(b.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
