@@ -3,8 +3,15 @@
 Numbers, units after a number, and names (capitalised words inside a sentence) become typed
 placeholders, other words lose case and outer punctuation.  A capitalised word that opens a
 sentence is read both ways, as a word and as a name.  Windows of five canonical words of the
-benchmark are hashed and joined with the windows of every document.  A document that
-holds at least `coverage` of an item's windows is a candidate; the values in its slots must
+benchmark are hashed and joined with the windows of every document.  A document holds an item
+if it has at least `coverage` of its windows, wherever they stand, or if it is near it in order:
+
+- words changed, left out and put in are at most 1 - `coverage` of the item's words.  Such a copy
+  always keeps a run of `surest` words, so these shorter windows find every candidate;
+- or RUN words of the item follow each other unchanged, however long the item is.
+
+Both are decided by aligning the words, with placeholders equal by kind, and need half of the
+plain words of the item, or of the run, to be equal.  The values in the slots must
 then agree with the item's slots one to one (the same value of the item always meets the
 same value of the document, and the other way round), which keeps re-parameterised copies
 and drops chance mixtures of templates.
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices
 
-WINDOW, COVERAGE, CHUNK = 5, 0.8, 1_000_000
+WINDOW, COVERAGE, CHUNK, RUN = 5, 0.8, 1_000_000, 13
 UNITS = "% mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw v a pa k c f usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years percent degrees"
 NUM, UNIT, NAME = 1, 2, 3
 
@@ -102,6 +109,72 @@ class Index:
     slots: list[dict]  # position in the item -> (kind, value)
     soft: list[set]  # slots that may be no names: they open a sentence and stand nowhere inside one
     length: np.ndarray  # words of each item
+    edits: np.ndarray  # changed words allowed in each item
+    value: list[np.ndarray]  # hashes of the values of each item's words
+    named: list[np.ndarray]  # kinds of each item's words
+    seeds: dict[int, tuple]  # window size -> (hashes, start, item, pos), for items of a window or more
+
+
+def surest(n: int, edits: int) -> int:
+    """The longest run that n words keep at least, whatever `edits` of them are changed."""
+    return -(-(n - edits) // (edits + 1))
+
+
+def postings(m: np.ndarray) -> tuple:
+    h = m[:, 0].view(np.uint64) if len(m) else np.zeros(0, np.uint64)
+    o = np.argsort(h, kind="stable")
+    u, start = np.unique(h[o], return_index=True)
+    return u, np.append(start, len(h)), *m[o, 1:].T
+
+
+def meet(hashes: np.ndarray, start: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and postings of the windows h (at `at`) that are in the index."""
+    if not len(hashes) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    slot = np.searchsorted(hashes, h)
+    slot[slot == len(hashes)] = 0
+    hit = np.nonzero(hashes[slot] == h)[0]
+    slot, at = slot[hit], at[hit]
+    n = start[slot + 1] - start[slot]
+    post = np.repeat(start[slot] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+    return np.repeat(at, n), post
+
+
+def windows_in(c: Canon, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows of k words inside each text, in both readings."""
+    g = ngram_hashes(c.h, k)
+    doc = np.repeat(np.arange(len(c.offsets) - 1), np.diff(c.offsets))
+    starts = np.nonzero(doc[: len(g)] == doc[k - 1 :][: len(g)])[0] if len(g) else np.zeros(0, np.int64)
+    extra, e = opened(c, starts, k)
+    return np.concatenate([starts, starts[extra]]), np.concatenate([g[starts], e])
+
+
+def align(value: np.ndarray, named: np.ndarray, value2: np.ndarray, named2: np.ndarray) -> tuple[int, list, list]:
+    """Edits that turn an item into the nearest run of words of a text, its aligned words, and the longest equal run."""
+    n, m = len(value), len(value2)
+    j = np.arange(m + 1)
+    cost, run, best, end = np.zeros((n + 1, m + 1), np.int32), np.zeros(m + 1, np.int32), 0, (0, 0)
+    same = np.zeros((n, m), bool)
+    for i in range(n):
+        same[i] = (value2 == value[i]) | ((named2 == named[i]) & (named[i] > 0))
+        row = cost[i] + 1
+        row[1:] = np.minimum(row[1:], cost[i, :-1] + ~same[i])
+        cost[i + 1] = np.minimum.accumulate(row - j) + j
+        run[1:] = np.where(same[i], run[:-1] + 1, 0)
+        if (top := int(run.argmax())) and run[top] > best:
+            best, end = int(run[top]), (i + 1, top)
+    x, y = n, int(cost[n].argmin())
+    edits, pairs = int(cost[n, y]), []
+    while x:
+        if y and cost[x, y] == cost[x - 1, y - 1] + (not same[x - 1, y - 1]):
+            x, y = x - 1, y - 1
+            if same[x, y]:
+                pairs.append((x, y))
+        elif cost[x, y] == cost[x - 1, y] + 1:
+            x -= 1
+        else:
+            y -= 1
+    return edits, pairs[::-1], [(end[0] - r, end[1] - r) for r in range(best, 0, -1)]
 
 
 def windows_of(c: Canon, d: int, k: int) -> np.ndarray:
@@ -109,14 +182,18 @@ def windows_of(c: Canon, d: int, k: int) -> np.ndarray:
     return ngram_hashes(c.h[a:z], k) if z - a >= k else ngram_hashes(c.h[a:z], z - a) if z > a else c.h[:0]
 
 
-def build_index(items: list[tuple], k: int) -> Index:
+def build_index(items: list[tuple], k: int, coverage: float = COVERAGE) -> Index:
     c = canonical(plain(pa.array([t for _, t in items], pa.string())))
-    rows, size, slots, soft, length = [], [], [], [], []
+    rows, size, slots, soft, length, edits, value, named = [], [], [], [], [], [], [], []
+    seeds: dict[int, list] = {}
     for d in range(len(items)):
         w = windows_of(c, d, k)
         a, z = c.offsets[d], c.offsets[d + 1]
         size.append(max(1, len(np.unique(w))))
         length.append(z - a)
+        edits.append(int((1 - coverage) * (z - a) + 1e-9))
+        value.append(c.value[a:z])
+        named.append(c.named[a:z])
         slots.append({int(p - a): (int(c.named[p]), c.values[c.word[p]]) for p in range(a, z) if c.named[p]})
         names = {c.values[c.word[p]] for p in range(a, z) if c.kind[p] == NAME}
         soft.append({p for p, (_, v) in slots[-1].items() if not c.kind[a + p] and v not in names})
@@ -125,13 +202,15 @@ def build_index(items: list[tuple], k: int) -> Index:
             first = same[1][same[2]]  # a window that the item repeats counts once
             rows.append(np.column_stack([w.view(np.int64), np.full(len(w), d), np.arange(len(w)), first]))
             if z - a >= k:
+                short = min(surest(z - a, edits[-1]), RUN)
+                at, g = opened(c, np.arange(a, z - short + 1), short)
+                both = np.concatenate([ngram_hashes(c.h[a:z], short), g]), np.concatenate([np.arange(z - a - short + 1), at])
+                seeds.setdefault(short, []).append(np.column_stack([both[0].view(np.int64), np.full(len(both[0]), d), both[1]]))
                 at, g = opened(c, np.arange(a, z - k + 1), k)
                 rows.append(np.column_stack([g.view(np.int64), np.full(len(g), d), at, first[at]]))
     m = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
-    h = m[:, 0].view(np.uint64) if len(m) else np.zeros(0, np.uint64)
-    o = np.argsort(h, kind="stable")
-    u, start = np.unique(h[o], return_index=True)
-    return Index(u, np.append(start, len(h)), m[o, 1], m[o, 2], m[o, 3], [i for i, _ in items], np.array(size), slots, soft, np.array(length))
+    found = {n: postings(np.concatenate(r)) for n, r in seeds.items()}
+    return Index(*postings(m), [i for i, _ in items], np.array(size), slots, soft, np.array(length), np.array(edits), value, named, found)
 
 
 def consistent(slots: dict, other: dict, shifts: list[int]) -> tuple[int, int]:
@@ -149,32 +228,75 @@ def consistent(slots: dict, other: dict, shifts: list[int]) -> tuple[int, int]:
     return good, bad
 
 
+def _near(ix: Index, c: Canon, doc: np.ndarray, done: set, k: int) -> Iterator[tuple]:
+    """(pair, share, slots, match) of the items that texts hold with edits or in a long run, but for the pairs done."""
+    seen = []
+    for size, (hashes, start, item, pos) in ix.seeds.items():
+        at, h = windows_in(c, size)
+        at, post = meet(hashes, start, h, at)
+        seen.append(np.column_stack([doc[at] * len(ix.ids) + item[post], at - pos[post]]))
+    seeds = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
+    first = np.nonzero(np.diff(seeds[:, 0], prepend=-1))[0]
+    for f, t in zip(first.tolist(), [*first[1:].tolist(), len(seeds)]):
+        p = int(seeds[f, 0])
+        if p in done:
+            continue
+        d, i = divmod(p, len(ix.ids))
+        n, e = int(ix.length[i]), int(ix.edits[i])
+        a, z = int(c.offsets[d]), int(c.offsets[d + 1])
+        best = None
+        end = -1
+        for shift in seeds[f:t, 1].tolist():
+            if min(z, shift + n + e) <= end:
+                continue
+            # room for further seeds of the pair; the next stretch overlaps by all that one copy may take
+            lo, end = max(a, shift - e), min(z, shift + 2 * n)
+            if (v := _verdict(ix, c, i, lo, end, k)) and (best is None or v[0] > best[0]):
+                best = v
+        if best:
+            yield p, *best
+
+
+def _verdict(ix: Index, c: Canon, i: int, lo: int, hi: int, k: int) -> tuple | None:
+    value, named, n = ix.value[i], ix.named[i], int(ix.length[i])
+    value2, named2 = c.value[lo:hi], c.named[lo:hi]
+    known = np.isin(value, value2) | ((named > 0) & np.isin(named, named2))
+    gaps = np.diff(np.concatenate([[-1], np.nonzero(~known)[0], [n]])) - 1
+    if known.sum() < n - ix.edits[i] and gaps.max() < RUN:
+        return None
+    edits, near, run = align(value, named, value2, named2)
+    for pairs, share, words in ((near, 1 - edits / n, named == 0), (run, len(run) / n, named[[x for x, _ in run]] == 0)):
+        if not (edits <= ix.edits[i] if pairs is near else len(run) >= RUN):
+            continue
+        equal = sum(named[x] == 0 for x, _ in pairs)
+        if not equal or 2 * equal < words.sum():
+            continue
+        mine = {x: ix.slots[i][x] for x, _ in pairs if named[x]}
+        other = {x: (int(c.named[lo + y]), c.values[c.word[lo + y]]) for x, y in pairs if named[x]}
+        good, bad = consistent({x: v for x, v in mine.items() if x not in ix.soft[i] or other[x] != v}, other, [0])
+        if bad <= good:
+            return share, good + bad, "verbatim" if mine == other else "template"
+    return None
+
+
 def _match(ix: Index, k: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = plain(b.column("text")), b.column("id").to_pylist()
             for lo, hi in text_slices(texts):
                 c = canonical(texts.slice(lo, hi - lo))
-                g = ngram_hashes(c.h, k)
                 doc = np.repeat(np.arange(hi - lo), np.diff(c.offsets))
-                keep = doc[: len(g)] == doc[k - 1 :][: len(g)] if len(g) else np.zeros(0, bool)
                 short = [d for d in range(hi - lo) if 0 < c.offsets[d + 1] - c.offsets[d] < k]
-                starts = np.nonzero(keep)[0]
-                extra, e = opened(c, starts, k)
-                h = np.concatenate([g[keep], e, *[windows_of(c, d, k) for d in short]])
-                at = np.concatenate([starts, starts[extra], *[[c.offsets[d]] for d in short]]).astype(np.int64)
-                slot = np.searchsorted(ix.hashes, h)
-                slot[slot == len(ix.hashes)] = 0
-                hit = np.nonzero(ix.hashes[slot] == h)[0] if len(ix.hashes) else np.zeros(0, int)
-                slot, at = slot[hit], at[hit]
-                n = ix.start[slot + 1] - ix.start[slot]
-                post = np.repeat(ix.start[slot] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                at = np.repeat(at, n)
+                at, h = windows_in(c, k)
+                h = np.concatenate([h, *[windows_of(c, d, k) for d in short]])
+                at = np.concatenate([at, *[[c.offsets[d]] for d in short]]).astype(np.int64)
+                at, post = meet(ix.hashes, ix.start, h, at)
                 pair = doc[at] * len(ix.ids) + ix.item[post]
                 found = np.unique(np.column_stack([pair, ix.first[post]]), axis=0)[:, 0] if len(pair) else pair
                 key, count = np.unique(found, return_counts=True)
                 share = count / ix.size[key % len(ix.ids)] if len(key) else np.zeros(0)
                 out: list[list] = [[], [], [], [], []]
+                done = set()
                 for p, s in zip(key[share >= coverage].tolist(), share[share >= coverage].tolist()):
                     d, i = divmod(p, len(ix.ids))
                     mine = pair == p
@@ -187,9 +309,13 @@ def _match(ix: Index, k: int, coverage: float):
                     good, bad = consistent(sure, other, shifts)
                     if bad > good:
                         continue
+                    done.add(p)
                     same = all(v == other.get(q + shifts[0]) for q, v in ix.slots[i].items() if q + shifts[0] in other)
                     for col, v in zip(out, (ids[lo + d], ix.ids[i], s, good + bad, "verbatim" if same else "template")):
                         col.append(v)
+                for p, s, n, match in _near(ix, c, doc, done, k):
+                    for col, v in zip(out, (ids[lo + p // len(ix.ids)], ix.ids[p % len(ix.ids)], s, n, match)):
+                        col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string()))], ["id", "item", "coverage", "slots", "match"])
 
     return run
@@ -198,7 +324,8 @@ def _match(ix: Index, k: int, coverage: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, chunk: int = CHUNK) -> DataFrame:
     """(id_col, item_col, coverage, slots, match): a row for each document and item it holds.
 
-    coverage is the share of the item's distinct windows in the document; match is verbatim,
+    coverage is the share of the item's distinct windows in the document or, where that is too
+    small, of its words without the edits or in the longest run; match is verbatim,
     or template where slots hold other values.  Null, empty and blank texts match nothing, on
     either side; a document or item shorter than a window is one window.  Items with a null
     id are left out; a document with a null id is reported under null.  Repeated rows are
@@ -211,7 +338,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out, held, words = None, [], 0
 
     def add(out: DataFrame | None) -> DataFrame:
-        found = src.mapInArrow(_match(build_index(held, window), window, coverage), schema)
+        found = src.mapInArrow(_match(build_index(held, window, coverage), window, coverage), schema)
         return found if out is None else out.unionByName(found)
 
     for r in items.toLocalIterator():

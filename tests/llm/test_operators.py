@@ -247,6 +247,18 @@ def test_decontamination_names_open_sentences(spark):
     assert found(spark, items, items) == {(0, 0, "verbatim"), (1, 1, "verbatim")}
 
 
+def test_decontamination_of_edited_and_quoted_items(spark):
+    r = random.Random(7)
+    item = [f"{r.choice('abcdefgh')}{x}q" for x in r.sample(range(900), 40)]
+    edit = lambda *at: " ".join("changed" if n in at else x for n, x in enumerate(item))
+    pad = rng_text(r, 60)
+    texts = [edit(20), edit(10, 30), edit(*range(4, 40, 5)), " ".join(item[:30]), " ".join(item[5:18]), " ".join(item[:20] + ["new"] + item[20:]), " ".join(item[:20] + item[22:])]
+    clean = [" ".join(item[:12]), edit(*range(3, 40, 4)), pad, " ".join(sorted(item))]
+    got = found(spark, [" ".join(item)], [f"{pad} {x} {pad}" for x in texts + clean])
+    assert got == {(n, 0, "verbatim") for n in range(len(texts))}
+    assert [decontam.surest(n, n // 5) for n in (5, 9, 15, 40)] == [2, 4, 3, 4]
+
+
 def test_decontamination_finds_every_planted_item(spark, sf):
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     planted = {tuple(x) for x in d.join(b.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
