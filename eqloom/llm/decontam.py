@@ -112,6 +112,7 @@ class Index:
     edits: np.ndarray  # changed words allowed in each item
     value: list[np.ndarray]  # hashes of the values of each item's words
     named: list[np.ndarray]  # kinds of each item's words
+    bare: dict[bytes, list[int]]  # values of items that are placeholders only -> items
     seeds: dict[int, tuple]  # window size -> (hashes, start, item, pos), for items of a window or more
 
 
@@ -186,6 +187,7 @@ def build_index(items: list[tuple], k: int, coverage: float = COVERAGE) -> Index
     c = canonical(plain(pa.array([t for _, t in items], pa.string())))
     rows, size, slots, soft, length, edits, value, named = [], [], [], [], [], [], [], []
     seeds: dict[int, list] = {}
+    bare: dict[bytes, list[int]] = {}
     for d in range(len(items)):
         w = windows_of(c, d, k)
         a, z = c.offsets[d], c.offsets[d + 1]
@@ -197,7 +199,9 @@ def build_index(items: list[tuple], k: int, coverage: float = COVERAGE) -> Index
         slots.append({int(p - a): (int(c.named[p]), c.values[c.word[p]]) for p in range(a, z) if c.named[p]})
         names = {c.values[c.word[p]] for p in range(a, z) if c.kind[p] == NAME}
         soft.append({p for p, (_, v) in slots[-1].items() if not c.kind[a + p] and v not in names})
-        if (c.kind[a:z] == 0).any():  # an item of placeholders only says nothing
+        if z > a and c.kind[a:z].all():  # its canonical words say nothing, its values do
+            bare.setdefault(c.value[a:z].tobytes(), []).append(d)
+        elif z > a:
             same = np.unique(w, return_index=True, return_inverse=True)
             first = same[1][same[2]]  # a window that the item repeats counts once
             rows.append(np.column_stack([w.view(np.int64), np.full(len(w), d), np.arange(len(w)), first]))
@@ -210,7 +214,7 @@ def build_index(items: list[tuple], k: int, coverage: float = COVERAGE) -> Index
                 rows.append(np.column_stack([g.view(np.int64), np.full(len(g), d), at, first[at]]))
     m = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
     found = {n: postings(np.concatenate(r)) for n, r in seeds.items()}
-    return Index(*postings(m), [i for i, _ in items], np.array(size), slots, soft, np.array(length), np.array(edits), value, named, found)
+    return Index(*postings(m), [i for i, _ in items], np.array(size), slots, soft, np.array(length), np.array(edits), value, named, bare, found)
 
 
 def consistent(slots: dict, other: dict, shifts: list[int]) -> tuple[int, int]:
@@ -279,6 +283,21 @@ def _verdict(ix: Index, c: Canon, i: int, lo: int, hi: int, k: int) -> tuple | N
     return None
 
 
+def _bare(ix: Index, c: Canon, doc: np.ndarray, k: int) -> set[tuple[int, int]]:
+    """(text, item) where a whole run of placeholders has the values of an item that is placeholders only."""
+    if not ix.bare:
+        return set()
+    full = c.kind > 0
+    cut = np.ones(len(full) + 1, bool)
+    cut[1:-1] = (full[1:] != full[:-1]) | (doc[1:] != doc[:-1])
+    edge = np.nonzero(cut)[0]
+    start, end = edge[:-1], edge[1:]
+    n = end - start
+    pick = full[start] & np.isin(n, [len(b) // 8 for b in ix.bare]) if len(start) else np.zeros(0, bool)
+    pick[pick] &= (n[pick] >= k) | (n[pick] == np.diff(c.offsets)[doc[start[pick]]])
+    return {(int(doc[a]), i) for a, z in zip(start[pick], end[pick]) for i in ix.bare.get(c.value[a:z].tobytes(), ())}
+
+
 def _match(ix: Index, k: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,6 +335,9 @@ def _match(ix: Index, k: int, coverage: float):
                 for p, s, n, match in _near(ix, c, doc, done, k):
                     for col, v in zip(out, (ids[lo + p // len(ix.ids)], ix.ids[p % len(ix.ids)], s, n, match)):
                         col.append(v)
+                for d, i in sorted(_bare(ix, c, doc, k)):
+                    for col, v in zip(out, (ids[lo + d], ix.ids[i], 1.0, int(ix.length[i]), "verbatim")):
+                        col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string()))], ["id", "item", "coverage", "slots", "match"])
 
     return run
@@ -327,7 +349,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     coverage is the share of the item's distinct windows in the document or, where that is too
     small, of its words without the edits or in the longest run; match is verbatim,
     or template where slots hold other values.  Null, empty and blank texts match nothing, on
-    either side; a document or item shorter than a window is one window.  Items with a null
+    either side; a document or item shorter than a window is one window.  An item of placeholders
+    only (a row of numbers) has no template: it is found by its values, where they are a whole
+    run of placeholders in the document, not a stretch of a longer one.  Items with a null
     id are left out; a document with a null id is reported under null.  Repeated rows are
     matched each.  Only the named columns are read.
     """

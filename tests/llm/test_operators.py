@@ -259,6 +259,12 @@ def test_decontamination_of_edited_and_quoted_items(spark):
     assert [decontam.surest(n, n // 5) for n in (5, 9, 15, 40)] == [2, 4, 3, 4]
 
 
+def test_decontamination_of_items_of_placeholders(spark):
+    items = ["5 6 7 8 9 10", "42", "3 km 4 km 5 km"]
+    texts = ["The row is 5 6 7 8 9 10 and ends.", "4 5 6 7 8 9 10 11", "5 6 7 8 9 11", "42", "It is 42 now.", items[2], "3 km 4 km 6 km", ""]
+    assert found(spark, items, texts) == {(0, 0, "verbatim"), (3, 1, "verbatim"), (5, 2, "verbatim")}
+
+
 def test_decontamination_finds_every_planted_item(spark, sf):
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     planted = {tuple(x) for x in d.join(b.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
