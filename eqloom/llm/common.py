@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SIEVE_BITS, HOT_KEYS = 1 << 20, 27, 10_000
 MASK = (1 << 64) - 1
 
 
@@ -39,7 +39,83 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eqloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once whatever needed them has been written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def sieve(keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """(b, m): a bitmap of 2 ** bits bits in rows of 4 KB, with a bit for each long in column key.
+
+    Its size is bounded by `bits`, whatever the number of keys; a null key sets no bit.
+    """
+    n = keys.where("key is not null").select((F.pmod("key", F.lit(1 << bits)) + 1).alias("n")).distinct()
+    n = n.withColumn("b", F.bitmap_bucket_number("n")).repartition("b")
+    return n.groupBy("b").agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """The same bitmap as bytes on the driver."""
+    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
+    for r in sieve(keys, bits).collect():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def sifted(rows: DataFrame, key: Column, keys: DataFrame, as_name: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """rows with a boolean column: false where the key is surely none of `keys` (see sieve).
+
+    The bitmap is broadcast (16 MB at most), so no row moves.  A chance hit only sends a row
+    the longer way.
+    """
+    b, m, k = unused([*rows.columns, as_name], "_b", "_m", "_k")
+    n = F.pmod(k, F.lit(1 << bits)) + 1
+    place = F.bitmap_bit_position(n)
+    held = F.conv(F.hex(F.substring(m, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(held.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0, F.lit(False))
+    found = rows.withColumn(k, key).withColumn(b, F.bitmap_bucket_number(n))
+    return found.join(F.broadcast(keys.select(F.col("b").alias(b), F.col("m").alias(m))), b, "left").withColumn(as_name, hit).drop(b, m, k)
+
+
+def on_few(rows: DataFrame, key: Column, few: DataFrame, few_key: Column, then, otherwise) -> DataFrame:
+    """then(rows whose key may be one of few's) and otherwise(the rest), which moves nowhere.
+
+    For joins of whole texts with a table that names some of them: only those are shuffled.
+    """
+    (hit,) = unused(rows.columns, "_hit")
+    both = sifted(rows, key, sieve(few.select(few_key.alias("key"))), hit)
+    return then(both.where(hit).drop(hit)).unionByName(otherwise(both.where(~F.col(hit)).drop(hit)))
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n", hot: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with a table of their keys and the number of rows of each (column n).
+
+    Keys with at least 1/hot of all those rows are at most `hot`, which bounds the broadcast
+    that joins their rows where they are; the other keys are shuffled, each with a small share.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    least = F.lit(total / hot)
+    often = F.broadcast(counted.where(F.col(n) >= least))
+    rest = rows.join(often.select(*on), on, "left_anti").join(counted.where(F.col(n) < least), on)
+    return rows.join(often, on).unionByName(rest)
 
 
 def crc_fold(id_col: str | Column, folds: int) -> Column:

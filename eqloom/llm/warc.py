@@ -3,6 +3,8 @@
     df.write.format("eqloom_warc").mode("append").save(path)
     spark.read.format("eqloom_warc").load(path)
 
+A path needs its scheme here, as workers know no default file system; archive and read add it.
+
 Writing: each task writes archives of its own name; the commit lists the files of the
 successful attempts, with marks at record boundaries, in a manifest.  What a lost or
 repeated attempt left is in no manifest and is never read.
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
+from eqloom.llm.common import discard, join_counted, materialize, sieve, sifted
+
 SCHEMA = "row_id long, record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to long, payload_bytes long, payload binary"
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "row_id": "x-row-id", "refers_to": "x-refers-to-row"}
 LEAST, SPLIT, ROTATE = 1000, 32 << 20, 1 << 30
@@ -42,6 +46,12 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without means the file system that Spark itself would take."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def record_id(row: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row}/{digest}')}>"
 
@@ -231,22 +241,39 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """Write a record for each row: payloads of at least `least` bytes once, then as revisits.
 
     Of rows with equal payloads the one with the largest id is the response (each of them,
-    if rows repeat that id).  A null payload is empty; a null url has no target header; a row
+    if rows repeat that id).  A null payload is empty, one of any length is one record; a null url has no target header; a row
     with a null id is written without a row id, and is a revisit if another row has its payload.
-    An empty table makes an archive without records.
+    Other columns are not read, whatever they are called.  An empty table makes an archive without records.
+
+    Payloads are written where they are read.  A bitmap of fixed size says whether a payload may
+    be repeated, a second one whether the row needs its payload all the same (as the response, or
+    because the first bitmap was wrong): only rows with a repeated payload are joined with the
+    responses' ids, and those that are surely revisits go without their payload.
     """
     spark = pages.sparkSession
     register(spark)
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     src = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     src = src.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
-    heads = src.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("row_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1 and head is not null").drop("n")
+    heads = src.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("row_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1 and head is not null")
+    heads = materialize(heads, "heads")
+    same, own = F.xxhash64("payload_digest"), lambda row: F.xxhash64("payload_digest", row)
+    repeated = materialize(sieve(heads.select(same.alias("key"))), "repeated")
+    wrong = sifted(src.drop("payload"), same, repeated, "again").where("again").join(heads, "payload_digest", "left_anti")
+    needed = materialize(sieve(heads.select(own("head").alias("key")).unionByName(wrong.select(own("row_id").alias("key")))), "needed")
+    src = sifted(src, same, repeated, "again")
+    none = F.lit(None).cast("long").alias("refers_to")
+    parts = ["row_id", "target_uri", "payload_digest", "payload_bytes", none, "payload"]
+    once = src.where("not again").select(*parts)
+    again = sifted(src.where("again"), own("row_id"), needed, "full").withColumn("payload", F.when(F.col("full"), F.col("payload")))
+    lone = again.where("full").join(heads, "payload_digest", "left_anti").select(*parts)
     refers = F.when(~F.col("row_id").eqNullSafe(F.col("head")), F.col("head"))
-    out = src.join(heads, "payload_digest", "left").withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    out.select("row_id", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload").write.format("eqloom_warc").mode("append").save(path)
+    known = join_counted(again, heads, ["payload_digest"]).withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    once.unionByName(lone).unionByName(known.select(*once.columns)).write.format("eqloom_warc").mode("append").save(qualified(spark, path))
+    discard(heads, repeated, needed)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of an archive or a folder of archives; payload=False reads headers only."""
     register(spark)
-    return spark.read.format("eqloom_warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("eqloom_warc").option("payload", str(payload).lower()).load(qualified(spark, path))
