@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import materialize, plain, text_slices
+from eqloom.llm.common import bitmap, discard, join_counted, materialize, on_few, plain, text_slices, unused
 
 MIN_CHARS, BLOCKS, BITS = 24, 3, 23
 
@@ -88,14 +88,18 @@ def _lines(min_chars: int, exact_chars: int, blocks: int):
                 idx, uniq = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary.to_pylist()
                 hs = np.fromiter((h(u) for u in uniq), np.uint64, len(uniq))
                 keys = np.array([coarse(u, blocks) if len(u) >= min_chars else [0] * 2 * blocks for u in uniq], np.uint64).reshape(len(uniq), 2 * blocks)
-                ends = np.concatenate([[0], np.cumsum(near * 2 * blocks)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[idx[near]].ravel().view(np.int64)))
+                # a line's keys follow from its hash, so one place of it in a slice carries them
+                once = np.zeros(len(idx), bool)
+                once[np.unique(idx, return_index=True)[1]] = True
+                once &= near
+                ends = np.concatenate([[0], np.cumsum(once * 2 * blocks)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[idx[once]].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), b.column("fp").take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(hs[idx].view(np.int64)), lists], ["id", "fp", "line", "h", "keys"])
 
     return run
 
 
-def _texts(bitmap: np.ndarray, bits: int):
+def _texts(held: np.ndarray, bits: int):
     from xxhash import xxh3_64_intdigest as h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def _texts(bitmap: np.ndarray, bits: int):
                 uniq = normal_lines(texts.slice(lo, hi - lo))[1].unique().to_pylist()
                 hs = np.fromiter((h(u) for u in uniq), np.uint64, len(uniq))
                 x = (hs & np.uint64((1 << bits) - 1)).astype(np.int64)
-                hit = np.nonzero((bitmap[x >> 3] >> (x & 7).astype(np.uint8)) & 1)[0]
+                hit = np.nonzero((held[x >> 3] >> (x & 7).astype(np.uint8)) & 1)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(hs[hit].view(np.int64)), pa.array([uniq[i] for i in hit], pa.string())], ["h", "norm"])
 
     return run
@@ -123,17 +127,20 @@ def _variants(blocks: int):
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the low bits of each hash: 2 ** bits bits, whatever the number of hashes."""
-    n = F.pmod(F.col("h"), F.lit(1 << bits)) + 1
-    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
-    for r in hashes.select(n.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m")).collect():
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line numbers to remove as a mask over the lines up to the last of them."""
+    for b in batches:
+        lists = b.column("lines")
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        most = np.maximum.reduceat(flat, off[:-1]) + 1 if len(lists) else np.zeros(0, np.int64)  # no list is empty
+        ends = np.concatenate([[0], np.cumsum(most)])
+        mask = np.zeros(ends[-1], bool)
+        mask[flat[off[0] : off[-1]] + np.repeat(ends[:-1], np.diff(off))] = True
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(mask)).cast(pa.list_(pa.bool_())), pa.array(np.diff(off).astype(np.int64))], ["id", "fp", "gone", "n"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, blocks: int = BLOCKS, exact_chars: int | None = None) -> DataFrame:
-    """(id, fp, gone): the numbers (from 0) of the lines to remove from each document that has any.
+    """(id, fp, gone, n): a mask of the lines to remove, and their number, for each document that has any.
 
     fp is xxhash64 of the text, so rows that share an id but not a text stay apart; rows that
     repeat both stand at the same places and lose the same lines.  A null id is earliest.  Without `exact_chars`, it is `min_chars`.
@@ -146,8 +153,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = lines.select("h", F.posexplode("keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     cand = materialize(keyed.join(shared, "key").distinct(), "cand")
-    bitmap = _bitmap(cand.select("h"), BITS)
-    norm = src.select("text").mapInArrow(_texts(bitmap, BITS), "h long, norm string").join(cand.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    norm = src.select("text").mapInArrow(_texts(bitmap(cand.select(F.col("h").alias("key")), BITS), BITS), "h long, norm string").join(cand.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     norm = materialize(norm, "norm")
     rows = cand.join(norm, "h").join(firsts.select("h", "pos"), "h").select("key", "at", "h", "pos", "norm")
     schema = "v long, role int, h long, pos struct<id: bigint, line: bigint, fp: bigint>"
@@ -163,21 +169,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.select("h", F.col("o.h").alias("h2"))
     near = pairs.join(norm, "h").join(norm.select(F.col("h").alias("h2"), F.col("norm").alias("norm2")), "h2")
     near = near.where(F.levenshtein("norm", "norm2", 1) >= 0).select("h", F.lit(True).alias("near"))
-    marked = firsts.join(near, "h", "left").where("n > 1 or near")
-    gone = lines.drop("keys").join(marked, "h").where(F.coalesce("near", F.lit(False)) | (pos != F.col("pos")))
-    return materialize(gone.groupBy("id", "fp").agg(F.collect_set("line").alias("gone")), "gone")
+    marked = materialize(firsts.join(near, "h", "left").where("n > 1 or near"), "marked")
+    gone = join_counted(lines.drop("keys"), marked, ["h"]).where(F.coalesce("near", F.lit(False)) | (pos != F.col("pos")))
+    out = materialize(gone.groupBy("id", "fp").agg(F.collect_set("line").alias("lines")).mapInArrow(_masks, "id long, fp long, gone array<boolean>, n long"), "gone")
+    discard(lines, firsts, cand, norm, var, marked)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs with the repeated lines cut from the text, and n_lines and n_removed.
 
     A null text stays null with no lines; an empty text is one empty line.  A text may become
-    empty.  All other columns are passed through (a column that is itself called n_lines or
-    n_removed is replaced).  An empty table gives an empty table.
+    empty.  Texts and lines may be of any length: lines are cut by a mask, in one pass over them.
+    All other columns are passed through (a column that is itself called n_lines or
+    n_removed is replaced).  An empty table gives an empty table.  Only documents that lose lines are shuffled.
     """
-    gone = repeated_lines(docs, id_col, text_col, **how).select(F.col("id").alias("_lid"), F.col("fp").alias("_lfp"), F.col("gone").alias("_gone"))
-    keep = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
-    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_lid")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_lfp")), "left")
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1))).cast("long")
-    cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
-    return out.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: cut}).drop("_lid", "_lfp", "_gone")
+    i, f, gone, n = unused([*docs.columns, "n_lines", "n_removed"], "_id", "_fp", "_gone", "_n")
+    few = repeated_lines(docs, id_col, text_col, **how).select(F.col("id").alias(i), F.col("fp").alias(f), F.col("gone").alias(gone), F.col("n").alias(n))
+    own_id, own_fp = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    out = docs.drop("n_lines", "n_removed") if {"n_lines", "n_removed"} & {c.lower() for c in docs.columns} else docs
+    cut = lambda d: d.join(few, own_id.eqNullSafe(F.col(i)) & (own_fp == F.col(f)), "left").drop(i, f)
+    whole = lambda d: d.withColumns({gone: F.lit(None).cast("array<boolean>"), n: F.lit(None).cast("long")})
+    out = on_few(out, F.xxhash64(own_id, own_fp), few, F.xxhash64(i, f), cut, whole)
+    keep = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, at: ~F.coalesce(F.get(F.col(gone), at), F.lit(False)))
+    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1))).cast("long")
+    left = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
+    return out.withColumns({"n_lines": lines, "n_removed": F.coalesce(F.col(n), F.lit(0)).cast("long"), text_col: left}).drop(gone, n)
