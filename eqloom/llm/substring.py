@@ -15,7 +15,8 @@ windows are matched by anchors instead:
 3. Equal segments: all but the earliest are covered.  Where an anchor has different
    segments, a third pass emits the windows of their earliest copies, and those join by hash.
 All groups are settled by map-side minima, so a passage in a third of all documents is one
-row a task.
+row a task; segments and windows are equal if two independent 64-bit hashes are (the anchor's
+and their own), and rows of very common ones are joined where they are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import as_long, materialize, mix, ngram_hashes, plain, split_words, text_slices, word_hashes
+from eqloom.llm.common import as_long, bitmap, discard, join_counted, materialize, mix, ngram_hashes, on_few, plain, split_words, text_slices, word_hashes
 
 WINDOW, GRAM, BITS, SHARD = 20, 8, 25, 200_000
 
@@ -69,19 +70,19 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _has(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
+def _has(held: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
     x = (key.astype(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return ((bitmap[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
+    return ((held[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _segments(bitmap: np.ndarray, bits: int, window: int, gram: int):
+def _segments(held: np.ndarray, bits: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = plain(b.column("text"))
             for lo, hi in text_slices(texts):
                 off, words = split_words(texts.slice(lo, hi - lo))
                 d, first, size, anchor, seg, _ = segments(word_hashes(words), off, window, gram)
-                hit = _has(bitmap, bits, anchor)
+                hit = _has(held, bits, anchor)
                 d, first = d[hit], first[hit]
                 row = pa.array(d + lo)
                 yield pa.RecordBatch.from_arrays([as_long(anchor[hit]), as_long(seg[hit]), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int32()), pa.array(size[hit], pa.int32())], ["anchor", "seg", "id", "fp", "start", "size"])
@@ -89,52 +90,45 @@ def _segments(bitmap: np.ndarray, bits: int, window: int, gram: int):
     return run
 
 
-def _windows(bitmap: np.ndarray, bits: int, window: int, gram: int):
+def _windows(held: np.ndarray, bits: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = plain(b.column("text")), pc.fill_null(b.column("id"), 0).to_numpy()
             for lo, hi in text_slices(texts):
                 off, words = split_words(texts.slice(lo, hi - lo))
-                d, first, size, _, seg, win = segments(word_hashes(words), off, window, gram)
-                hit = _has(bitmap, bits, seg.view(np.int64) ^ ids[lo + d] ^ ((first - off[d]) << 7))
-                d, first, size, seg = d[hit], first[hit], size[hit], seg[hit]
+                d, first, size, anchor, seg, win = segments(word_hashes(words), off, window, gram)
+                hit = _has(held, bits, seg.view(np.int64) ^ ids[lo + d] ^ ((first - off[d]) << 7))
+                d, first, size = d[hit], first[hit], size[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 flat = win[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
                 row = pa.array(d + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(seg), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), as_long(flat))],
-                    ["seg", "id", "fp", "start", "wins"],
+                    [as_long(anchor[hit]), b.column("id").take(row), b.column("fp").take(row), pa.array(first - off[d], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), as_long(flat))],
+                    ["anchor", "id", "fp", "start", "wins"],
                 )
 
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the low bits of each hash: 2 ** bits bits, whatever the number of hashes."""
-    n = F.pmod(F.col("key"), F.lit(1 << bits)) + 1
-    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
-    for r in hashes.select(n.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m")).collect():
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
-
-
 def repeated_spans(src: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """(id, fp, spans) of each row (id, fp, text) with words to remove; a span is [from, to) in words."""
     counts = src.select("text").mapInArrow(_anchors(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = _bitmap(counts.select(F.col("anchor").alias("key")), bits)
-    rows = materialize(src.mapInArrow(_segments(bitmap, bits, window, gram), "anchor long, seg long, id long, fp long, start int, size int"), "segments")
+    held = bitmap(counts.select(F.col("anchor").alias("key")), bits)
+    rows = materialize(src.mapInArrow(_segments(held, bits, window, gram), "anchor long, seg long, id long, fp long, start int, size int"), "segments")
     pos = F.struct("id", "start", "fp")
     first = materialize(rows.groupBy("anchor", "seg").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")), "first")
-    later = rows.drop("anchor").join(first.where("n > 1").select("seg", "first"), "seg").where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + F.col("size") + window - 1).alias("end"))
+    later = join_counted(rows, first.where("n > 1"), ["anchor", "seg"]).where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + F.col("size") + window - 1).alias("end"))
     mixed = first.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a <> b").select("anchor")
     need = materialize(first.join(mixed, "anchor").select("seg", "first.*"), "mixed")
     key = F.col("seg").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 7))
-    found = src.mapInArrow(_windows(_bitmap(need.select(key.alias("key")), bits), bits, window, gram), "seg long, id long, fp long, start int, wins array<long>")
+    found = src.mapInArrow(_windows(bitmap(need.select(key.alias("key")), bits), bits, window, gram), "anchor long, id long, fp long, start int, wins array<long>")
     # a chance hit of the bitmap is another true segment, so it may take part
-    each = materialize(found.select("id", F.posexplode("wins").alias("o", "win"), "fp", "start").select("id", (F.col("start") + F.col("o")).alias("start"), "fp", "win"), "windows")
-    least = each.groupBy("win").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = each.join(least, "win").where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + window).alias("end"))
-    return later.unionByName(single).groupBy("id", "fp").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    each = materialize(found.select("anchor", "id", F.posexplode("wins").alias("o", "win"), "fp", "start").select("id", (F.col("start") + F.col("o")).alias("start"), "fp", "anchor", "win"), "windows")
+    least = materialize(each.groupBy("anchor", "win").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    single = join_counted(each, least, ["anchor", "win"]).where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + window).alias("end"))
+    out = materialize(later.unionByName(single).groupBy("id", "fp").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    discard(rows, first, need, each, least)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +155,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other words joined by a blank.  A null, empty or blank text has no words and stays empty;
     a text shorter than a window loses none.  Rows that repeat id and text count as one
     document; texts under one id are ordered by the place of the window.  A null id comes first.
+    Texts may be of any length.  Other columns are not read.  An empty table gives an empty table.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
-    spans = repeated_spans(src, window).select(F.col("id").alias("_i"), F.col("fp").alias("_f"), "spans")
-    both = src.join(spans, F.col("id").eqNullSafe(F.col("_i")) & (F.col("fp") == F.col("_f")), "left").select("id", "text", "spans")
+    spans = repeated_spans(src, window).withColumnsRenamed({"id": "_i", "fp": "_f"})
+    joined = lambda d: d.join(spans, F.col("id").eqNullSafe(F.col("_i")) & (F.col("fp") == F.col("_f")), "left").select("id", "text", "spans")
+    whole = lambda d: d.select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    both = on_few(src, F.xxhash64("id", "fp"), spans, F.xxhash64("_i", "_f"), joined, whole)
     return both.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
