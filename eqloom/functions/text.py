@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eqloom import lexicon as L
 
-BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z(])"
+BOUNDARY = "(?U)" + L.SENTENCE_END
 
 
 def strip(c: Column) -> Column:
@@ -15,19 +15,26 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# texts of letters, digits and plain signs with single blanks, which no cleaner changes; most prose is such
+_PLAIN = r"^(?! )(?!.*(?:  |script|SCRIPT{more}))[{signs}\x{{C0}}-\x{{24F}} ]*(?<! )$"
+PLAIN = _PLAIN.format(more="", signs=r"!-\[\]`-~")
+PLAIN_CONTEXT = _PLAIN.format(more="|Script|italic|caligraphic|bold", signs=r"!-\[\]`-z|~")
+
+
 def clean_text(c: Column) -> Column:
     """Prose without typesetting artifacts, white space collapsed."""
+    full = c
     for pattern, by in ((r"\x{A0}", " "), (L.ARTIFACTS, " "), (L.MATH_LETTERS, " "), (L.ZERO_WIDTH, ""), (L.SCRIPTS, ""), (L.RAW_LATEX, ""), (r"\s+", " ")):
-        c = F.regexp_replace(c, "(?U)" + pattern, by)
-    return strip(c)
+        full = F.regexp_replace(full, "(?U)" + pattern, by)
+    return F.when(c.rlike(PLAIN), c).otherwise(strip(full))
 
 
 def clean_context(c: Column) -> Column:
     """The gentler cleaner of context windows: artifacts go, only double blanks collapse."""
-    c = F.regexp_replace(c, r"\x{A0}", " ")
+    full = F.regexp_replace(c, r"\x{A0}", " ")
     for pattern in (L.CONTEXT_ARTIFACTS, L.MATH_LETTERS, L.SCRIPTS, L.RAW_LATEX, L.SCRIPT_WORDS, r"[{}]"):
-        c = F.regexp_replace(c, "(?U)" + pattern, "")
-    return strip(F.regexp_replace(c, r" {2,}", " "))
+        full = F.regexp_replace(full, "(?U)" + pattern, "")
+    return F.when(c.rlike(PLAIN_CONTEXT) & ~F.contains(F.lower(c), F.lit("script")), c).otherwise(strip(F.regexp_replace(full, r" {2,}", " ")))
 
 
 def sentences(c: Column) -> Column:
@@ -35,17 +42,36 @@ def sentences(c: Column) -> Column:
     return F.split(c, BOUNDARY, -1)
 
 
+def pieces(c: Column) -> Column:
+    """The sentences with the blanks that follow them, so that their lengths add up to the text's."""
+    return F.split(F.regexp_replace(c, r"(?U)(?<=[.!?])(\s+)(?=[A-Z(])", "$1\u001f"), "\u001f", -1)
+
+
+def _token_pattern(stop: list[str]) -> str:
+    """Runs of letters and digits that are neither a stop word nor one letter, as one pattern."""
+    tails: dict[str, list[str]] = {}
+    for w in stop:
+        tails.setdefault(w[0], []).append(w[1:])
+    words = "|".join(f"{h}(?:{'|'.join(t)})" for h, t in tails.items())
+    return rf"(?<![a-z0-9])(?!(?:{words})(?![a-z0-9]))(?:[a-z0-9]{{2,}}|[0-9])"
+
+
+TOKEN = _token_pattern([*L.RETRIEVAL_STOP, *L.RETRIEVAL_ARTIFACTS])
+
+
 def tokens(c: Column) -> Column:
-    """Index terms: lower-cased runs of letters and digits without stop words; letters need two characters."""
-    stop = F.array(*[F.lit(w) for w in [*L.RETRIEVAL_STOP, *L.RETRIEVAL_ARTIFACTS]])
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1), lambda t: ~F.array_contains(stop, t) & (t.rlike("^[0-9]+$") | (F.length(t) >= 2)))
+    """Index terms: lower-cased runs of letters and digits without stop words; letters need two characters.
+
+    Null for a null text, an empty array for one without terms.
+    """
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
 
 
 def is_prose(c: Column) -> Column:
     """At least three words, 40 % of them with two ASCII letters."""
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    good = F.size(F.filter(words, lambda w: F.length(F.regexp_replace(w, "[^a-zA-Z]", "")) >= 2))
-    return (F.size(words) >= 3) & (good / F.nullif(F.size(words), F.lit(0)) >= 0.4)
+    words = F.regexp_count(c, F.lit(r"\S+"))
+    good = F.regexp_count(c, F.lit(r"[a-zA-Z][^\sa-zA-Z]*[a-zA-Z]\S*"))  # from a word's first letter to its end
+    return (words >= 3) & (good / F.nullif(words, F.lit(0)) >= 0.4)
 
 
 def has_gazetteer_name(c: Column) -> Column:
@@ -83,8 +109,26 @@ def latex_symbols(c: Column) -> Column:
     return F.array_distinct(F.filter(F.arrays_zip(found.alias("t"), names.alias("n")), lambda x: F.when(x["t"].startswith("\\"), F.array_contains(greek, x["n"])).otherwise(~F.array_contains(skip, x["n"])))["n"])
 
 
+def _is_other(d: Column, symbol: Column, others: Column) -> Column:
+    low = F.array_remove(F.transform(others, F.lower), F.lower(symbol))
+    return F.array_contains(others, d) | F.array_contains(low, F.lower(d))
+
+
+def without_math(c: Column) -> Column:
+    """Inline formulas replaced by one word."""
+    return F.regexp_replace(c, L.INLINE_MATH, "MATHSYM")
+
+
+def any_cited(c: Column) -> Column:
+    """Numbers in brackets that a text may cite, with or without a word for it, in order (the earlier rule)."""
+    return F.transform(F.regexp_extract_all(c, F.lit(L.ANY_CITATION), 0), lambda x: F.regexp_extract(x, r"\(\s*([\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*)\s*\)$", 1))
+
+
 def reject_reason(definition: Column, symbol: Column, others: Column | None = None) -> Column:
-    """Why a definition is no definition of the symbol (first rule that holds), else null."""
+    """Why a definition is no definition of the symbol (first rule that holds), else null.
+
+    `others` are the symbols of the formula; the symbol itself among them counts only as it is written.
+    """
     d = strip(definition)
     words = F.filter(F.split(F.lower(d), r"\s+"), lambda w: w != "")
     dangling = F.array(*[F.lit(w) for w in L.DANGLING])
@@ -93,7 +137,7 @@ def reject_reason(definition: Column, symbol: Column, others: Column | None = No
     return (
         F.when(F.length(d) <= 1, "single_char_def")
         .when(F.lower(d) == F.lower(symbol), "def_equals_symbol")
-        .when(F.array_contains(others, d) if others is not None else F.lit(False), "def_equals_other_symbol")
+        .when(_is_other(d, symbol, others) if others is not None else F.lit(False), "def_equals_other_symbol")
         .when(F.array_contains(dangling, F.try_element_at(words, F.lit(1))), "starts_with_function_word")
         .when(F.array_contains(dangling, F.try_element_at(words, F.lit(-1))), "dangling_function_word")
         .when(F.forall(words, lambda w: F.array_contains(stop, w)), "stop_words_only")

@@ -38,11 +38,33 @@ SKIP_COMMANDS = (
 ).split()
 SKIP_LETTERS = list("dnijklm")
 
-# Greek letters by name.
-GREEK = dict(zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega hbar".split(), "αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΥΦΨΩℏ"))
+# Greek letters by name, with their characters.
+GREEK = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ",
+    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ",
+    "tau": "τ", "upsilon": "υ", "phi": "φϕ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ", "Delta": "Δ",
+    "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ",
+    "Omega": "Ω", "hbar": "ℏħ",
+}
 
-# Second forms of Greek letters.
-GREEK_ALSO = {"phi": "ϕ", "hbar": "ħ"}
+# Symbol queries know one more command, and don't know three letters.
+QUERY_FORMS = {"\\varepsilon": ["epsilon", "varepsilon", "ε"]}
+NO_QUERY_FORMS = ["Xi", "Upsilon", "hbar"]
+
+# LaTeX of MathML identifiers beside the first Greek forms, of operators, and of accents.
+IDENTIFIERS = {"ħ": "\\hbar", "∞": "\\infty"}
+OPERATORS = {
+    "∂": "\\partial", "∇": "\\nabla", "∞": "\\infty", "∫": "\\int", "∮": "\\oint", "∑": "\\sum", "∏": "\\prod",
+    "≤": "\\leq", "≥": "\\geq", "≠": "\\neq", "≈": "\\approx", "∈": "\\in", "∉": "\\notin", "⊂": "\\subset", "⊃": "\\supset",
+    "∪": "\\cup", "∩": "\\cap", "∧": "\\wedge", "∨": "\\vee", "→": "\\rightarrow", "←": "\\leftarrow", "↔": "\\leftrightarrow",
+    "⟨": "\\langle", "⟩": "\\rangle", "†": "\\dagger", "‡": "\\ddagger", "×": "\\times", "÷": "\\div", "±": "\\pm", "∓": "\\mp",
+    "·": "\\cdot", "⋅": "\\cdot", "∝": "\\propto", "∼": "\\sim", "≃": "\\simeq", "≡": "\\equiv", "⊗": "\\otimes", "⊕": "\\oplus", "‖": "\\|",
+    "\u2061": "", "\u2062": "", "\u2063": "",
+}
+ACCENTS = {
+    "^": "\\hat", "ˆ": "\\hat", "¯": "\\bar", "‾": "\\bar", "˙": "\\dot", "˜": "\\tilde", "~": "\\tilde",
+    "\u20d7": "\\vec", "→": "\\vec", "\u0308": "\\ddot",
+}
 
 # Phrases that define a symbol, with their confidence; {SYM} stands for its forms.
 DEFINITIONS = [
@@ -65,8 +87,16 @@ ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{AD}]"
 SCRIPTS = r"[_^]\{[^{}]*\}"
 RAW_LATEX = r"\\[a-zA-Z]+(?:\{[^{}]*\})*"
 SCRIPT_WORDS = r"(?i)\b(?:subscript|superscript|postsubscript|postsuperscript)\b"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(])"
 CITATION = r"(?i)(?:eq(?:uation)?s?\.?\s*)?\(\s*(\d+[a-z]?(?:\.\d+)?)\s*\)"
 DEFINITION_CUE = r"(?i)\b(?:define[sd]?|describes?|represents?|gives?|denotes?|is\s+defined\s+(?:as|by))\b"
 EQ_NUMBER = r"^\s*\(\s*([\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*)\s*\)\s*$"
+BRACKETED = r"\(\s*([0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*)\s*\)"
+PDF_FORMULA = r"^(.*?)\s{2,}\(\s*([\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*)\s*\)\s*$"
+CITED_BEFORE, CITED_AFTER = r"(?:eq(?:uation)?s?\.?\s*)?\(\s*", r"\s*\)"
+LINK_TARGET, LINK_NUMBER = r"\.[Ee](?:Gx)?\d+", r"(\d+[a-z]?(?:\.\d+)?)"
+PARAGRAPH, SECTION_OF = r"^(.+\.)p(\d+)$", r"^(.+?)\.p\d+$"
+ANY_CITATION = r"[Ee]quations?\s*\(\s*[\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*\s*\)|[Ee]qs?\.?\s*\(\s*[\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*\s*\)|(?<!\()\(\s*[\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*\s*\)(?!\s*\))"
+INLINE_MATH = r"\$[^$]+\$|\\\([^)]+\\\)|\\[a-zA-Z]+\{[^}]*\}"
 GARBAGE = r"^[a-zA-Z]$|^[\\^_{}()\[\]|]+$|^\\.+"
 NOISE = r"\bitalic[-_]\S+|\bstart_[A-Z]\w*|\bend_[A-Z]\w*|\broad_[A-Za-z_]+|\bcaligraphic_\S+|\bbold_[a-z]\S*|[\x{1D400}-\x{1D7FF}]|[_^]\{[^{}]*\}|\\[a-zA-Z]+(?:\{[^{}]*\})*|\b(?:subscript|superscript|postsubscript|postsuperscript)\b|\x{A0}"

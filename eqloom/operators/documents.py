@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from eqloom import lexicon as L
 from eqloom.functions import text as T
+from eqloom.sources.durable import keep
 
 PARTS = frozenset({"equation", "para", "spot", "link"})
-SENTENCE, EVIDENCE = 10, 300
+SENTENCE, EVIDENCE, STOP = 10, 300, 350
 
 
 def order_of(number: Column) -> list[Column]:
@@ -18,12 +19,78 @@ def order_of(number: Column) -> list[Column]:
     return [as_int.isNull(), as_int, number]
 
 
+def first_numbers(found: DataFrame, order: str, cap: int) -> DataFrame:
+    """Rows (id, number, ...) with eq_ord: the first row of each number of a paper, `cap` numbers a paper."""
+    one = found.withColumn("_o", F.row_number().over(Window.partitionBy("id", "number").orderBy(order))).where("_o = 1").drop("_o")
+    return one.withColumn("eq_ord", F.row_number().over(Window.partitionBy("id").orderBy(order))).where(F.col("eq_ord") <= cap)
+
+
 def equations(nodes: DataFrame, cap: int = 7) -> DataFrame:
-    """(id, eq_num, eq_ord, equation, latex_method, before, after, mi): a number's first formula, `cap` a paper."""
-    e = nodes.where("kind = 'equation'")
-    e = e.withColumn("_o", F.row_number().over(Window.partitionBy("id", "number").orderBy("ord"))).where("_o = 1")
-    e = e.withColumn("eq_ord", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where(F.col("eq_ord") <= cap)
-    return e.select("id", F.col("number").alias("eq_num"), "eq_ord", F.col("latex").alias("equation"), F.col("method").alias("latex_method"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "mi")
+    """(id, eq_num, eq_ord, equation, source, latex_method, before, after, mi): a number's first formula, `cap` a paper.
+
+    Formulas without a readable number are no rows; a missing context is empty.
+    """
+    e = first_numbers(nodes.where("kind = 'equation'"), "ord", cap)
+    return e.select("id", F.col("number").alias("eq_num"), "eq_ord", F.col("latex").alias("equation"), F.lit("html").alias("source"), F.col("method").alias("latex_method"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "mi")
+
+
+def pdf_equations(lines: DataFrame, cap: int = 7) -> DataFrame:
+    """The same columns from the lines (id, page, line_no, line) of PDF texts.
+
+    A formula is the text before two blanks and a number in brackets at a line's end, which may be
+    a comma only; its context is the nearest line of four words among the 10 before and the 9 after.
+    A null line holds nothing.
+    """
+    words = F.size(F.filter(F.split("line", r"(?U)\s+"), lambda x: x != ""))
+    w = Window.partitionBy("id").orderBy("page", "line_no")
+    near = lines.select("id", "page", "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("_p", F.when(words >= 4, T.strip(F.col("line"))))
+    near = near.withColumns({"before": F.last("_p", True).over(w.rowsBetween(-10, -1)), "after": F.first("_p", True).over(w.rowsBetween(1, 9)), "ord": F.row_number().over(w)})
+    found = near.where(F.col("line").rlike(L.PDF_FORMULA))
+    found = found.withColumns({"equation": T.strip(F.regexp_extract("line", L.PDF_FORMULA, 1)), "number": F.regexp_extract("line", L.PDF_FORMULA, 2)})
+    e = first_numbers(found, "ord", cap)
+    return e.select("id", F.col("number").alias("eq_num"), "eq_ord", "equation", F.lit("pdf").alias("source"), F.lit("pdf_text").alias("latex_method"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.lit(None).cast("array<string>").alias("mi"))
+
+
+def extract(papers: DataFrame, nodes: DataFrame, pdf_lines: DataFrame | None = None, cap: int = 7) -> DataFrame:
+    """Formulas by the source of each paper (id, source): html from node rows, pdf from lines, none has no rows."""
+    of = lambda e: e.join(papers.select("id", "source"), ["id", "source"], "left_semi")
+    out = of(equations(nodes, cap))
+    return out if pdf_lines is None else out.unionByName(of(pdf_equations(pdf_lines, cap)))
+
+
+def running_before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows with `before`, the sum of `value` over the rows earlier in `order` (a unique column).
+
+    Rows are dealt out by ranges of `order`; one sum a range is added up in one place, the rest
+    within the ranges, so no task sees all rows.
+    """
+    parts = keep(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s")).withColumn("_base", F.sum("_s").over(up_to(Window.orderBy("_part"))))
+    out = parts.join(F.broadcast(sums.select("_part", "_base")), "_part")
+    inner = F.sum(value).over(up_to(Window.partitionBy("_part").orderBy(order)))
+    return out.withColumn("before", (F.coalesce(inner, F.lit(0)) + F.coalesce("_base", F.lit(0))).cast("long")).drop("_part", "_base")
+
+
+def until(papers: DataFrame, eqs: DataFrame, limit: int = STOP) -> DataFrame:
+    """papers (id, ord, ...) with n and before, as far as the papers before hold fewer than `limit` formulas."""
+    n = eqs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counted = papers.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return running_before(counted, "ord", "n").where(F.col("before") < limit)
+
+
+def fragments(nodes: DataFrame) -> DataFrame:
+    """(id, table_index, classes, eq_num, has_math, has_annotation, annotation_preview, alttext_preview, html) of every equation table."""
+    f = nodes.where("kind = 'fragment'")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("ord")) - 1
+    return f.select("id", place.alias("table_index"), "classes", F.col("text").alias("eq_num"), F.col("method").isNotNull().alias("has_math"), F.col("latex").isNotNull().alias("has_annotation"), F.col("latex").alias("annotation_preview"), F.col("before").alias("alttext_preview"), F.col("after").alias("html"))
+
+
+def methods(nodes: DataFrame) -> DataFrame:
+    """(id, eq_num, annotation, alttext, mathml, alttext_equal, mathml_equal): the three ways to each number's LaTeX."""
+    m = nodes.where("kind = 'methods'").select("id", "ord", F.col("number").alias("eq_num"), F.col("latex").alias("annotation"), F.col("text").alias("alttext"), F.col("before").alias("mathml"))
+    return m.withColumns({"alttext_equal": F.col("alttext") == F.col("annotation"), "mathml_equal": F.col("mathml") == F.col("annotation")})
 
 
 def passages(nodes: DataFrame, eqs: DataFrame) -> DataFrame:
@@ -34,13 +101,13 @@ def passages(nodes: DataFrame, eqs: DataFrame) -> DataFrame:
     """
     near = nodes.where("kind = 'spot' AND method = 'child' AND para_id IS NOT NULL").groupBy("id", "para_id").agg(F.array_sort(F.collect_list(F.struct("ord", "number"))).alias("_n"))
     numbers = near.select("id", "para_id", F.array_distinct(F.col("_n")["number"]).alias("eq_nums"))
-    para = nodes.where("kind = 'para'").withColumn("text", T.clean_text(F.col("text"))).where("text <> ''")
-    para = para.join(numbers, ["id", "para_id"], "left").select("id", "ord", "text", "section_id", "title", "para_id", "eq_nums")
+    para = nodes.where("kind = 'para'").select("id", "ord", T.clean_text(F.col("text")).alias("text"), "section_id", "title", "para_id")
+    para = keep(para.join(numbers, ["id", "para_id"], "left"), "paragraphs").where("text <> ''")  # cleaned once, used twice
 
-    cut = para.select("*", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    cut = para.withColumn("_l", T.sentences(F.col("text"))).select("*", F.posexplode("_l").alias("pos", "s"))
     # the cleaner leaves one blank between sentences
-    start = F.coalesce(F.sum(F.length("s") + 1).over(Window.partitionBy("id", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sentence = cut.withColumn("start", start.cast("int")).withColumn("text", T.strip(F.col("s"))).where(F.length("text") >= SENTENCE)
+    start = F.when(F.col("pos") == 0, 0).otherwise(F.length(F.array_join(F.slice("_l", F.lit(1), F.col("pos")), " ")) + 1)
+    sentence = cut.select("*", start.alias("start")).drop("_l", "text").withColumn("text", T.strip(F.col("s"))).where(F.length("text") >= SENTENCE)
     sentence = sentence.withColumns({"rank": F.lit(0), "type": F.lit("sentence"), "key": F.struct(F.lit(False).alias("a"), F.col("ord").alias("b"), F.col("pos").cast("string").alias("c"), F.col("pos").alias("d"))})
 
     spot = nodes.where("kind = 'spot'").withColumn("_o", F.row_number().over(Window.partitionBy("id", "number").orderBy("ord"))).where("_o = 1")
@@ -70,8 +137,8 @@ def cross_references(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     repeats; then one lexical row for each paragraph and number that no link covers.
     """
     known = nodes.where("kind = 'spot'").groupBy("id", F.col("elem_id").alias("href")).agg(F.min_by("number", "ord").alias("number"))
-    link = nodes.where("kind = 'link' AND para_id IS NOT NULL").where(F.col("href").rlike(r"\.[Ee](?:Gx)?\d+"))
-    shown = F.nullif(F.regexp_extract("text", r"(\d+[a-z]?(?:\.\d+)?)", 1), F.lit(""))
+    link = nodes.where("kind = 'link' AND para_id IS NOT NULL").where(F.col("href").rlike(L.LINK_TARGET))
+    shown = F.nullif(F.regexp_extract("text", L.LINK_NUMBER, 1), F.lit(""))
     link = link.drop("number").join(known, ["id", "href"], "left")
     link = link.select("id", "ord", F.col("para_id").alias("from_para_id"), F.substring(T.clean_text(F.coalesce("before", F.lit(""))), 1, EVIDENCE).alias("sentence"), F.coalesce("number", shown).alias("to_eq_num"), F.when(F.col("number").isNotNull(), "structural").otherwise("structural_text").alias("source")).where("to_eq_num IS NOT NULL")
     cited = chunks.where("chunk_type = 'sentence'").select("id", "chunk_ord", F.col("para_id").alias("from_para_id"), F.col("text").alias("sentence"), F.explode(F.array_distinct(T.cited_numbers(F.col("text")))).alias("to_eq_num"))
@@ -93,8 +160,18 @@ def naming(chunks: DataFrame, forms: list[str]) -> DataFrame:
     return chunks.where(F.exists(F.array(*[F.lit(f) for f in forms]), lambda f: F.contains("text", f)))
 
 
+def next_to(paras: DataFrame, others: DataFrame, key: str = "para_id") -> DataFrame:
+    """Pairs of rows whose paragraph ids are adjacent, by an equi-join: columns of `others` get the suffix _b.
+
+    Each paragraph asks for the numbers one below and one above, so no band has to be scanned.
+    """
+    part = lambda c, i: F.nullif(F.regexp_extract(c, L.PARAGRAPH, i), F.lit(""))
+    a = paras.select("*", part(F.col(key), 1).alias("_s"), F.explode(F.array(part(F.col(key), 2).try_cast("long") - 1, part(F.col(key), 2).try_cast("long") + 1)).alias("_p"))
+    b = others.select(*[F.col(c).alias(c + "_b") for c in others.columns], part(F.col(key), 1).alias("_s"), part(F.col(key), 2).try_cast("long").alias("_p"))
+    return a.join(b, ["_s", "_p"]).drop("_s", "_p")
+
+
 def adjacent(a: Column, b: Column) -> Column:
     """Whether two paragraph ids share their prefix and differ by one in their number."""
-    pattern = r"^(.+\.)p(\d+)$"
-    part = lambda c, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    part = lambda c, i: F.nullif(F.regexp_extract(c, L.PARAGRAPH, i), F.lit(""))
     return F.coalesce((part(a, 1) == part(b, 1)) & (F.abs(part(a, 2).try_cast("long") - part(b, 2).try_cast("long")) == 1), F.lit(False))

@@ -20,21 +20,38 @@ GRADES = ["none", "strong", "potential"]
 ENTRY = "map<string,map<string,map<string,string>>>"
 
 
-def analyse(pages: DataFrame, id_col: str, html_col: str, cap: int = 7) -> dict[str, DataFrame]:
-    """Tables by name: equations, chunks, xrefs, meanings, symbols, relations, audit.
-
-    Pages are parsed once; node rows, formulas, passages and postings are written to the shared folder.
+def analyse(pages: DataFrame, id_col: str, html_col: str, cap: int = 7, pdf_lines: DataFrame | None = None, order_col: str | None = None, limit: int | None = None) -> dict[str, DataFrame]:
+    """Tables by name: papers, equations, chunks, xrefs, meanings, symbols, relations, audit.
+
+    A paper's source is html if its page is not null, else pdf if `pdf_lines` (id, page, line_no, line)
+    has it, else none; a paper without formulas has a row in papers alone.  With `limit`, papers count
+    in the order of `order_col` (their id, if none is given) as long as those before them hold fewer formulas; later
+    ones are in no table.  Pages are parsed once; node rows, formulas, passages and postings are
+    written to the shared folder.
     """
+    papers = pages.select(F.col(id_col).cast("long").alias("id"), F.col(order_col or id_col).cast("long").alias("ord"), F.col(html_col).isNotNull().alias("html")).where("id is not null")
+    has = F.lit(None).cast("boolean")
+    if pdf_lines is not None:
+        papers, has = papers.join(pdf_lines.select("id").distinct().withColumn("pdf", F.lit(True)), "id", "left"), F.col("pdf")
+    papers = papers.select("id", "ord", F.when(F.col("html"), "html").when(has, "pdf").otherwise("none").alias("source"))
     nodes = keep(H.nodes(pages, id_col, html_col, D.PARTS), "nodes")
-    eqs = keep(D.equations(nodes, cap), "equations")
+    if pdf_lines is None:  # all formulas are those of node rows, and the papers need not be looked up
+        found = D.equations(nodes, cap)
+    else:
+        found = D.extract(papers, nodes, pdf_lines, cap)
+    eqs = keep(found, "equations")
+    if limit is not None:
+        papers = keep(D.until(papers, eqs, limit), "papers")
+        nodes, eqs = (x.join(papers.select("id"), "id", "left_semi") for x in (nodes, eqs))
     chunks = keep(D.passages(nodes, eqs), "chunks")
-    xrefs = D.cross_references(nodes, chunks)
+    xrefs = keep(D.cross_references(nodes, chunks), "xrefs")
     pieces, places = M.pool(chunks), keep(D.places(chunks), "places")
     posts = keep(R.paper_postings(pieces), "postings")
     meanings = keep(M.choose(M.signals(M.candidates(eqs, pieces, posts), places), eqs), "meanings")
     symbols = keep(S.definitions(eqs, pieces, posts), "symbols")
     relations = E.graded(eqs, places, pieces, posts, xrefs, meanings, symbols)
-    out = {"equations": eqs, "chunks": chunks, "xrefs": xrefs, "meanings": meanings, "symbols": symbols, "relations": keep(relations, "relations")}
+    out = {"papers": papers, "equations": eqs, "chunks": chunks, "xrefs": xrefs, "meanings": meanings, "symbols": symbols, "relations": keep(relations, "relations")}
+    out["asked"] = M.retrieval_log(eqs, posts)
     out["audit"] = audit(out)
     return out
 
@@ -49,14 +66,18 @@ def audit(t: dict[str, DataFrame]) -> DataFrame:
     """(id, eq_num, seq, method, detail, key): how each field came about."""
     row = lambda seq, method, detail: [F.col("id"), F.col("eq_num"), seq.cast("long").alias("seq"), method.alias("method"), detail.alias("detail")]
     eq = F.concat(F.lit("eq=("), "eq_num", F.lit(")"))
-    how = t["equations"].select(*row(F.lit(0), F.lit("latex_method"), F.col("latex_method")))
-    said = t["meanings"].select(*row(F.lit(1), F.lit("meaning"), F.when(F.col("meaning") == "", F.concat(eq, F.lit(": no sentence reaches the threshold"))).otherwise(F.concat(eq, F.format_string(": strategy=weighted bm25=%.1f score=%d/15 chunk=%s char_span=[%d,%d] signals=%s", "bm25", "points", "chunk_id", "char_start", "char_end", F.array_join("signals", ","))))))
+    quoted = lambda c, n: F.concat(F.lit("'"), F.substring(c, 1, n), F.lit("'"))
+    how = t["equations"].select(*row(F.lit(0), F.lit("latex_method"), F.concat(eq, F.lit(": method="), "latex_method", F.lit(" latex="), quoted("equation", 60))))
+    asked = t["asked"].select(*row(F.lit(1), F.lit("retrieval"), F.concat(eq, F.lit(": BM25 query="), quoted("query", 60), F.format_string(" hits=%d", "hits"))))
+    named = F.concat(F.lit("["), F.array_join(F.transform("signals", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    chosen = F.concat(eq, F.format_string(": strategy=weighted bm25=%.1f score=%d/15 chunk=%s char_span=[%d,%d] signals=%s sentence=", "bm25", "points", "chunk_id", "char_start", "char_end", named), quoted("meaning", 80))
+    said = t["meanings"].select(*row(F.lit(2), F.lit("meaning"), F.when(F.col("meaning") == "", F.concat(eq, F.lit(": no sentence reaches the threshold"))).otherwise(chosen)))
     # formulas often share symbols, so the order within a formula is that of its symbols
     sym = t["symbols"].select(*row(10 + F.col("ord"), F.when(F.col("reject_reason").isNull(), F.lit("symbol")).otherwise(F.lit("symbol_reject")), F.format_string("sym=%s def=%s confidence=%s pattern=%s chunk=%s reason=%s", "sym", F.substring("definition", 1, 60), "confidence", "pattern", "chunk_id", F.coalesce("reject_reason", F.lit("-")))))
     rel = t["relations"].withColumnRenamed("a", "eq_num")
     place = F.row_number().over(Window.partitionBy("id", "eq_num").orderBy(*D.order_of(F.col("b"))))
     rel = rel.withColumn("_p", place).select(*row(1000 + F.col("_p"), F.lit("relations"), F.format_string("eq=(%s)~(%s): grade=%s signals=%s jaccard=%.2f sim=%.2f", "eq_num", "b", "grade", F.array_join("signals", ","), "jaccard", "cosine")))
-    return keyed(how.unionByName(said).unionByName(sym).unionByName(rel))
+    return keyed(how.unionByName(asked).unionByName(said).unionByName(sym).unionByName(rel))
 
 
 def entries(t: dict[str, DataFrame]) -> DataFrame:
@@ -94,24 +115,29 @@ def violations(e: DataFrame) -> DataFrame:
     e = e.where("eq_num IS NOT NULL")
     keys = F.coalesce(F.map_keys("entry"), F.array().cast("array<string>"))
     as_map = lambda name, kind: F.from_json(F.try_element_at("entry", F.lit(name)), kind)
-    e = e.withColumns({"keys": keys, "syms": as_map("symbols", "map<string,string>"), "rels": as_map("relations", "map<string,string>"), "trail": as_map("audit-trail", "map<string,string>")})
+    values = "map<string,variant>"  # a variant keeps the type that a value has in the JSON
+    e = e.withColumns({"keys": keys, "syms": as_map("symbols", values), "rels": as_map("relations", values), "trail": as_map("audit-trail", values)})
     said = F.coalesce(F.try_element_at("entry", F.lit("meaning")), F.lit(""))
     lit = lambda names: F.array(*[F.lit(n) for n in names])
     words = lambda head, arr: F.transform(arr, lambda k: F.concat(F.lit(head), k))
     logged = lambda *heads: F.exists(F.coalesce(F.map_keys("trail"), F.array().cast("array<string>")), lambda k: k.rlike("^(?:" + "|".join(heads) + ")"))
     when = lambda c, text: F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
-    grades = F.transform(F.coalesce(F.map_values("rels"), F.array().cast("array<string>")), lambda r: F.get_json_object(r, "$.grade"))
+    text_at = lambda v, key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    grades = F.transform(F.map_entries("rels"), lambda r: text_at(r["value"], "grade"))
+    no_text = lambda name, c: F.coalesce(F.transform(F.filter(F.map_entries(c), lambda x: F.schema_of_variant(x["value"]) != "STRING"), lambda x: F.concat(F.lit(f"{name}/"), x["key"], F.lit(" is no text"))), F.array().cast("array<string>"))
     found = F.concat(
         words("missing field ", F.array_except(lit(FIELDS), "keys")),
         words("private field ", F.array_intersect(lit(PRIVATE), "keys")),
         *[when(F.array_contains("keys", name) & F.col(c).isNull(), f"{name} is no object") for name, c in (("symbols", "syms"), ("relations", "rels"), ("audit-trail", "trail"))],
+        no_text("symbols", "syms"),
+        no_text("audit-trail", "trail"),
         when((said != "") & ~logged("meaning", "retrieval"), "meaning without audit"),
         when((F.size("syms") > 0) & ~logged("symbol"), "symbols without audit"),
         when(F.exists(grades, lambda g: F.coalesce(g, F.lit("none")) != "none") & ~logged("relations"), "relations without audit"),
     )
     plain = e.select("paper", "eq_num", F.explode(found).alias("problem"))
     rel = e.select("paper", "eq_num", F.explode("rels").alias("b", "r"))
-    grade, text = F.get_json_object("r", "$.grade"), F.get_json_object("r", "$.description")
+    grade, text = text_at(F.col("r"), "grade"), text_at(F.col("r"), "description")
     bad = rel.where(~F.coalesce(grade.isin(GRADES), F.lit(False)) | text.isNull()).select("paper", "eq_num", F.concat(F.lit("bad relation to "), "b").alias("problem"))
     want = e.select("paper", "eq_num").join(e.select("paper", F.col("eq_num").alias("b")), "paper").where("eq_num <> b")
     gap = want.join(rel.select("paper", "eq_num", "b"), ["paper", "eq_num", "b"], "left_anti").select("paper", "eq_num", F.concat(F.lit("no relation to "), "b").alias("problem"))
@@ -123,17 +149,3 @@ def validate(e: DataFrame, shown: int = 20) -> None:
     first = violations(e).orderBy("paper", "eq_num", "problem").limit(shown).collect()
     if first:
         raise ValueError("; ".join(f"{r.paper}/{r.eq_num}: {r.problem}" for r in first))
-
-
-def coverage(t: dict[str, DataFrame]) -> DataFrame:
-    """One row: counts of formulas, empty fields, related pairs, garbage definitions and noisy meanings."""
-    m = t["meanings"].agg(F.count(F.lit(1)).alias("equations"), F.count_if(F.col("meaning") == "").alias("meaning_empty"), F.count_if(F.col("meaning").rlike(L.NOISE)).alias("meaning_noisy"))
-    good = t["symbols"].where("reject_reason IS NULL")
-    s = good.agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("definition").rlike(L.GARBAGE)).alias("symbols_garbage"), F.count_distinct("id", "eq_num").alias("equations_with_symbols"))
-    r = t["relations"].agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("grade") != "none").alias("pairs_related"))
-    return m.crossJoin(s).crossJoin(r)  # one row each
-
-
-def strategies(audit: DataFrame) -> DataFrame:
-    """(strategy, n) of the choices of meanings."""
-    return audit.where("key = 'meaning'").select(F.nullif(F.regexp_extract("detail", r"strategy=(\S+)", 1), F.lit("")).alias("strategy")).where("strategy IS NOT NULL").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from eqloom import lexicon as L
 from eqloom.functions import text as T
 from eqloom.operators import documents as D
 from eqloom.operators import retrieval as R
+from eqloom.sources.durable import keep
 
 DEPTH, LEAST, MOST = 12, 0.15, 15
 WEIGHTS = {"eq_num": 5, "definitional": 3, "gazetteer": 3, "context_window": 2, "para_adj": 2, "same_section": 1, "bm25_top1": 1, "badlen": -1}
@@ -33,22 +34,33 @@ def candidates(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame
     `pieces` is the pool of passages, `posts` its postings.
     """
     hits = R.within_papers(posts, eqs.select("id", F.col("eq_num").alias("qid"), query_text(F.col("eq_num"), F.col("equation")).alias("text")), DEPTH)
-    found = hits.join(pieces.select("id", "chunk_ord", "chunk_id", "text", "section_id", "para_id", "char_offset"), ["id", "chunk_ord"])
-    found = found.select("id", F.col("qid").alias("eq_num"), "rank", "chunk_id", "section_id", "para_id", "char_offset", "score", F.lit(False).alias("context"), T.clean_context(F.col("text")).alias("text"))
+    hits = keep(hits.select("id", F.col("qid").alias("eq_num"), "rank", "chunk_ord", "score"), "hits")
+    # a passage is cleaned and cut once, however many formulas it was found for
+    met = pieces.join(hits.select("id", "chunk_ord").distinct(), ["id", "chunk_ord"], "left_semi")
+    said = _prose(met.select("id", "chunk_ord", "chunk_id", "section_id", "para_id", "char_offset", "text"))
+    found = hits.join(said, ["id", "chunk_ord"]).select("id", "eq_num", "rank", "chunk_id", "section_id", "para_id", "char_offset", "score", F.lit(False).alias("context"), "pos", "s")
     side = F.explode(F.array(F.struct(F.lit(DEPTH + 1).alias("rank"), F.col("after").alias("text")), F.struct(F.lit(DEPTH + 2).alias("rank"), F.col("before").alias("text")))).alias("x")
-    own = eqs.select("id", "eq_num", side).select("id", "eq_num", "x.rank", F.lit("context_window").alias("chunk_id"), F.lit(None).cast("string").alias("section_id"), F.lit("").alias("para_id"), F.lit(0).alias("char_offset"), F.lit(0.0).alias("score"), F.lit(True).alias("context"), T.clean_context(F.col("x.text")).alias("text"))
-    cut = found.unionByName(own).select("*", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).drop("text").withColumn("s", T.strip(F.col("s")))
-    cut = cut.where((F.length("s") > 10) & T.is_prose(F.col("s")))
+    own = eqs.select("id", "eq_num", side).select("id", "eq_num", "x.rank", F.lit("context_window").alias("chunk_id"), F.lit(None).cast("string").alias("section_id"), F.lit("").alias("para_id"), F.lit(0).alias("char_offset"), F.lit(0.0).alias("score"), F.lit(True).alias("context"), F.col("x.text").alias("text"))
+    cut = found.unionByName(_prose(own).select(*found.columns))
     first = F.row_number().over(Window.partitionBy("id", "eq_num", "s").orderBy("rank", "pos"))
     return cut.withColumn("_o", first).where("_o = 1").drop("_o")
 
 
+def _prose(passages: DataFrame) -> DataFrame:
+    """Rows with pos and s for each prose sentence of the cleaned text, char_offset moved to its place."""
+    cut = passages.withColumn("text", T.clean_context(F.col("text"))).withColumn("c", T.pieces(F.col("text"))).drop("text").select("*", F.posexplode("c").alias("pos", "s"))
+    # the pieces before a sentence keep their blanks
+    local = F.length(F.array_join(F.slice("c", F.lit(1), F.col("pos")), ""))
+    cut = cut.withColumns({"char_offset": F.col("char_offset") + local, "s": T.strip(F.col("s"))}).drop("c")
+    return cut.where((F.length("s") > 10) & T.is_prose(F.col("s")))
+
+
 def signals(cands: DataFrame, places: DataFrame) -> DataFrame:
     """Candidates with `signals` (names) and `points`."""
     at = places.select("id", "eq_num", F.col("section_id").alias("eq_section"), F.col("para_id").alias("eq_para"))
     c = cands.join(at, ["id", "eq_num"], "left")
     s = F.col("s")
-    cites = F.array_contains(F.transform(F.regexp_extract_all(s, F.lit(r"\(\s*([0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*)\s*\)"), 1), F.lower), F.lower("eq_num"))
+    cites = F.array_contains(F.transform(F.regexp_extract_all(s, F.lit(L.BRACKETED), 1), F.lower), F.lower("eq_num"))
     section = F.when(F.col("context"), F.col("eq_section")).otherwise(F.col("section_id"))
     fired = {
         "eq_num": cites & (F.length(s) > 30) & ~s.startswith("("),
@@ -88,3 +100,50 @@ def choose(scored: DataFrame, eqs: DataFrame) -> DataFrame:
 
     out = paper.select("id", F.explode(F.aggregate("e", taken, step)).alias("x")).select("id", "x.eq_num", "x.c.*")
     return out.select("id", "eq_num", F.coalesce("s", F.lit("")).alias("meaning"), (-F.col("p")).alias("points"), (-F.col("b")).alias("bm25"), "chunk_id", F.col("char_offset").alias("char_start"), (F.col("char_offset") + F.length("s")).alias("char_end"), "signals")
+
+
+def retrieval_log(eqs: DataFrame, posts: DataFrame) -> DataFrame:
+    """(id, eq_num, query, hits): what was asked for each formula, and how many passages came."""
+    asked = eqs.select("id", "eq_num", query_text(F.col("eq_num"), F.col("equation")).alias("query"))
+    n = R.within_papers(posts, asked.select("id", F.col("eq_num").alias("qid"), F.col("query").alias("text")), DEPTH).groupBy("id", F.col("qid").alias("eq_num")).agg(F.count(F.lit(1)).alias("hits"))
+    return asked.join(n, ["id", "eq_num"], "left").select("id", "eq_num", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def idf(texts: DataFrame, col: str = "text") -> DataFrame:
+    """(term, idf) over texts, repeated ones counted each: ln((n + 1) / (df + 1)) + 1."""
+    n = texts.agg(F.count(F.lit(1)).alias("n"))  # one row
+    df = texts.select(F.explode(F.array_distinct(words(F.col(col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def words(c: Column) -> Column:
+    """Lower-cased letter runs of two or more without stop words."""
+    stop = "|".join(L.MEANING_STOP)
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?<![a-z])(?!(?:{stop})(?![a-z]))[a-z]{{2,}}"), 0)
+
+
+def mean_idf(sentences: DataFrame, idfs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score) of sentences (keys, s): the mean idf of their words; those without words are no rows."""
+    t = sentences.select(*keys, F.explode(words(F.col("s"))).alias("term"))
+    return t.join(idfs, "term", "left").groupBy(*keys).agg(F.avg(F.coalesce("idf", F.lit(0.0))).alias("score"))
+
+
+def cascade(eqs: DataFrame) -> DataFrame:
+    """(id, eq_num, meaning, strategy, score): the earlier rule, for each formula by itself.
+
+    Of the sentences of its own context: the first that cites it, else the first with a known
+    name, else the one whose words are rarest over all contexts.  An empty meaning has no strategy.
+    """
+    sides = eqs.select("id", "eq_num", F.explode(F.array("before", "after")).alias("text"))
+    both = F.transform(F.array("before", "after"), lambda x: F.transform(T.sentences(T.strip(x)), T.strip))
+    kept = F.array_distinct(F.filter(F.flatten(both), lambda x: F.length(x) > 10))
+    s = eqs.select("id", "eq_num", F.posexplode(kept).alias("i", "s"))
+    ranked = mean_idf(s, idf(sides), ["id", "eq_num", "i"]).select("id", "eq_num", "i", F.round("score", 6).alias("score"))
+    s = s.join(ranked, ["id", "eq_num", "i"], "left")
+    cited = F.array_contains(F.transform(F.regexp_extract_all("s", F.lit(L.BRACKETED), 1), F.lower), F.lower("eq_num"))
+    step = F.when(cited, 1).when(T.has_gazetteer_name(F.col("s")), 2).when(F.col("score").isNotNull(), 3)
+    order = F.struct(step.alias("step"), F.when(step == 3, -F.col("score")).otherwise(0.0).alias("by"), F.col("i").alias("i"), F.col("s").alias("s"), F.col("score").alias("score"))
+    best = s.where(step.isNotNull()).groupBy("id", "eq_num").agg(F.min(order).alias("b"))
+    out = eqs.select("id", "eq_num").join(best, ["id", "eq_num"], "left")
+    name = F.element_at(F.array(F.lit("citation_match"), F.lit("gazetteer_match"), F.lit("tfidf_rank")), F.col("b.step"))
+    return out.select("id", "eq_num", F.coalesce("b.s", F.lit("")).alias("meaning"), F.when(F.col("b").isNotNull(), name).alias("strategy"), F.when(F.col("b.step") == 3, F.col("b.score")).alias("score"))

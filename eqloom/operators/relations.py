@@ -18,15 +18,21 @@ def pairs(eqs: DataFrame) -> DataFrame:
     return eqs.select("id", F.col("eq_num").alias("a")).join(eqs.select("id", F.col("eq_num").alias("b")), "id").where("a <> b")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Common share of two symbol arrays; 0 for two empty ones."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
 def citing(number: Column) -> Column:
     """Pattern of the sentence around a citation of a number; it starts only where a sentence does."""
     safe = F.regexp_replace(number, r"([^A-Za-z0-9])", r"\\$1")
-    return F.concat(F.lit(r"(?isU)(?:(?<=[.!?])|^)([^.!?]*?(?:eq(?:uation)?s?\.?\s*)?\(\s*"), safe, F.lit(r"\s*\)[^.!?]*[.!?]?)"))
+    return F.concat(F.lit("(?isU)(?:(?<=[.!?])|^)([^.!?]*?" + L.CITED_BEFORE), safe, F.lit(L.CITED_AFTER + "[^.!?]*[.!?]?)"))
 
 
 def bracketed(context: Column) -> Column:
     """Numbers in brackets, lower-cased: what a text can cite at all."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(context, F.lit(r"\(\s*([0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*)\s*\)"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(context, F.lit(L.BRACKETED), 1), F.lower))
 
 
 def citation_sentence(number: Column, context: Column) -> Column:
@@ -81,7 +87,7 @@ def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, posts: DataFram
     p = pairs(eqs).join(a, ["id", "a"]).join(side.select("id", F.col("eq_num").alias("b"), F.col("syms").alias("sb")), ["id", "b"])
     # the references to b beside a, of which the first one counts, even with an empty sentence
     beside = pairs(eqs).join(a.select("id", "a", "sec", "para"), ["id", "a"]).join(refs.withColumnRenamed("to_eq_num", "b"), ["id", "b"])
-    home = F.regexp_extract("from_para_id", r"^(.+?)\.p\d+$", 1)
+    home = F.regexp_extract("from_para_id", L.SECTION_OF, 1)
     match = F.when(F.col("para") != "", (F.col("from_para_id") == F.col("para")) | D.adjacent(F.col("para"), F.col("from_para_id"))).otherwise((F.col("sec") == "") | (home == F.col("sec")))
     graph = beside.where(match).groupBy("id", "a", "b").agg(F.min_by("sentence", "ord").alias("graph"))
     p = p.join(graph, ["id", "a", "b"], "left").join(alike, ["id", "a", "b"], "left")
@@ -89,8 +95,7 @@ def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, posts: DataFram
     p = p.withColumns({"graph": F.nullif("graph", F.lit("")), "cite": F.when(F.array_contains("_near", F.lower("b")), citation_sentence(F.col("b"), F.col("local"))), "cue": F.when(F.array_contains("_far", F.lower("b")), cue_sentence(F.col("b"), F.col("wide")))})
     strong = F.coalesce("graph", "cite", "cue")
     shared = F.sort_array(F.array_intersect("sa", "sb"))
-    union = F.size(F.array_union("sa", "sb"))
-    p = p.withColumns({"_strong": strong, "_shared": shared, "_j": F.when(union > 0, F.size(shared) / union).otherwise(0.0), "_c": F.coalesce(F.round("cosine", 6), F.lit(0.0))})
+    p = p.withColumns({"_strong": strong, "_shared": shared, "_j": jaccard(F.col("sa"), F.col("sb")), "_c": F.coalesce(F.round("cosine", 6), F.lit(0.0))})
     weak = F.col("_strong").isNull()
     by_symbols, by_text = weak & (F.col("_j") >= JACCARD), weak & (F.col("_c") >= COSINE)
     named = F.array_compact(F.array(F.when(F.col("graph").isNotNull(), F.lit("crossref+graph")).when(F.col("cite").isNotNull(), F.lit("crossref")), F.when(F.col("cue").isNotNull(), F.lit("deriv_cue")), F.when(by_symbols, F.format_string("jaccard=%.2f", "_j")), F.when(by_text, F.format_string("tfidf=%.2f", "_c"))))
@@ -101,8 +106,9 @@ def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, posts: DataFram
 
 
 def cites(eqs: DataFrame) -> DataFrame:
-    """(id, a, b, place): the formulas of the paper that a's own context cites, in order."""
-    c = eqs.select("id", F.col("eq_num").alias("a"), F.posexplode(F.array_distinct(T.cited_numbers(F.concat_ws(" ", "before", "after")))).alias("place", "b")).where("a <> b")
+    """(id, a, b, place): the formulas of the paper that a's own context cites, in order, each once."""
+    cited = F.array_distinct(T.any_cited(F.concat("before", F.lit(" "), "after")))
+    c = eqs.select("id", F.col("eq_num").alias("a"), F.posexplode(cited).alias("place", "b")).where("a <> b")
     return c.join(eqs.select("id", F.col("eq_num").alias("b")), ["id", "b"], "left_semi").select("id", "a", "b", "place")
 
 

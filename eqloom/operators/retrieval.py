@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eqloom import lexicon as L
 from eqloom.functions import text as T
+from eqloom.sources.durable import spread
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl): a row for each term of each document."""
-    tok = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).where("t is not null")
-    return tok.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl, t): the array of terms of each document and its length; a null text has none."""
+    src = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), "text")
+    return src.select("id", T.tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl): a row for each term of each document; of the terms in `wanted` only, if it is given."""
+    rows = terms(docs, id_col, text_col).select("id", "dl", F.explode("t").alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def term_df(posts: DataFrame) -> DataFrame:
@@ -26,7 +36,8 @@ def term_df(posts: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(n, avgdl) over all documents, those without terms included: one row."""
-    return docs.select(F.coalesce(F.size(T.tokens(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+    one = docs.select(F.lit(0).alias("i"), F.col(text_col).alias("t"))
+    return terms(one, "i", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,15 +45,44 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("qid"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def meaning_query(number: Column, symbols: Column | None = None) -> Column:
+    """Text that looks for the sentence that says what a formula is."""
+    base = F.concat(F.lit("Eq "), number, F.lit(" Equation "), number, F.lit(" describes represents gives defines called known as"))
+    return base if symbols is None else F.rtrim(F.concat_ws(" ", base, F.nullif(T.strip(symbols), F.lit(""))))
+
+
+def symbol_query(symbol: Column, surface: Column | None = None) -> Column:
+    """Text that looks for a symbol's definition, by its name in prose and its character (four forms at most)."""
+    known = F.create_map(*[F.lit(x) for name, c in L.GREEK.items() if name not in L.NO_QUERY_FORMS for x in ("\\" + name, f"{name.lower()}\0{c[0]}")], *[F.lit(x) for k, v in L.QUERY_FORMS.items() for x in (k, "\0".join(v))])
+    found = surface if surface is not None else F.coalesce(F.split(F.try_element_at(known, symbol), "\0"), F.array(symbol))
+    return F.concat(F.array_join(F.slice(found, 1, 4), " "), F.lit(" where denotes represents is defined as called corresponds to"))
+
+
+def relation_query(a: Column, b: Column) -> Column:
+    """Text that looks for what ties two formulas together."""
+    return F.concat(F.lit("Eq "), a, F.lit(" Eq "), b, F.lit(" using substituting inserting follows from derived from yields equivalent special case"))
+
+
+def matching(chunk_type: str | list[str] | None = None, section_id: str | None = None, eq_nums: list[str] | None = None) -> Column:
+    """Condition on passages: of one of the types, in the section, near any of the formulas; all that are given."""
+    out = F.lit(True)
+    if chunk_type is not None:
+        out = out & F.col("chunk_type").isin([chunk_type] if isinstance(chunk_type, str) else list(chunk_type))
+    if section_id is not None:
+        out = out & (F.col("section_id") == section_id)
+    if eq_nums:  # no numbers ask for nothing
+        out = out & F.arrays_overlap("eq_nums", F.array(*[F.lit(n) for n in eq_nums]))
+    return out
+
+
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query_text: str = "text", where: Column | None = None) -> DataFrame:
     """(qid, id, score, matched): BM25+ of each query and document that share a term.
 
     `where` filters candidates on the columns of docs; document counts and lengths stay
-    those of the whole corpus.  Only the queries' terms leave the postings.
+    those of the whole corpus.  Only the queries' terms leave the documents.
     """
     q = query_terms(queries, query_id, query_text)
-    wanted = q.select("term").distinct()
-    posts = postings(docs).join(wanted, "term", "left_semi")
+    posts = postings(docs, wanted=q)
     df = term_df(posts)
     if where is not None:
         posts = posts.join(docs.where(where).select(F.col("doc_id").alias("id")), "id", "left_semi")
@@ -91,20 +131,23 @@ def rerank(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, vec: s
 def paper_postings(chunks: DataFrame) -> DataFrame:
     """(id, chunk_ord, term, tf, dl, n, avgdl, df) of passages (id, chunk_ord, text); counts are those of the paper."""
     paper = Window.partitionBy("id")
-    tok = chunks.select("id", "chunk_ord", T.tokens(F.col("text")).alias("t")).withColumn("dl", F.greatest(F.size("t"), F.lit(0)))
+    tok = chunks.select("id", "chunk_ord", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
     tok = tok.withColumns({"n": F.count(F.lit(1)).over(paper), "avgdl": F.avg("dl").over(paper)})
     posts = tok.select("id", "chunk_ord", "dl", "n", "avgdl", F.explode("t").alias("term")).groupBy("id", "chunk_ord", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", "n", "avgdl")])
     return posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term")))
 
 
-def within_papers(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def within_papers(posts: DataFrame, queries: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
     """(id, qid, rank, chunk_ord, score): the k best passages of a query's own paper.
 
     `posts` is as paper_postings gives it, `queries` (id, qid, text).  Ties go to the smaller chunk_ord.
+    `only` (id, chunk_ord), such as passages filtered by `matching`, limits the candidates, not the counts.
     """
     q = queries.select("id", "qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
+    if only is not None:
+        posts = posts.join(only.select("id", "chunk_ord"), ["id", "chunk_ord"], "left_semi")
     score = q.join(posts, ["id", "term"]).groupBy("id", "qid", "chunk_ord").agg(F.sum(F.col("qtf") * idf * (F.col("tf") * (K1 + 1) / norm + DELTA)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("id", "qid").orderBy(F.desc(F.round("score", 6)), "chunk_ord"))
     return score.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def _map(pairs: dict) -> Column:
 
 def keys_of_identifiers(mi: Column) -> Column:
     """Distinct symbols of <mi> names in order: Greek letters by name, no commands, no numbers."""
-    greek = _map({c: n for n, c in L.GREEK.items()} | {c: n for n, c in L.GREEK_ALSO.items()})
+    greek = _map({c: n for n, chars in L.GREEK.items() for c in chars})
     skip = F.array(*[F.lit(c) for c in sorted({c.lower() for c in L.SKIP_COMMANDS})])
     exact = F.array(*[F.lit(c) for c in L.SKIP_COMMANDS])
     name = lambda x: F.coalesce(F.try_element_at(greek, x), F.regexp_replace(x, r"^\\", ""))
@@ -29,8 +31,8 @@ def keys_of_identifiers(mi: Column) -> Column:
 
 def forms(sym: Column) -> Column:
     """How prose writes a symbol: Greek letters also by their characters."""
-    chars = F.array_compact(F.array(F.try_element_at(_map(L.GREEK), sym), F.try_element_at(_map(L.GREEK_ALSO), sym)))
-    return F.concat(chars, F.array(sym))
+    chars = F.try_element_at(_map(L.GREEK), sym)
+    return F.concat(F.filter(F.split(F.coalesce(chars, F.lit("")), ""), lambda x: x != ""), F.array(sym))
 
 
 def of_formulas(eqs: DataFrame) -> DataFrame:
@@ -42,18 +44,34 @@ def of_formulas(eqs: DataFrame) -> DataFrame:
 def find(sym: Column, context: Column) -> Column:
     """struct(definition, pattern, confidence) of the first phrase of 1 to 15 words, else null.
 
-    The pattern is a column, since each symbol has its own.
+    The patterns are columns, since each symbol has its own; they are tried only where the symbol
+    stands alone in the text, and those that begin with a word only where it is there.
     """
+    low = F.lower(context)
     safe = lambda s: F.regexp_replace(s, r"([^\p{L}\p{N}_])", r"\\$1")
-    shapes = F.array_join(F.concat(F.transform(forms(sym), safe), F.array(F.concat(F.lit(r"\$\\?"), safe(sym), F.lit(r"\$")))), "|")
+    own = F.array_join(F.transform(forms(sym), safe), "|")
+    there = F.exists(forms(sym), lambda f: F.contains(low, F.lower(f))) & F.call_function("rlike", context, F.concat(F.lit(r"(?iU)(?:\b|\$\\?)(?:"), own, F.lit(r")(?:\b|[\s,$]|$)")))
+    shapes = F.concat(own, F.lit(r"|\$\\?"), safe(sym), F.lit(r"\$"))
     out = []
     for name, template, confidence in L.DEFINITIONS:
         left, right = template.split("{SYM}")
         pattern = F.concat(F.lit("(?isU)" + left + "(?:"), shapes, F.lit(")" + right))
         got = T.strip(F.call_function("regexp_extract", context, pattern, F.lit(1)))
         n = F.size(F.split(got, r"(?U)\s+"))
-        out.append(F.when((got != "") & (n <= WORDS), F.struct(got.alias("definition"), F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence"))))
-    return F.coalesce(*out)
+        word = re.match(r"\\b([a-z]+)", left)
+        found = F.when((got != "") & (n <= WORDS), F.struct(got.alias("definition"), F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence")))
+        out.append(F.when(F.contains(low, F.lit(word[1])), found) if word else found)
+    return F.when(there, F.coalesce(*out))
+
+
+def earlier(eqs: DataFrame) -> DataFrame:
+    """(id, eq_num, ord, sym, definition, pattern): the earlier rule, symbols of the LaTeX in the formula's own context.
+
+    Phrases of any confidence are taken and none is rejected.
+    """
+    syms = eqs.select("id", "eq_num", T.strip(F.concat_ws(" ", "before", "after")).alias("c"), F.posexplode(T.latex_symbols(F.col("equation"))).alias("ord", "sym"))
+    found = syms.withColumn("f", find(F.col("sym"), F.col("c"))).where("f IS NOT NULL")
+    return found.select("id", "eq_num", "ord", "sym", "f.definition", "f.pattern")
 
 
 def definitions(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame:

@@ -17,4 +17,18 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
         folder = "file:///tmp/checkpoints"
     path = f"{folder.rstrip('/')}/eqloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer parts than there are cores (which means it is small), dealt out by a key."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that keep wrote, once whatever needed it has been written itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import escape, unescape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eqloom import lexicon as L
 from eqloom.functions import text as T
+from eqloom.sources.durable import spread
 
 SCHEMA = "id long, kind string, ord int, elem_id string, classes array<string>, para_id string, section_id string, text string, latex string, method string, number string, before string, after string, href string, mi array<string>, title string"
-KINDS = frozenset({"equation", "fragment", "para", "link", "page_p", "spot"})
+KINDS = frozenset({"equation", "fragment", "para", "link", "page_p", "spot", "methods"})
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+NOTHING, RAW = frozenset(), {"script", "style"}
 BLOCKS = {"div", "table", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "classes")
 
     def __init__(self, tag: str, attrs: dict, up: Node | None) -> None:
         self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
+        self.classes = (attrs.get("class") or "").split()
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -32,7 +36,19 @@ class Node:
             stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
 
     def has(self, cls: str) -> bool:
-        return cls in (self.attrs.get("class") or "").split()
+        return cls in self.classes
+
+    def under(self) -> list[Node]:
+        return [k for k in self.kids if isinstance(k, Node)]
+
+    def raw(self) -> str:
+        """All text inside, as it stands."""
+        return "".join(k if isinstance(k, str) else k.raw() for k in self.kids)
+
+    def markup(self) -> str:
+        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
+        inside = "".join(escape(k, quote=False) if isinstance(k, str) else k.markup() for k in self.kids)
+        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{inside}</{self.tag}>"
 
     def text(self) -> str:
         out, stack = [], [self]
@@ -51,55 +67,97 @@ class Node:
         return n
 
 
-class Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+[^>]*)>|!--.*?--!?>|![^>]*>|\?[^>]*>)", re.S)
+RAW_END = re.compile("</(?:script|style)", re.I)
+ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 
-    def handle_starttag(self, tag, attrs):
-        shut = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        if self.at.tag in shut:
-            while self.at.tag in shut:
-                self.at = self.at.up
-        n = Node(tag, dict(attrs), self.at)
-        self.at.kids.append(n)
-        if tag not in VOID:
-            self.at = n
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.kids.append(Node(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.up
-        if n is not None and n.up is not None:
-            self.at = n.up
 
-    def handle_data(self, data):
-        self.at.kids.append(data)
+def tree(html: str) -> Node:
+    """The root of a page.  Marks are found by one pattern; `p`, `li` and table cells end where another begins."""
+    root = at = Node("#root", {}, None)
+    place, mark = 0, MARK.search(html)
+    while mark:
+        if mark.start() > place:
+            text = html[place : mark.start()]
+            at.kids.append(unescape(text) if "&" in text else text)
+        place = mark.end()
+        end, name, rest = mark.groups()
+        if name is None:  # a comment or a declaration
+            mark = MARK.search(html, place)
+            continue
+        tag = name.lower()
+        if end:
+            n = at
+            while n is not None and n.tag != tag:
+                n = n.up
+            if n is not None and n.up is not None:
+                at = n.up
+        else:
+            shut = CLOSES.get(tag, NOTHING) | ({"p"} if tag in BLOCKS else NOTHING)
+            while at.tag in shut:
+                at = at.up
+            attrs = {}
+            if rest and not rest.isspace():
+                for m in ATTR.finditer(rest):
+                    v = m[2]
+                    if v and v[0] in "\"'" and v[-1] == v[0]:
+                        v = v[1:-1]
+                    attrs[m[1].lower()] = unescape(v) if v and "&" in v else v
+            n = Node(tag, attrs, at)
+            at.kids.append(n)
+            if tag in RAW and not rest.endswith("/"):
+                found = RAW_END.search(html, place)
+                close = found.start() if found else len(html)
+                n.kids.append(html[place:close])
+                place = close
+                at = n
+            elif tag not in VOID and not rest.endswith("/"):
+                at = n
+        mark = MARK.search(html, place)
+    if place < len(html):
+        at.kids.append(unescape(html[place:]))
+    return root
+
+
+# MathML elements with a place for each child; with fewer children, these are joined by the second string
+PLACED = {
+    "msup": ("{{{}}}^{{{}}}", ""),
+    "msub": ("{{{}}}_{{{}}}", ""),
+    "msubsup": ("{{{}}}_{{{}}}^{{{}}}", ""),
+    "mfrac": ("\\frac{{{}}}{{{}}}", ""),
+    "mroot": ("\\sqrt[{1}]{{{0}}}", " "),
+    "munder": ("\\underset{{{1}}}{{{0}}}", " "),
+    "munderover": ("{{{}}}_{{{}}}^{{{}}}", " "),
+}
+PLACES = {"msubsup": 3, "munderover": 3}
+NAMED = {c[0]: "\\" + n for n, c in L.GREEK.items()} | L.IDENTIFIERS
 
 
 def mathml(n: Node | str) -> str:
     """LaTeX of a MathML tree, when it carries neither annotation nor alttext."""
     if isinstance(n, str):
+        return L.OPERATORS.get(n.strip(), n.strip())
+    tag = n.tag.rpartition(":")[2]
+    if tag == "annotation":
         return ""
-    kids = [k for k in n.kids if isinstance(k, Node)]
-    sub = [mathml(k) for k in kids]
-    leaf = "".join(k for k in n.kids if isinstance(k, str)).strip()
-    names = {v: k for k, v in L.GREEK.items()}
-    if n.tag == "annotation":
-        return ""
-    if n.tag in ("mi", "mn", "mo"):
-        return "\\" + names[leaf] + " " if leaf in names else leaf.translate({0x2061: "", 0x2062: "", 0x2063: ""})
-    if n.tag == "mtext":
-        return "\\text{" + leaf + "}"
-    shape = {"msup": "{0}^{{{1}}}", "msub": "{0}_{{{1}}}", "msubsup": "{0}_{{{1}}}^{{{2}}}", "mfrac": "\\frac{{{0}}}{{{1}}}", "mroot": "\\sqrt[{1}]{{{0}}}", "munder": "{0}_{{{1}}}", "mover": "{0}^{{{1}}}", "munderover": "{0}_{{{1}}}^{{{2}}}"}.get(n.tag)
-    if shape and len(sub) == shape.count("}}}") + (0 if shape.startswith("\\") else 1):
-        return shape.format(*sub)
-    if n.tag == "msqrt":
-        return "\\sqrt{" + "".join(sub) + "}"
-    return {"mtable": " \\\\ ", "mtr": " & "}.get(n.tag, "").join(sub)
+    if tag in ("mi", "mo", "mn"):
+        return {"mi": NAMED, "mo": L.OPERATORS}.get(tag, {}).get(n.raw(), n.raw())
+    if tag == "mtext":
+        return f"\\text{{{n.raw()}}}"
+    if tag == "mspace":
+        return "\\,"
+    parts = [mathml(k) for k in n.kids if isinstance(k, str) or k.tag != "annotation"]
+    if tag == "semantics":
+        return " ".join(parts)
+    parts = [p for p in parts if p]
+    if tag in PLACED:
+        shape, joint = PLACED[tag]
+        return shape.format(*parts) if len(parts) >= PLACES.get(tag, 2) else joint.join(parts)
+    if tag == "mover" and len(parts) >= 2:
+        under = n.under()
+        return L.ACCENTS.get(under[1].raw() if len(under) > 1 else "", "\\hat") + f"{{{parts[0]}}}"
+    inside = {"mtr": " & ", "mtable": " \\\\ "}.get(tag, " ").join(parts)
+    return {"msqrt": f"\\sqrt{{{inside}}}", "mtable": f"\\begin{{matrix}} {inside} \\end{{matrix}}"}.get(tag, inside)
 
 
 def latex(m: Node) -> tuple[str, str]:
@@ -110,10 +168,17 @@ def latex(m: Node) -> tuple[str, str]:
     else:
         alt = (m.attrs.get("alttext") or "").strip()
         raw, how = (alt, "alttext") if alt else (mathml(m), "mathml")
-    raw = raw.strip()
-    if raw.startswith("\\displaystyle"):
-        raw = raw[len("\\displaystyle") :].lstrip()
-    return raw.replace("%\n", "").strip(), how
+    return clean(raw), how
+
+
+def clean(raw: str) -> str:
+    """LaTeX without one leading display command and without comment breaks."""
+    return raw.strip().removeprefix("\\displaystyle").lstrip().replace("%\n", "").strip()
+
+
+def scope(tag: Node) -> Node | None:
+    """What one printed number stands for: its table row, else the nearest equation element."""
+    return tag.above(lambda a: a.tag == "tr") or tag.above(lambda a: a.tag in ("table", "div", "span") and any("ltx_equation" in c for c in a.classes))
 
 
 def identifiers(m: Node) -> list[str]:
@@ -130,50 +195,66 @@ def identifiers(m: Node) -> list[str]:
 
 
 def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
-    """Rows of kind equation (a numbered formula), fragment, para, page_p, link and spot, in document order.
+    """Rows of the wanted kinds of a page, in document order.
 
-    A spot is a numbered table inside a paragraph: the prose of the paragraph before and after
-    it, and method `child` if it lies right under the paragraph.
+    equation: a numbered formula.  fragment: an equation table, with the first annotation as latex
+    or else the alttext as `before`, its markup as `after`, and method `math` if it has a formula.
+    spot: a numbered table inside a paragraph, with the prose of the paragraph before and after
+    it, and method `child` if it lies right under the paragraph.  methods: the three ways to the
+    LaTeX of a number, annotation as latex, alttext as text, MathML as `before`.  para, page_p and link.
     """
-    import re
-
-    tree = Tree()
-    tree.feed(html or "")
-    tree.close()
-    nodes = list(tree.root.walk())
-    cls = lambda n: (n.attrs.get("class") or "").split()
-    para = lambda n: n.above(lambda a: a.tag == "div" and a.has("ltx_para"))
-    section = lambda n: n.above(lambda a: a.tag == "section")
+    root = tree(html or "")
     number = lambda s: (m[1] if (m := re.match(L.EQ_NUMBER, s)) else None)
     of = lambda n: n.attrs.get("id") if n is not None else None
-    prose = lambda ks: " ".join(s for s in (k.text() for k in ks if isinstance(k, Node) and k.tag == "p" and k.has("ltx_p")) if s)
+    box_of = lambda n: n.above(lambda a: a.tag == "div" and a.has("ltx_para"))
+    said: dict[Node, list] = {}  # prose children of a paragraph with their places, found once
 
-    def title(n: Node) -> str | None:
-        box = section(n)
+    def prose(box: Node) -> list[tuple[int, str]]:
+        if box not in said:
+            said[box] = [(i, s) for i, k in enumerate(box.kids) if isinstance(k, Node) and k.tag == "p" and k.has("ltx_p") and (s := k.text())]
+        return said[box]
+
+    def place(box: Node, n: Node) -> int:
+        while n.up is not box:
+            n = n.up
+        return next(i for i, k in enumerate(box.kids) if k is n)
+
+    def title(box: Node | None) -> str | None:
         return next((k.text() for k in box.kids if isinstance(k, Node) and k.has("ltx_title")), None) if box is not None else None
 
     def sides(t: Node) -> tuple[str, str]:
-        box = para(t) or t.above(lambda a: a.tag == "p") or t.up
-        kids = [k for k in box.kids if isinstance(k, Node)]
-        at = next((i for i, k in enumerate(kids) if k is t or t in k.walk()), 0)
-        full = lambda ks: [s for s in (k.text() for k in ks) if s]
-        return " ".join(full(kids[:at])[-2:]), " ".join(full(kids[at + 1 :])[:2])
+        box = box_of(t) or t.above(lambda a: a.tag == "p") or t.up
+        at = place(box, t)
 
-    def row(kind, i, n, **more):
-        base = dict(id=doc_id, kind=kind, ord=i, elem_id=of(n), classes=cls(n), para_id=of(para(n)), section_id=of(section(n)), text=None, latex=None, method=None, number=None, before=None, after=None, href=None, mi=None, title=title(n) if kind in ("para", "spot") else None)
-        return tuple((base | more).values())
+        def two(kids) -> list[str]:
+            out = []
+            for k in kids:
+                if isinstance(k, Node) and (s := k.text()):
+                    out.append(s)
+                    if len(out) == 2:
+                        break
+            return out
 
-    for i, n in enumerate(nodes):
+        return " ".join(two(reversed(box.kids[:at]))[::-1]), " ".join(two(box.kids[at + 1 :]))
+
+    def row(kind, i, n, text=None, latex=None, method=None, number=None, before=None, after=None, href=None, mi=None):
+        sec = n.above(lambda a: a.tag == "section")
+        return (doc_id, kind, i, of(n), n.classes, of(n if kind == "para" else box_of(n)), of(sec), text, latex, method, number, before, after, href, mi, title(sec) if kind in ("para", "spot") else None)
+
+    for i, n in enumerate(root.walk()):
         if n.tag == "table" and n.has("ltx_eqn_table") and kinds & {"equation", "fragment", "spot"}:
-            tags = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equation")]
-            group = [s for s in n.walk() if s.tag == "span" and s.has("ltx_tag_equationgroup")]
-            maths = [m for m in n.walk() if m.tag == "math"]
+            inside = list(n.walk())
+            tags = [s for s in inside if s.tag == "span" and s.has("ltx_tag_equation")]
+            group = [s for s in inside if s.tag == "span" and s.has("ltx_tag_equationgroup")]
+            maths = [m for m in inside if m.tag == "math"]
             tag = (tags or group or [None])[0]
             if "fragment" in kinds:
-                yield row("fragment", i, n, text=tag.text() if tag else "?", latex=latex(maths[0])[0][:120] if maths else None, number=number(tag.text()) if tag else None)
-            if "spot" in kinds and tags and of(n) and (box := para(n)) is not None:
-                at = next((j for j, k in enumerate(box.kids) if k is n), len(box.kids))
-                yield row("spot", i, n, number=tags[0].text().strip("()"), method="child" if n.up is box else None, before=prose(box.kids[:at]), after=prose(box.kids[at:]))
+                own = next((a.raw() for a in inside if a.tag == "annotation" and a.attrs.get("encoding") == "application/x-tex"), None)
+                alt = (maths[0].attrs.get("alttext") or "").strip()[:120] if maths and own is None else ""
+                yield row("fragment", i, n, text=tag.text() if tag else "?", latex=None if own is None else own[:120].strip(), before=alt or None, after=n.markup(), method="math" if maths else None)
+            if "spot" in kinds and tags and of(n) and (box := box_of(n)) is not None:
+                at = place(box, n)
+                yield row("spot", i, n, number=tags[0].text().strip("()"), method="child" if n.up is box else None, before=" ".join(s for j, s in prose(box) if j < at), after=" ".join(s for j, s in prose(box) if j > at))
             if "equation" not in kinds:
                 continue
             before, after = sides(n)
@@ -181,29 +262,44 @@ def rows(doc_id: int, html: str, kinds: frozenset = KINDS) -> Iterator[tuple]:
             if n.has("ltx_equationgroup") and group:
                 parts = [latex(m) for m in maths]
                 if parts:
-                    found.append((group[0], " \\\\\n".join(p for p, _ in parts if p), min((h for _, h in parts), key=("annotation", "alttext", "mathml").index), maths))
+                    found.append((group[0], " \\\\\n".join(p for p, _ in parts if p), min((h for _, h in parts), key=("annotation", "alttext", "mathml").index)))
             elif n.has("ltx_equationgroup"):
                 last = None
-                for tr in (r for r in n.walk() if r.tag == "tr"):
+                for tr in (r for r in inside if r.tag == "tr"):
                     own = [m for m in tr.walk() if m.tag == "math"]
                     t = [s for s in tr.walk() if s.tag == "span" and s.has("ltx_tag_equation")]
                     if t and (own or last is not None):
-                        m = own[0] if own else last
-                        found.append((t[0], *latex(m), [m]))
+                        found.append((t[0], *latex(own[0] if own else last)))
                     last = own[0] if own else last
             elif tags and maths:
-                found.append((tags[0], *latex(maths[0]), maths[:1]))
-            for k, (t, tex, how, ms) in enumerate(found):
+                found.append((tags[0], *latex(maths[0])))
+            for k, (t, tex, how) in enumerate(found):
                 if num := number(t.text()):
                     mi = identifiers(maths[0]) if t in tags else None  # a shared number leaves them to the LaTeX
                     yield row("equation", i * 100 + k, n, latex=tex, method=how, number=num, before=before, after=after, mi=mi)
-        elif "para" in kinds and n.tag == "div" and n.has("ltx_para") and n.attrs.get("id"):
-            yield row("para", i, n, text=prose(n.kids), para_id=n.attrs["id"])
+        elif "para" in kinds and n.tag == "div" and n.has("ltx_para") and of(n):
+            yield row("para", i, n, text=" ".join(s for _, s in prose(n)))
         elif "link" in kinds and n.tag == "a" and n.has("ltx_ref") and "#" in (n.attrs.get("href") or ""):
             p = n.above(lambda a: a.tag == "p")
             yield row("link", i, n, text=n.text(), before=p.text() if p is not None else None, href=n.attrs["href"].partition("#")[2])
         elif "page_p" in kinds and n.tag == "p":
             yield row("page_p", i, n, text=n.text())
+        elif "methods" in kinds and n.tag == "span" and n.has("ltx_tag_equation") and (num := number(n.text())) and (box := scope(n)):
+            if m := next((k for k in box.walk() if k.tag == "math"), None):
+                own = next((a.raw().strip() for a in m.walk() if a.tag == "annotation" and a.attrs.get("encoding") == "application/x-tex"), "N/A")
+                yield row("methods", i, n, number=num, latex=own, text=(m.attrs.get("alttext") or "").strip() or "N/A", before=mathml(m).strip() or "N/A")
+
+
+# what the written papers say of a symbol, before and after it, by k % 7
+DEFINED = [
+    ("Now let ", " be the phase velocity, as said."),
+    ("And where ", " is the mean number, as said."),
+    ("Now let ", " be the phase velocity, as said."),
+    ("Here ", " denotes the total energy, as said."),
+    ("And where ", " is the mean number, as said."),
+    ("Then ", ", the outer field, grows."),
+    ("Take the spin density ", " now."),
+]
 
 
 def nodes(pages: DataFrame, id_col: str, html_col: str, kinds: frozenset | set = KINDS) -> DataFrame:
@@ -226,34 +322,65 @@ def nodes(pages: DataFrame, id_col: str, html_col: str, kinds: frozenset | set =
                 cols = zip(*out) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("id is not null").mapInArrow(run, SCHEMA)
+    src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("id is not null")
+    return spread(src, "id").mapInArrow(run, SCHEMA)
+
+
+def _escaped(x: Column) -> Column:
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def first_words(c: Column) -> Column:
+    """The first three runs of ASCII letters of a sentence, lower-cased."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1), 1, 3), " ")
 
 
-def templated(docs: DataFrame, said: bool = False) -> DataFrame:
-    """(id, html): papers written from the sentences of documents, with a numbered formula after each third.
+def templated(docs: DataFrame) -> DataFrame:
+    """(id, html): papers written from the sentences of documents (doc_id, text); a null text writes none.
 
-    With `said`, the paragraph of a formula also defines its symbol and cites the formula before
-    it; brackets of the sentences are dropped, so that nothing else is cited.
+    Sentence i (from 0) is a paragraph; six paragraphs are a section with a title.  Digits and
+    brackets of the sentences are dropped, so that nothing but the template cites.  Every
+    third paragraph holds formula k, in one of four shapes by k % 4: annotation, alttext alone, MathML
+    alone with its number in the next row, and two formulas under one number.  Its symbol is one
+    of Q, W, H, defined in one of the five forms (by k % 7); even formulas of one row have J as well.  By k % 3
+    it cites the formula before it, or substitutes it.  The paragraph after it links to it.
     """
-    s = F.filter(T.sentences(F.col("text")), lambda x: F.length(T.strip(x)) >= 10)
-    esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    s = F.filter(F.transform(T.sentences(F.col("text")), T.strip), lambda x: F.length(x) >= 10)
+    of = lambda i, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    p = lambda *parts: F.concat(F.lit('<p class="ltx_p">'), *parts, F.lit("</p>"))
+    lit = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def formula(k, n):
+        c, even, shape = of(k, "H", "Q", "W"), (k % 2 == 0) & (k % 4 != 0), k % 4
+        tree = lit("<mrow><msub><mi>", c, "</mi><mn>", n, "</mn></msub><mo>=</mo><mi>ρ</mi>", F.when(even, "<mo>+</mo><mi>J</mi>").otherwise(""), "</mrow>")
+        tex = lit(c, "_{", n, "}=m", F.when(even, "+J").otherwise(""))
+        note = lambda x: lit('<annotation encoding="application/x-tex">', x, "</annotation>")
+        tag = lambda kind: lit('<span class="ltx_tag ltx_tag_', kind, '">(', n, ")</span>")
+        rows = (
+            F.when(shape == 1, lit("<tr><td><math><semantics>", tree, note(lit("\\displaystyle ", tex)), "</semantics></math></td><td>", tag("equation"), "</td></tr>"))
+            .when(shape == 2, lit('<tr><td><math alttext="', tex, '">', tree, "</math></td><td>", tag("equation"), "</td></tr>"))
+            .when(shape == 3, lit("<tr><td><math>", tree, "</math></td></tr><tr><td>", tag("equation"), "</td></tr>"))
+            .otherwise(lit("<tr><td>", tag("equationgroup"), "<math>", note(lit("U_{", n, "}")), '</math></td></tr><tr><td><math alttext="V_{', n, '}"></math></td></tr>'))
+        )
+        kind = F.when(shape.isin(1, 2), "ltx_equation").otherwise("ltx_equationgroup")
+        return lit('<table class="', kind, ' ltx_eqn_table" id="S1.E', n, '">', rows, "</table>")
+
+    def told(x, k, n):
+        c, before = of(k, "H", "Q", "W"), (k - 1).cast("string")
+        means = lit("Equation (", n, ") denotes the density operator of ", first_words(x), ". ")
+        form = F.element_at(F.array(*[lit(a, c, b) for a, b in DEFINED]), (k % 7 + 1).cast("int"))
+        more = F.when((k % 2 == 0) & (k % 4 != 0), " Also where J is the coupling strength, as said.").otherwise("")
+        cited = F.when(k % 3 == 0, p(lit("It is found by (", before, ") at once."))).when(k % 3 == 2, p(lit("Substituting (", before, ") yields it."))).otherwise("")
+        return lit(p(means, form, more), cited, formula(k, n), p(F.lit("It ends here.")), p(F.lit("Then more follows.")), p(F.lit("Nobody looks so far.")))
 
     def para(x, i):
-        k = F.floor((i + 1) / 3).cast("int").cast("string")
-        last = F.floor(i / 3).cast("int").cast("string")
-        link = F.when((i % 3 == 0) & (i > 0), F.concat(F.lit(' as in Eq. <a class="ltx_ref" href="#S1.E'), last, F.lit('">('), last, F.lit(")</a>"))).otherwise("")
-        table = F.when(
-            i % 3 == 2,
-            F.concat(
-                F.lit('<table class="ltx_equation ltx_eqn_table" id="S1.E'), k, F.lit('"><tr><td><math alttext="z"><semantics><mi>x</mi><annotation encoding="application/x-tex">\\displaystyle x_{'), k,
-                F.lit('}=y</annotation></semantics></math></td><td><span class="ltx_tag ltx_tag_equation">('), k, F.lit(")</span></td></tr></table>"),
-            ),
-        ).otherwise("")
-        words = T.strip(x)
-        tail = F.lit("")
-        if said:
-            words = F.translate(words, "()", "")
-            tail = F.when(i % 3 == 2, F.concat(F.lit(" where x is the mean number of parts, and by ("), last, F.lit(") it becomes ("), k, F.lit(")."))).otherwise("")
-        return F.concat(F.lit('<div class="ltx_para" id="S1.p'), (i + 1).cast("string"), F.lit('"><p class="ltx_p">'), esc(words), tail, link, F.lit("</p>"), table, F.lit("</div>"))
-
-    return docs.where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.lit('<html><body><section id="S1">'), F.array_join(F.transform(s, para), ""), F.lit("</section></body></html>")).alias("html"))
+        k, sec = F.floor((i + 1) / 3).cast("int"), (F.floor(i / 6) + 1).cast("int").cast("string")
+        n, last = k.cast("string"), F.floor(i / 3).cast("int").cast("string")
+        head = F.when(i % 6 == 0, lit(F.when(i > 0, "</section>").otherwise(""), '<section id="S', sec, '"><h2 class="ltx_title">Part ', of(F.floor(i / 6), "One", "Two", "Six", "Ten"), "</h2>")).otherwise("")
+        plain = T.strip(F.regexp_replace(x, "[0-9()]", ""))
+        words = _escaped(F.when(plain.rlike("[.!?]$"), plain).otherwise(F.concat(plain, F.lit("."))))
+        link = F.when((i % 3 == 0) & (i > 0), lit(' as in <a class="ltx_ref" href="#S1.E', last, '">(', last, ")</a>")).otherwise("")
+        return lit(head, '<div class="ltx_para" id="S', sec, ".p", (i % 6 + 1).cast("string"), '">', p(words, link), F.when(i % 3 == 2, told(x, k, n)).otherwise(""), "</div>")
+
+    page = lit("<html><body>", F.array_join(F.transform(s, para), ""), "</section></body></html>")
+    return spread(docs.where("text is not null"), "doc_id").select(F.col("doc_id").alias("id"), page.alias("html"))

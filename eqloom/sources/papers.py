@@ -1,8 +1,8 @@
-"""Sources of papers: id lists, the download cache, lines of PDF text; and the JSON export."""
+"""Sources of papers: id lists and the download cache; and the JSON exports of the first two stages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqloom.functions import text as T
@@ -11,8 +11,7 @@ from eqloom.functions import text as T
 def paper_list(spark: SparkSession, path: str) -> DataFrame:
     """(ord, paper_id): ids of a text file, one a line, prefix dropped, each at its first place."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("ord", "line"))
-    ids = lines.select(F.col("ord").cast("long").alias("ord"), F.regexp_replace(T.strip(F.col("line")), "(?i)^arxiv:", "").alias("paper_id")).where("paper_id <> ''")
-    return ids.groupBy("paper_id").agg(F.min("ord").alias("ord")).select("ord", "paper_id")
+    return numbered_papers(lines, F.col("line"), "ord").select("ord", "paper_id")
 
 
 def cached(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,24 +23,31 @@ def cached(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(first, ["paper_id", "source"]).select("paper_id", "source", "content")
 
 
-def pdf_equations(lines: DataFrame, cap: int = 7) -> DataFrame:
-    """(paper_id, eq_num, eq_ord, equation, context_before, context_after) from (paper_id, line_no, line).
-
-    A formula is the text before two blanks and a number in brackets at a line's end; its
-    context is the nearest line of four words among the 10 before and the 9 after.
-    """
-    form = r"^(.*?)\s{2,}\(([\dA-Za-z]+(?:[.\-][\dA-Za-z]+)*)\)\s*$"
-    words = F.size(F.filter(F.split("line", r"\s+"), lambda x: x != ""))
-    w = Window.partitionBy("paper_id").orderBy("line_no")
-    prose = F.when(words >= 4, F.trim("line"))
-    near = lines.withColumns({"_p": prose}).withColumns({"before": F.last("_p", True).over(w.rowsBetween(-10, -1)), "after": F.first("_p", True).over(w.rowsBetween(1, 9))})
-    found = near.where(F.col("line").rlike(form)).select("paper_id", "line_no", F.trim(F.regexp_extract("line", form, 1)).alias("equation"), F.regexp_extract("line", form, 2).alias("eq_num"), "before", "after").where("equation <> ''")
-    one = found.withColumn("_o", F.row_number().over(Window.partitionBy("paper_id", "eq_num").orderBy("line_no"))).where("_o = 1")
-    one = one.withColumn("eq_ord", F.row_number().over(Window.partitionBy("paper_id").orderBy("line_no"))).where(F.col("eq_ord") <= cap)
-    return one.select("paper_id", "eq_num", "eq_ord", "equation", F.coalesce("before", F.lit("")).alias("context_before"), F.coalesce("after", F.lit("")).alias("context_after"))
+def numbered_papers(rows: DataFrame, text: Column, order: str) -> DataFrame:
+    """(paper_id, ord): paper ids from a column of text, prefix dropped, each at its first place; blanks are none."""
+    ids = rows.select(F.regexp_replace(T.strip(text), "(?i)^arxiv:", "").alias("paper_id"), F.col(order).cast("long").alias("ord")).where("paper_id <> ''")
+    return ids.groupBy("paper_id").agg(F.min("ord").alias("ord"))
 
 
 def to_document(equations: DataFrame) -> DataFrame:
-    """(paper_id, json): the formulas of each paper as one JSON object, keyed by number."""
-    entry = F.struct("eq_num", F.struct(*[c for c in equations.columns if c not in ("paper_id", "eq_num", "eq_ord")]).alias("entry"))
-    return equations.groupBy("paper_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))
+    """(id, json): the formulas of each paper as one JSON object, keyed by number, private columns dropped."""
+    c = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
+    public = equations.select("id", "eq_ord", "eq_num", c("equation"), c("source"), c("latex_method"), F.coalesce("before", F.lit("")).alias("context_before"), F.coalesce("after", F.lit("")).alias("context_after"))
+    entry = F.struct("eq_ord", "eq_num", F.struct("equation", "source", "latex_method", "context_before", "context_after").alias("entry"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["eq_num"].alias("key"), x["entry"].alias("value")))
+    return public.groupBy("id").agg(F.to_json(F.map_from_entries(ordered)).alias("json"))
+
+
+def fragments_document(papers: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(id, json): the source of each paper (id, source) and its fragments in order, an empty list where it has none."""
+    cols = [c for c in fragments.columns if c not in ("id", "table_index")]
+    lists = fragments.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table_index", *cols))).alias("fragments"))
+    out = papers.join(lists, "id", "left")
+    return out.select("id", F.to_json(F.struct("source", F.coalesce("fragments", F.array().cast(lists.schema["fragments"].dataType)).alias("fragments")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def export(documents: DataFrame, path: str) -> None:
+    """Write (id, json) as lines {id: json} in UTF-8, a file a task; read_document reads them back."""
+    key = F.to_json(F.struct(F.col("id").cast("string").alias("k")))
+    line = F.concat(F.lit("{"), F.regexp_extract(key, r"(?s)^\{\"k\":(.*)\}$", 1), F.lit(":"), "json", F.lit("}"))
+    documents.select(line.alias("value")).write.mode("overwrite").text(path)

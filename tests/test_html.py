@@ -37,7 +37,39 @@ def test_unnumbered_and_odd_numbers_are_skipped():
 def test_mathml_fold():
     body = f"<tr><td><math><mfrac><mi>α</mi><msub><mi>x</mi><mn>1</mn></msub></mfrac></math>{TAG.format(3)}</td></tr>"
     e = kinds(table("ltx_equation", body), "equation")
-    assert (e[0]["latex"], e[0]["method"], e[0]["mi"]) == ("\\frac{\\alpha }{x_{1}}", "mathml", ["α", "x_1", "x"])
+    assert (e[0]["latex"], e[0]["method"], e[0]["mi"]) == ("\\frac{\\alpha}{{x}_{1}}", "mathml", ["α", "x_1", "x"])
+
+
+def test_mathml_of_every_shape():
+    say = lambda x: H.mathml(H.tree(f"<math>{x}</math>").kids[0]).strip()
+    cases = {
+        "<msup><mi>x</mi><mn>2</mn></msup>": "{x}^{2}",
+        "<msubsup><mi>x</mi><mi>i</mi><mn>2</mn></msubsup>": "{x}_{i}^{2}",
+        "<mroot><mi>x</mi><mn>3</mn></mroot>": "\\sqrt[3]{x}",
+        "<msqrt><mi>x</mi><mo>∂</mo></msqrt>": "\\sqrt{x \\partial}",
+        "<mover><mi>x</mi><mo>^</mo></mover><mover><mi>v</mi><mo>→</mo></mover>": "\\hat{x} \\vec{v}",
+        "<munder><mi>x</mi><mi>y</mi></munder>": "\\underset{y}{x}",
+        "<munderover><mo>∑</mo><mi>i</mi><mi>n</mi></munderover>": "{\\sum}_{i}^{n}",
+        "<mtable><mtr><mtd><mi>a</mi></mtd><mtd><mi>b</mi></mtd></mtr><mtr><mtd><mi>c</mi></mtd><mtd><mi>d</mi></mtd></mtr></mtable>": "\\begin{matrix} a & b \\\\ c & d \\end{matrix}",
+        "<mi>ħ</mi><mo>\u2062</mo><mspace/><mtext>if so</mtext><mfrac><mi>a</mi></mfrac>": "\\hbar \\, \\text{if so} a",
+        "<semantics><mi>a</mi><annotation>x</annotation></semantics>": "a",
+    }
+    assert {x: say(x) for x in cases} == cases
+
+
+def test_methods_and_fragments():
+    body = f'<tr><td><math alttext="b"><mi>c</mi><annotation encoding="application/x-tex"> a </annotation></math>{TAG.format(3)}</td></tr>'
+    page = table("ltx_equation", body) + table("ltx_equation", f'<tr><td><math alttext="{"y" * 130}"></math></td></tr>')
+    assert [(m["number"], m["latex"], m["text"], m["before"]) for m in kinds(page, "methods")] == [("3", "a", "b", "c")]
+    f = kinds(page, "fragment")
+    assert [(x["text"], x["latex"], x["before"], x["method"]) for x in f] == [("(3)", "a", None, "math"), ("?", None, "y" * 120, "math")]
+    assert H.tree(f[0]["after"]).kids[0].raw() == H.tree(page).kids[0].raw()
+
+
+def test_broken_markup():
+    t = H.tree("<!doctype html><!-- <p> --><p class=a title='x>y'>1 < 2 &amp; <b>3<p>4<script>if (a<b) '<p>'</script><br/>5</zz><td")
+    assert [(n.classes, n.text()) for n in t.walk() if n.tag == "p"] == [(["a"], "1 < 2 & 3 4 5 <td"), ([], "4 5 <td")]
+    assert H.tree("").kids == [] and H.tree("plain").raw() == "plain"
 
 
 def test_paragraphs_links_and_implied_ends():

@@ -3,9 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from eqloom.functions import text as T
 from eqloom.operators import documents as D
 from eqloom.operators import knowledge as K
 from eqloom.operators import meaning as M
+from eqloom.operators import quality as Q
 from eqloom.operators import relations as E
 from eqloom.operators import symbols as S
 
@@ -91,6 +93,53 @@ def test_document_is_valid_and_defects_are_found(spark, t):
 def test_audit_keys_repeat_with_numbers(t):
     keys = [r.key for r in t["audit"].where("eq_num = '1' AND method = 'relations'").orderBy("seq").collect()]
     assert keys == ["relations", "relations_1"]
+    one = {r.key: r.detail for r in t["audit"].where("eq_num = '1'").collect()}
+    assert one["retrieval"].startswith("eq=(1): BM25 query='equation 1 eq 1") and "hits=" in one["retrieval"]
+    assert "signals=['" in one["meaning"] and "sentence='Spin model" in one["meaning"]
+
+
+def test_span_of_a_later_sentence(spark):
+    text = "Short start of it all.  The second sentence denotes (1) the energy of it."
+    p = spark.createDataFrame([(1, 0, "c", "S", "p", 40, text)], "id long, chunk_ord int, chunk_id string, section_id string, para_id string, char_offset int, text string")
+    got = {r.s: r.char_offset for r in M._prose(p).collect()}
+    clean = text.replace("  ", " ")
+    assert got == {s: 40 + clean.index(s) for s in got} and len(got) == 2
+
+
+def test_pdf_papers_and_the_stop_rule(spark):
+    page = lambda n: '<section id="S1">' + "".join(para(i, f"Words of part {i}.", eqn(i, "H=J", "<mi>H</mi>")) for i in range(1, n + 1)) + "</section>"
+    pages = spark.createDataFrame([(1, 2, page(2)), (2, 1, None), (3, 3, page(1)), (4, 4, page(3)), (5, 5, None)], "i long, place long, h string")
+    lines = spark.createDataFrame([(2, 1, 0, "The energy of the whole system is"), (2, 1, 1, "E = mc2   (7)"), (1, 1, 0, "not read   (9)")], "id long, page int, line_no int, line string")
+    t = K.analyse(pages, "i", "h", pdf_lines=lines, order_col="place", limit=3)
+    assert {(r.id, r.source) for r in t["papers"].collect()} == {(2, "pdf"), (1, "html")}  # 1 + 2 formulas come before paper 3
+    assert {(r.id, r.eq_num, r.source, r.latex_method) for r in t["equations"].collect()} == {(2, "7", "pdf", "pdf_text"), (1, "1", "html", "alttext"), (1, "2", "html", "alttext")}
+    assert {r.id for r in t["meanings"].collect()} == {1, 2}
+    every = K.analyse(pages, "i", "h", pdf_lines=lines)
+    assert {(r.id, r.source) for r in every["papers"].collect()} == {(1, "html"), (2, "pdf"), (3, "html"), (4, "html"), (5, "none")}
+    got = {r.id: (r.n, r.status) for r in Q.per_paper(every["papers"], every["equations"]).collect()}
+    assert got[5] == (0, "EMPTY") and got[2] == (1, "UNDER")
+    by = {r.latex_method: (r.html, r.pdf) for r in Q.breakdown(every["equations"]).collect()}
+    assert by == {"alttext": (6, 0), "pdf_text": (0, 1)}
+
+
+def test_formats_of_old_and_mixed_output(spark):
+    old = {"relations": {"2": ["3"]}, "audit-trail": {"meaning": "strategy=tfidf_rank"}}
+    new = {"relations": {"2": {"grade": "none", "description": ""}}, "audit-trail": {"meaning": "strategy=weighted", "symbol_source": "MathML <mi>", "symbol_reject_1": "x"}}
+    read = lambda d: K.read_document(spark.createDataFrame([(json.dumps({"p": d}),)], "value string"))
+    verdict = lambda d: tuple(Q.formats(read(d)).first())
+    assert verdict({"1": old}) == (0, 1, 0, 1, 0, 0, "FAIL") and verdict({"1": old, "2": new}) == (1, 1, 1, 1, 1, 1, "MIXED") and verdict({}) == (0, 0, 0, 0, 0, 0, "PASS")
+
+
+def test_sheets_and_report(spark, tmp_path):
+    d = spark.createDataFrame([("1", None), ("2", "x" * 70)], "eq_num string, annotation string")
+    Q.write_sheets({"rows": d}, str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "rows")).count() == 2
+    assert {r.line for r in Q.report(d, ["eq_num", "annotation"], 5).collect()} == {"1     | N/A  ", "2     | xxxxx"}
+
+
+def test_rejected_whatever_the_case(spark):
+    r = lambda d, s, o: spark.range(1).select(T.reject_reason(F.lit(d), F.lit(s), F.array(*[F.lit(x) for x in o])).alias("r")).first().r
+    assert r("psi", "H", ["H", "Psi"]) == "def_equals_other_symbol" and r("Psi", "H", ["H", "Psi"]) == "def_equals_other_symbol" and r("energy level", "H", ["H", "Psi"]) is None
 
 
 def test_greedy_choice_against_a_loop(spark):

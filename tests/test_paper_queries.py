@@ -1,24 +1,9 @@
 import pytest
 
-from eqloom.operators import knowledge
 from eqloom.plans import papers
 
 
-@pytest.fixture(scope="module", autouse=True)
-def analysed_once():
-    """All queries over whole papers share one analysis here."""
-    real, kept = knowledge.analyse, {}
-
-    def once(pages, *args):
-        if "t" not in kept:
-            kept["t"] = real(pages, *args)
-        return dict(kept["t"])
-
-    knowledge.analyse = once
-    yield
-    knowledge.analyse = real
-
-
 @pytest.mark.parametrize("name", sorted(papers.ORACLES))
 def test_query_matches_sql(spark, sf, duck, same, name):
+    """The queries of a session share one analysis."""
     same(papers.QUERIES[name](spark, sf), duck, papers.ORACLES[name])
