@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import mix, plain, text_slices, unit_hash
 
-DIM, PER_LANG, CENTROIDS, QUANTILE = 4096, 1500, 4, 0.002
+DIM, PER_LANG, CENTROIDS, QUANTILE, STEP = 4096, 1500, 4, 0.002, 512
 
 
 
@@ -87,7 +87,8 @@ def _sparse(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = plain(b.column("text"))
-            for lo, hi in text_slices(texts):
+            # a slice of many short texts is counted in steps, as the counts are a row of dim numbers each
+            for lo, hi in ((i, min(i + STEP, z)) for a, z in text_slices(texts) for i in range(a, z, STEP)):
                 counts = gram_counts(texts.slice(lo, hi - lo), dim)
                 rows = [np.nonzero(r)[0] for r in counts]
                 yield pa.RecordBatch.from_arrays(
@@ -135,8 +136,7 @@ def _score(model: Centroids):
             for lo, hi in text_slices(texts):
                 yes = letter[lo:hi].astype(bool)
                 if len(model.langs):
-                    step = 512
-                    sim = np.concatenate([vectors(gram_counts(texts.slice(i, min(step, hi - i)), model.vectors.shape[1]), model.idf) @ model.vectors.T for i in range(lo, hi, step)])
+                    sim = np.concatenate([vectors(gram_counts(texts.slice(i, min(STEP, hi - i)), model.vectors.shape[1]), model.idf) @ model.vectors.T for i in range(lo, hi, STEP)])
                     best = sim.argmax(axis=1)
                     score = np.clip(sim[np.arange(hi - lo), best].astype(float), 0, 1)
                     lang, far = model.owner[best], score < model.least[best]
