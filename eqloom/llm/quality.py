@@ -141,8 +141,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, **how) -> Tables:
-    """Fit on about per_class labelled rows of each class (a row is 19 numbers); null labels are left out."""
-    y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    """Fit on about per_class labelled rows of each class (a row is 19 numbers); null labels are left out, of several of an id the largest holds."""
+    y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     y, share = class_sample(y, per_class)
     if len(share) < 2:
         return Tables([], [], [], [], 5.0 if 1 in share else -5.0)

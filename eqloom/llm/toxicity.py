@@ -94,11 +94,12 @@ def class_sample(labelled: DataFrame, per_class: int) -> tuple[DataFrame, dict[i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, bits: int = BITS, **how) -> Weights:
-    """Fit on about per_class labelled rows of each class; null labels are left out.
+    """Fit on about per_class labelled rows of each class; null labels are left out, and of several labels of an id the largest holds.
 
+    A row is at most 2 ** bits coordinates, so `per_class` bounds what reaches the driver in bytes as well.
     The labels are sampled before the texts are joined to them.
     """
-    y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     y, share = class_sample(y, per_class)
     if len(share) < 2:
         return Weights(bits, np.zeros(0, np.int64), np.zeros(0), 5.0 if 1 in share else -5.0)
@@ -154,7 +155,11 @@ def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str
 
 
 def keep(docs: DataFrame, model: Weights, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score under `least`, all columns unchanged."""
+    """The rows of docs that score under `least`, all columns unchanged, whatever they are called.
+
+    A null, empty or blank text has the score of the bias alone; texts may be of any length.
+    Repeated rows are each kept or dropped alike; an empty table gives an empty table.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
