@@ -4,10 +4,10 @@ Inner products become distances on the unit sphere (one more coordinate fills ea
 up to the largest norm).  Every vector is projected on m random lines; each block of vectors
 keeps one sorted array a line.  A query opens a window round its own projection on each line
 and widens all of them together (virtual rehashing: the windows of a radius contain those
-of the radii before), by whole sixteenths of the sorted array, so that the collisions of many
+of the radii before), by whole eighths of the sorted array, so that the collisions of many
 queries are counted by one matrix product.  A vector met in at least `share` of the windows is verified by its
 true inner product, and the widening ends when enough vectors of the block have been
-verified.  Vectors and queries meet in a grid of blocks of bounded size; each cell gives its
+verified (`beta` of them; with 1.0 all are, and the answer is exact).  Vectors and queries meet in a grid of blocks of bounded size; each cell gives its
 best k, and a ranking over cells gives the answer.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import materialize
 
-LINES, SHARE, BETA, BINS, BLOCK, QUERY_BLOCK = 64, 0.6, 0.4, 16, 8192, 2048
+LINES, SHARE, BETA, BINS, BLOCK, QUERY_BLOCK = 64, 0.6, 0.3, 8, 8192, 8192
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def _cell(k: int, top: float, **how):
     def run(t: pa.Table) -> pa.Table:
         isq = t.column("is_query").to_numpy()
         ids = t.column("id").to_numpy()
-        v = np.array(t.column("v").to_pylist(), float)
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         o = np.argsort(ids, kind="stable")
         ids, v, isq = ids[o], v[o], isq[o]
         q, i, s = search_block(ids[~isq], v[~isq], ids[isq], v[isq], k, top, **how) if (~isq).any() and isq.any() else ([], [], [])
@@ -89,13 +89,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     The measure is the inner product in double precision; ties go to the smaller id.  Rows
     with a null id, a null, empty or zero vector, or a null, NaN or infinite component take
     no part; nor do vectors of another length than the commonest.  Repeated rows of an id
-    count once.  No rows give no rows.
+    count once, with the smallest vector.  Other columns are not read.  No rows give no rows.
+
+    The copies of the vectors, one for each block of `query_block` queries, are what moves.
     """
     v = F.col(vec_col).cast("array<double>")
     src = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     src = src.where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    src = src.dropDuplicates(["id"]).withColumn("q", is_query(F.col("id")))
+    src = src.groupBy("id").agg(F.min("v").alias("v")).withColumn("q", is_query(F.col("id")))
     src = materialize(src, "vectors")
     dims = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, vec_id long, score double"
