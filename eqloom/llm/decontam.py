@@ -14,7 +14,9 @@ Both are decided by aligning the words, with placeholders equal by kind, and nee
 plain words of the item, or of the run, to be equal.  The values in the slots must
 then agree with the item's slots one to one (the same value of the item always meets the
 same value of the document, and the other way round), which keeps re-parameterised copies
-and drops chance mixtures of templates.
+and drops chance mixtures of templates: one conflict rejects a placement, whatever else agrees,
+but for a run of RUN words within it that has the item's own values.
+Windows that stand in several placements count together only if their slots agree together.
 
 The index of the benchmark goes to the executors in chunks of at most `chunk` windows; a
 larger benchmark is matched chunk by chunk, each against all documents.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices
 
-WINDOW, COVERAGE, CHUNK, RUN = 5, 0.8, 1_000_000, 13
+WINDOW, COVERAGE, CHUNK, RUN, BLOCK = 5, 0.8, 1_000_000, 13, 1 << 20
 UNITS = "% mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw v a pa k c f usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years percent degrees"
 NUM, UNIT, NAME = 1, 2, 3
 
@@ -128,17 +130,27 @@ def postings(m: np.ndarray) -> tuple:
     return u, np.append(start, len(h)), *m[o, 1:].T
 
 
-def meet(hashes: np.ndarray, start: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and postings of the windows h (at `at`) that are in the index."""
+def met(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows h are in the index, and at which of its hashes."""
     if not len(hashes) or not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     slot = np.searchsorted(hashes, h)
     slot[slot == len(hashes)] = 0
     hit = np.nonzero(hashes[slot] == h)[0]
-    slot, at = slot[hit], at[hit]
+    return hit, slot[hit]
+
+
+def expanded(start: np.ndarray, slot: np.ndarray, most: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index into slot, posting) of all postings of the slots, in blocks of about `most` rows."""
     n = start[slot + 1] - start[slot]
-    post = np.repeat(start[slot] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    return np.repeat(at, n), post
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(slot):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        m = n[lo:hi]
+        post = np.repeat(start[slot[lo:hi]] - np.concatenate([[0], np.cumsum(m)])[:-1], m) + np.arange(m.sum())
+        yield np.repeat(np.arange(lo, hi), m), post
+        lo = hi
 
 
 def windows_in(c: Canon, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,51 +229,76 @@ def build_index(items: list[tuple], k: int, coverage: float = COVERAGE) -> Index
     return Index(*postings(m), [i for i, _ in items], np.array(size), slots, soft, np.array(length), np.array(edits), value, named, bare, found)
 
 
-def consistent(slots: dict, other: dict, shifts: list[int]) -> tuple[int, int]:
-    """(agreeing, conflicting) slots under the shifts that place the item in a document."""
-    to, back, good, bad = {}, {}, 0, 0
-    for p, (kind, value) in slots.items():
-        met = [other[p + s] for s in shifts if p + s in other and other[p + s][0] == kind]
-        if not met:
-            continue
-        v = met[0][1]
-        if to.setdefault((kind, value), v) == v and back.setdefault((kind, v), value) == value:
-            good += 1
-        else:
-            bad += 1
-    return good, bad
+class Tie:
+    """A one-to-one tie between the slot values of an item and those of a document."""
+
+    def __init__(self) -> None:
+        self.to: dict = {}
+        self.back: dict = {}
+        self.slots = 0
+        self.same = True
+
+    def add(self, met: list[tuple[int, bytes, bytes]]) -> bool:
+        """Take in (kind, value of the item, value of the document) of some slots, or none of them if one conflicts."""
+        to, back = {}, {}
+        for kind, v, w in met:
+            mine, other = (kind, v), (kind, w)
+            if self.to.get(mine, to.setdefault(mine, other)) != other or self.back.get(other, back.setdefault(other, mine)) != mine or to[mine] != other or back[other] != mine:
+                return False
+        self.to |= to
+        self.back |= back
+        self.slots += len(met)
+        self.same &= all(v == w for _, v, w in met)
+        return True
+
+
+def facing(ix: Index, c: Canon, i: int, pairs: list[tuple[int, int]]) -> list[tuple[int, bytes, bytes]]:
+    """(kind, value of the item, value of the text) of the slots among (item position, text position).
+
+    A word that opens a sentence and is no name elsewhere counts as a slot only if its value changed.
+    """
+    out = []
+    for x, y in pairs:
+        kind, v = ix.slots[i].get(x, (0, b""))
+        if kind and c.named[y] == kind:
+            w = c.values[c.word[y]]
+            if v != w or x not in ix.soft[i]:
+                out.append((kind, v, w))
+    return out
 
 
 def _near(ix: Index, c: Canon, doc: np.ndarray, done: set, k: int) -> Iterator[tuple]:
     """(pair, share, slots, match) of the items that texts hold with edits or in a long run, but for the pairs done."""
-    seen = []
+    found: dict[int, tuple] = {}
     for size, (hashes, start, item, pos) in ix.seeds.items():
         at, h = windows_in(c, size)
-        at, post = meet(hashes, start, h, at)
-        seen.append(np.column_stack([doc[at] * len(ix.ids) + item[post], at - pos[post]]))
-    seeds = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
-    first = np.nonzero(np.diff(seeds[:, 0], prepend=-1))[0]
-    for f, t in zip(first.tolist(), [*first[1:].tolist(), len(seeds)]):
-        p = int(seeds[f, 0])
-        if p in done:
-            continue
-        d, i = divmod(p, len(ix.ids))
-        n, e = int(ix.length[i]), int(ix.edits[i])
-        a, z = int(c.offsets[d]), int(c.offsets[d + 1])
-        best = None
-        end = -1
-        for shift in seeds[f:t, 1].tolist():
-            if min(z, shift + n + e) <= end:
-                continue
-            # room for further seeds of the pair; the next stretch overlaps by all that one copy may take
-            lo, end = max(a, shift - e), min(z, shift + 2 * n)
-            if (v := _verdict(ix, c, i, lo, end, k)) and (best is None or v[0] > best[0]):
-                best = v
-        if best:
-            yield p, *best
-
-
-def _verdict(ix: Index, c: Canon, i: int, lo: int, hi: int, k: int) -> tuple | None:
+        hit, slot = met(hashes, h)
+        order = np.argsort(at[hit], kind="stable")
+        at, slot = at[hit][order], slot[order]
+        for row, post in expanded(start, slot):
+            seeds = np.unique(np.column_stack([doc[at[row]] * len(ix.ids) + item[post], at[row] - pos[post]]), axis=0)
+            first = np.nonzero(np.diff(seeds[:, 0], prepend=-1))[0]
+            for f, t in zip(first.tolist(), [*first[1:].tolist(), len(seeds)]):
+                p = int(seeds[f, 0])
+                if p in done:
+                    continue
+                d, i = divmod(p, len(ix.ids))
+                n, e = int(ix.length[i]), int(ix.edits[i])
+                a, z = int(c.offsets[d]), int(c.offsets[d + 1])
+                end = -1
+                for shift in seeds[f:t, 1].tolist():
+                    if min(z, shift + n + e) <= end:
+                        continue
+                    # room for further seeds of the pair; the next stretch overlaps by all that one copy may take
+                    lo, end = max(a, shift - e), min(z, shift + 2 * n)
+                    if (v := _verdict(ix, c, i, lo, end)) and (p not in found or v[0] > found[p][0]):
+                        found[p] = v
+    for p in sorted(found):
+        yield p, *found[p]
+
+
+def _verdict(ix: Index, c: Canon, i: int, lo: int, hi: int) -> tuple | None:
+    """(share, slots, match) if words lo to hi hold item i with few edits or a long run of it, slots agreeing."""
     value, named, n = ix.value[i], ix.named[i], int(ix.length[i])
     value2, named2 = c.value[lo:hi], c.named[lo:hi]
     known = np.isin(value, value2) | ((named > 0) & np.isin(named, named2))
@@ -269,20 +306,36 @@ def _verdict(ix: Index, c: Canon, i: int, lo: int, hi: int, k: int) -> tuple | N
     if known.sum() < n - ix.edits[i] and gaps.max() < RUN:
         return None
     edits, near, run = align(value, named, value2, named2)
-    for pairs, share, words in ((near, 1 - edits / n, named == 0), (run, len(run) / n, named[[x for x, _ in run]] == 0)):
-        if not (edits <= ix.edits[i] if pairs is near else len(run) >= RUN):
+    for pairs, whole in ((near, True), (run, False)):
+        if whole and edits > ix.edits[i]:
             continue
-        equal = sum(named[x] == 0 for x, _ in pairs)
-        if not equal or 2 * equal < words.sum():
+        kept, tie = _agreeing(ix, c, i, [(x, lo + y) for x, y in pairs], whole)
+        if not whole and len(kept) < RUN:
             continue
-        mine = {x: ix.slots[i][x] for x, _ in pairs if named[x]}
-        other = {x: (int(c.named[lo + y]), c.values[c.word[lo + y]]) for x, y in pairs if named[x]}
-        good, bad = consistent({x: v for x, v in mine.items() if x not in ix.soft[i] or other[x] != v}, other, [0])
-        if bad <= good:
-            return share, good + bad, "verbatim" if mine == other else "template"
+        words = n - int((named > 0).sum()) if whole else sum(named[x] == 0 for x, _ in kept)
+        equal = sum(named[x] == 0 for x, _ in kept)
+        if equal and 2 * equal >= words:
+            return 1 - edits / n if whole else len(kept) / n, tie.slots, "verbatim" if tie.same else "template"
     return None
 
 
+def _agreeing(ix: Index, c: Canon, i: int, pairs: list, whole: bool) -> tuple[list, Tie]:
+    """The aligned words if their slots agree; of a run whose slots don't, its longest stretch with the item's own values."""
+    tie = Tie()
+    if tie.add(facing(ix, c, i, pairs)):
+        return pairs, tie
+    best: list = []
+    if not whole:
+        lo = 0
+        for hi in range(1, len(pairs) + 1):
+            if any(v != w for _, v, w in facing(ix, c, i, pairs[hi - 1 : hi])):
+                lo = hi
+            if hi - lo > len(best):
+                best = pairs[lo:hi]
+    tie.add(facing(ix, c, i, best))
+    return best, tie
+
+
 def _bare(ix: Index, c: Canon, doc: np.ndarray, k: int) -> set[tuple[int, int]]:
     """(text, item) where a whole run of placeholders has the values of an item that is placeholders only."""
     if not ix.bare:
@@ -299,6 +352,35 @@ def _bare(ix: Index, c: Canon, doc: np.ndarray, k: int) -> set[tuple[int, int]]:
 
 
 def _match(ix: Index, k: int, coverage: float):
+    def shared(c: Canon, doc: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+        """(pair, share, slots, match) of the items with enough windows in a text, in placements that agree."""
+        hit, slot = met(ix.hashes, h)
+        at = at[hit]
+        # a window that a text repeats is looked up once
+        once = np.unique(np.column_stack([doc[at], slot]), axis=0)
+        found = [np.unique(np.column_stack([once[row, 0] * len(ix.ids) + ix.item[post], ix.first[post]]), axis=0) for row, post in expanded(ix.start, once[:, 1])]
+        found = np.unique(np.concatenate(found), axis=0)[:, 0] if found else np.zeros(0, np.int64)
+        key, count = np.unique(found, return_counts=True)
+        if not len(key):
+            return
+        order = np.argsort(doc[at], kind="stable")
+        at, slot = at[order], slot[order]
+        edge = np.searchsorted(doc[at], np.arange(len(c.offsets)))
+        for p in key[count / ix.size[key % len(ix.ids)] >= coverage].tolist():
+            d, i = divmod(p, len(ix.ids))
+            mine = slice(edge[d], edge[d + 1])
+            post = [(a, q) for a, s in zip(at[mine].tolist(), slot[mine].tolist()) for q in range(ix.start[s], ix.start[s + 1]) if ix.item[q] == i]
+            placed: dict[int, list] = {}
+            for a, q in post:
+                placed.setdefault(a - int(ix.pos[q]), []).append(q)
+            tie, held = Tie(), set()
+            for shift in sorted(placed, key=lambda s: (-len(placed[s]), s)):
+                places = {x for q in placed[shift] for x in range(ix.pos[q], min(ix.pos[q] + k, ix.length[i]))}
+                if tie.add(facing(ix, c, i, [(x, x + shift) for x in sorted(places)])):
+                    held |= {int(ix.first[q]) for q in placed[shift]}
+            if len(held) / ix.size[i] >= coverage:
+                yield p, len(held) / float(ix.size[i]), tie.slots, "verbatim" if tie.same else "template"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = plain(b.column("text")), b.column("id").to_pylist()
@@ -309,35 +391,11 @@ def _match(ix: Index, k: int, coverage: float):
                 at, h = windows_in(c, k)
                 h = np.concatenate([h, *[windows_of(c, d, k) for d in short]])
                 at = np.concatenate([at, *[[c.offsets[d]] for d in short]]).astype(np.int64)
-                at, post = meet(ix.hashes, ix.start, h, at)
-                pair = doc[at] * len(ix.ids) + ix.item[post]
-                found = np.unique(np.column_stack([pair, ix.first[post]]), axis=0)[:, 0] if len(pair) else pair
-                key, count = np.unique(found, return_counts=True)
-                share = count / ix.size[key % len(ix.ids)] if len(key) else np.zeros(0)
-                out: list[list] = [[], [], [], [], []]
-                done = set()
-                for p, s in zip(key[share >= coverage].tolist(), share[share >= coverage].tolist()):
-                    d, i = divmod(p, len(ix.ids))
-                    mine = pair == p
-                    shift, votes = np.unique(at[mine] - ix.pos[post[mine]], return_counts=True)
-                    shifts = shift[np.argsort(-votes, kind="stable")].tolist()
-                    a, z = c.offsets[d], c.offsets[d + 1]
-                    near = {q for r in shifts for q in range(max(a, r), min(z, r + ix.length[i]))} if ix.slots[i] else ()
-                    other = {int(q): (int(c.named[q]), c.values[c.word[q]]) for q in near if c.named[q]}
-                    sure = {q: v for q, v in ix.slots[i].items() if q not in ix.soft[i] or all(other.get(q + r, v) != v for r in shifts)}
-                    good, bad = consistent(sure, other, shifts)
-                    if bad > good:
-                        continue
-                    done.add(p)
-                    same = all(v == other.get(q + shifts[0]) for q, v in ix.slots[i].items() if q + shifts[0] in other)
-                    for col, v in zip(out, (ids[lo + d], ix.ids[i], s, good + bad, "verbatim" if same else "template")):
-                        col.append(v)
-                for p, s, n, match in _near(ix, c, doc, done, k):
-                    for col, v in zip(out, (ids[lo + p // len(ix.ids)], ix.ids[p % len(ix.ids)], s, n, match)):
-                        col.append(v)
-                for d, i in sorted(_bare(ix, c, doc, k)):
-                    for col, v in zip(out, (ids[lo + d], ix.ids[i], 1.0, int(ix.length[i]), "verbatim")):
-                        col.append(v)
+                whole = list(shared(c, doc, at, h))
+                rows = whole + list(_near(ix, c, doc, {p for p, *_ in whole}, k))
+                rows += [(d * len(ix.ids) + i, 1.0, int(ix.length[i]), "verbatim") for d, i in sorted(_bare(ix, c, doc, k))]
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                out = [[ids[lo + p // len(ix.ids)] for p in cols[0]], [ix.ids[p % len(ix.ids)] for p in cols[0]], *map(list, cols[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string()))], ["id", "item", "coverage", "slots", "match"])
 
     return run
@@ -353,7 +411,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     only (a row of numbers) has no template: it is found by its values, where they are a whole
     run of placeholders in the document, not a stretch of a longer one.  Items with a null
     id are left out; a document with a null id is reported under null.  Repeated rows are
-    matched each.  Only the named columns are read.
+    matched each; of several placements the one with most windows counts first, then the earliest.
+    Texts may be of any length, and a window that many items share is looked up in blocks.  Only the named columns are read.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
