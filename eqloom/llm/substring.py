@@ -118,8 +118,8 @@ def repeated_spans(src: DataFrame, window: int = WINDOW, gram: int = GRAM, bits:
     pos = F.struct("id", "start", "fp")
     first = materialize(rows.groupBy("anchor", "seg").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")), "first")
     later = join_counted(rows, first.where("n > 1"), ["anchor", "seg"]).where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + F.col("size") + window - 1).alias("end"))
-    mixed = first.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a <> b").select("anchor")
-    need = materialize(first.join(mixed, "anchor").select("seg", "first.*"), "mixed")
+    mixed = materialize(first.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("anchor", "m"), "anchors")
+    need = materialize(join_counted(first, mixed, ["anchor"], "m").select("seg", "first.*"), "mixed")
     key = F.col("seg").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 7))
     found = src.mapInArrow(_windows(bitmap(need.select(key.alias("key")), bits), bits, window, gram), "anchor long, id long, fp long, start int, wins array<long>")
     # a chance hit of the bitmap is another true segment, so it may take part
@@ -127,7 +127,7 @@ def repeated_spans(src: DataFrame, window: int = WINDOW, gram: int = GRAM, bits:
     least = materialize(each.groupBy("anchor", "win").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
     single = join_counted(each, least, ["anchor", "win"]).where(pos != F.col("first")).select("id", "fp", "start", (F.col("start") + window).alias("end"))
     out = materialize(later.unionByName(single).groupBy("id", "fp").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    discard(rows, first, need, each, least)
+    discard(rows, first, mixed, need, each, least)
     return out
 
 
