@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqloom.llm import decontam, line_dedup, minhash, packing, toxicity
-from eqloom.llm.common import materialize
+from eqloom.llm.common import materialize, on_few, unused
 
 
 def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -21,30 +21,43 @@ def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents that score 0.5 or more."""
+    """Toxicity: documents that score 0.5 or more go; a text without words has the score of the bias, and stays unless most labels are toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
     return toxicity.keep(docs, model, 0.5)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later copies of a line of any length go, its earliest copy stays; documents all stay."""
+    """Line dedup: later copies of a line of any length go, its earliest copy stays; documents all stay, null texts as they are."""
     return _columns(docs, line_dedup.dedup_lines(docs, exact_chars=1))
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is none of ids (one column, null included); only rows that may go are shuffled."""
+    (gone,) = unused(docs.columns, "_gone")
+    ids = materialize(ids.toDF(gone).distinct(), "gone")
+    left = lambda d: d.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    return on_few(docs, F.xxhash64("doc_id"), ids, F.xxhash64(gone), left, lambda d: d)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup on five-word shingles at a similarity of 0.8: the least doc_id of a group stays."""
-    found = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Near-dedup on five-word shingles at a similarity of 0.8: the least doc_id of a group stays.
+
+    Of rows that repeat id and text one stays.  A null doc_id is linked with nothing; null, empty and blank texts stay.
+    """
+    near = minhash.near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    docs = _without(docs, near.where("not kept").select("doc_id"))
+    (again,) = unused(docs.columns, "_again")
+    repeated = materialize(docs.groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again), "repeated")
+    return on_few(docs, F.xxhash64("doc_id"), repeated, F.xxhash64(again), lambda d: d.dropDuplicates(["doc_id", "text"]), lambda d: d)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """Benchmark decontamination: documents that hold a benchmark item go; null, empty and blank texts stay."""
+    return _without(docs, decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 
 def to_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: a row for each piece of a document in a training sequence, with its ids."""
+    """Packing: a row for each piece of a document in a training sequence, with its ids; a null text is empty, which is the closing id alone."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
