@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import materialize
+from eqloom.llm.common import discard, materialize
 
 
 def _sums(df: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Null ends are ignored.  An empty table gives an empty table.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e = materialize(e, "cc")
+    kept = e = materialize(e, "cc")
     before = _sums(e)
     for _ in range(max_rounds):
         if not before[0]:
@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         # small star: u and its lower neighbours are tied to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         e = big.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialize(e, "cc")
+        old, e = kept, materialize(e, "cc")
+        kept = e
+        discard(old)
         now = _sums(e)
         if now == before:
             break

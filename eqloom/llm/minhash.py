@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import as_long, materialize, mix, ngram_hashes, plain, split_words, text_slices, word_hashes
+from eqloom.llm.common import as_long, discard, materialize, mix, ngram_hashes, plain, split_words, text_slices, word_hashes
 from eqloom.llm.components import connected_components
 
-BANDS, ROWS, BLOCK = 30, 5, 512
+BANDS, ROWS, BLOCK, SHINGLES = 30, 5, 512, 2_000_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, and texts whose least id is that id are one node.  A null id is linked with nothing: component_id null, kept true.  Other columns are not read, so
     their names don't matter.  An empty table gives an empty table.
 
-    At a similarity of 0.85 a pair shares no band with probability 2e-8.
+    At a similarity of 0.85 a pair shares no band with probability 2e-8, at 0.8 with 7e-6.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -212,14 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(placed.join(head.select("bucket"), "bucket"), "placed")
     open_ = (
         placed.groupBy("bucket")
-        .agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
+        .agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
         .where("c1 <> c2")
-        .groupBy("m", "x1", "x2")
+        .groupBy("m", "w", "x1", "x2")
         .agg(F.min("bucket").alias("bucket"))
     )
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    # a block holds `block` texts, or fewer if they are long
+    parts = F.ceil(F.greatest(F.col("m") / F.lit(block), F.col("w") / F.lit(SHINGLES))).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
-    rows_ = placed.join(open_.select("bucket", "m"), "bucket").select("bucket", "node", mine.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
+    rows_ = placed.join(open_.select("bucket", "m", "w"), "bucket").select("bucket", "node", mine.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
     rows_ = rows_.select("bucket", "node", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
     rows_ = rows_.join(live.select(F.col("id").alias("node"), "z"), "node")
     found = rows_.groupBy("bucket", "i", "j").applyInArrow(_verify_block(k, percent), "a long, b long")
@@ -232,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(comp2.select(F.col("node").alias("c"), F.col("component").alias("c2")), "c", "left")
         .select(*by, F.coalesce("c2", "c").alias("component_id"))
     )
+    discard(member, stars, placed)
     out = sk.select("id", *by).join(final, by, "left")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"))
