@@ -460,3 +460,37 @@ def inline_math(spark, sf_dir):
     """Inline formulas replaced by a word."""
     t = F.concat("text", F.lit(r" with $x^2$ and \(y_1\) or \rho{t}."))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_math(t).alias("plain"))
+
+
+@query(f"WITH {SENT} SELECT doc_id, i FROM sent WHERE contains(s, 'and the') OR contains(s, 'The')")
+def symbol_view(spark, sf_dir):
+    """Passages that hold a form of a symbol, as it is written."""
+    s = sentence_rows(spark, sf_dir).withColumnRenamed("s", "text")
+    return D.naming(s, ["and the", "The"]).select("doc_id", F.col("i").cast("long").alias("i"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 1 AND NOT list_contains({listed(L.PAIR_STOP)}, x))) AS term FROM conversations),
+n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM t GROUP BY 1, 2, 3),
+df AS (SELECT conv_id, term, count(*) AS df FROM tf GROUP BY 1, 2), w AS (SELECT conv_id, turn, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (conv_id, term) JOIN n USING (conv_id)),
+l AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS l FROM w GROUP BY 1, 2)
+SELECT a.conv_id, a.turn AS a, b.turn AS b, round(sum(a.w / la.l * b.w / lb.l), 6) AS cosine FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.term = b.term AND a.turn <> b.turn
+JOIN l la ON la.conv_id = a.conv_id AND la.turn = a.turn JOIN l lb ON lb.conv_id = b.conv_id AND lb.turn = b.turn GROUP BY 1, 2, 3""")
+def tfidf_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("eq_num"), "text")
+    return E.cosines(c).select(F.col("id").alias("conv_id"), "a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {TRIM.format("regexp_extract(text || ' and by Eq. ( 3A ) so it goes. More (3a).', '(?is)([^.!?]*?(?:eq(?:uation)?s?\\.?\\s*)?\\(\\s*3a\\s*\\)[^.!?]*[.!?]?)', 1)")} AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(s) > 20 AND s[1] <> '(' THEN s END AS sentence FROM c""")
+def citation_sentences(spark, sf_dir):
+    text = F.concat("text", F.lit(" and by Eq. ( 3A ) so it goes. More (3a)."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", E.citation_sentence(F.lit("3a"), text).alias("sentence"))
+
+
+@query("SELECT conv_id, turn, conv_id || '_' || turn || CASE turn % 3 WHEN 0 THEN '_abs.html' WHEN 1 THEN '_html.html' ELSE '_pdf.pdf' END AS name FROM conversations")
+def cache_names(spark, sf_dir):
+    """File names of pages in the cache, of ids with a slash."""
+    c = table(spark, sf_dir, "conversations")
+    paper = F.concat_ws("/", "conv_id", "turn")
+    name = F.when(F.col("turn") % 3 == 0, fetch.cache_name(paper, "abs")).when(F.col("turn") % 3 == 1, fetch.cache_name(paper, "html")).otherwise(fetch.cache_name(paper, "pdf"))
+    return c.select("conv_id", "turn", name.alias("name"))

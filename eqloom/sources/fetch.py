@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 import urllib.error
 import urllib.request
@@ -24,9 +23,14 @@ DELAY, TIMEOUT = 15.0, 30.0
 CACHED = -1
 
 
-def cache_name(paper: Column, endpoint: str) -> Column:
+def page_name(paper: str, endpoint: str) -> str:
     """File name of a paper's page in the cache."""
-    return F.concat(F.translate(paper, "/", "_"), F.lit(f"_{endpoint}.{ENDPOINTS[endpoint]}"))
+    return f"{paper.replace('/', '_')}_{endpoint}.{ENDPOINTS[endpoint]}"
+
+
+def cache_name(paper: Column, endpoint: str) -> Column:
+    """The same of a column of papers."""
+    return F.concat(F.translate(paper, "/", "_"), F.lit(page_name("", endpoint)))
 
 
 class PaperPages(DataSource):
@@ -63,9 +67,12 @@ class Pages(DataSourceReader):
                 yield (paper, endpoint, *self.page(paper, endpoint))
 
     def page(self, paper: str, endpoint: str) -> tuple[bytes | None, int]:
-        path = os.path.join(self.cache, f"{paper.replace('/', '_')}_{endpoint}.{ENDPOINTS[endpoint]}")
-        if os.path.exists(path):
-            with open(path, "rb") as f:
+        from pyarrow import fs as files
+
+        fs, root = files.FileSystem.from_uri(self.cache) if "://" in self.cache else (files.LocalFileSystem(), self.cache)
+        path = f"{root.rstrip('/')}/{page_name(paper, endpoint)}"
+        if fs.get_file_info(path).type == files.FileType.File:
+            with fs.open_input_stream(path) as f:
                 return f.read(), CACHED
         if not self.base:
             return None, 0
@@ -81,9 +88,9 @@ class Pages(DataSourceReader):
         if status == 200:
             # a whole file appears at once, so a lost reader leaves no half page
             part = f"{path}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
+            with fs.open_output_stream(part) as f:
                 f.write(data)
-            os.replace(part, path)
+            fs.move(part, path)
         return data, status
 
 
