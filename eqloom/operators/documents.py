@@ -96,7 +96,7 @@ def methods(nodes: DataFrame) -> DataFrame:
 def passages(nodes: DataFrame, eqs: DataFrame) -> DataFrame:
     """(id, chunk_ord, chunk_id, chunk_type, text, section_id, section_title, para_id, eq_nums, char_offset).
 
-    Sentences of at least ten characters, paragraphs, then the neighbourhood of each formula in
+    Paragraphs without an id or without prose have no rows.  Sentences of at least ten characters, paragraphs, then the neighbourhood of each formula in
     order of their numbers; one counter runs over all passages of a paper.
     """
     near = nodes.where("kind = 'spot' AND method = 'child' AND para_id IS NOT NULL").groupBy("id", "para_id").agg(F.array_sort(F.collect_list(F.struct("ord", "number"))).alias("_n"))

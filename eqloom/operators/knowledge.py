@@ -26,7 +26,7 @@ def analyse(pages: DataFrame, id_col: str, html_col: str, cap: int = 7, pdf_line
     A paper's source is html if its page is not null, else pdf if `pdf_lines` (id, page, line_no, line)
     has it, else none; a paper without formulas has a row in papers alone.  With `limit`, papers count
     in the order of `order_col` (their id, if none is given) as long as those before them hold fewer formulas; later
-    ones are in no table.  Pages are parsed once; node rows, formulas, passages and postings are
+    ones are in no table.  Pages are parsed once; node rows, formulas, passages and hits are
     written to the shared folder.
     """
     papers = pages.select(F.col(id_col).cast("long").alias("id"), F.col(order_col or id_col).cast("long").alias("ord"), F.col(html_col).isNotNull().alias("html")).where("id is not null")
@@ -46,12 +46,17 @@ def analyse(pages: DataFrame, id_col: str, html_col: str, cap: int = 7, pdf_line
     chunks = keep(D.passages(nodes, eqs), "chunks")
     xrefs = keep(D.cross_references(nodes, chunks), "xrefs")
     pieces, places = M.pool(chunks), keep(D.places(chunks), "places")
-    posts = keep(R.paper_postings(pieces), "postings")
-    meanings = keep(M.choose(M.signals(M.candidates(eqs, pieces, posts), places), eqs), "meanings")
-    symbols = keep(S.definitions(eqs, pieces, posts), "symbols")
-    relations = E.graded(eqs, places, pieces, posts, xrefs, meanings, symbols)
+    asked = {"m": M, "s": S, "r": E}
+    # all questions of a paper are answered by one search, and only the passages that were found go on
+    ask = [m.asks(eqs).select("id", F.concat(F.lit(k + ":"), "name").alias("qid"), "text") for k, m in asked.items()]
+    hits = keep(R.search_papers(pieces, ask[0].unionByName(ask[1]).unionByName(ask[2]), M.DEPTH), "hits")
+    met = keep(pieces.join(hits.select("id", "chunk_ord").distinct(), ["id", "chunk_ord"], "left_semi"), "met")
+    of = {k: hits.where(F.col("qid").startswith(k + ":")).withColumn("name", F.substring("qid", 3, 1 << 20)).drop("qid") for k in asked}
+    meanings = keep(M.choose(M.signals(M.candidates(eqs, met, of["m"]), places), eqs), "meanings")
+    symbols = keep(S.definitions(eqs, met, of["s"]), "symbols")
+    relations = E.graded(eqs, places, met, of["r"], xrefs, meanings, symbols)
     out = {"papers": papers, "equations": eqs, "chunks": chunks, "xrefs": xrefs, "meanings": meanings, "symbols": symbols, "relations": keep(relations, "relations")}
-    out["asked"] = M.retrieval_log(eqs, posts)
+    out["asked"] = M.retrieval_log(eqs, of["m"])
     out["audit"] = audit(out)
     return out
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from eqloom import lexicon as L
 from eqloom.functions import text as T
 from eqloom.operators import documents as D
-from eqloom.operators import retrieval as R
-from eqloom.sources.durable import keep
 
 DEPTH, LEAST, MOST = 12, 0.15, 15
 WEIGHTS = {"eq_num": 5, "definitional": 3, "gazetteer": 3, "context_window": 2, "para_adj": 2, "same_section": 1, "bm25_top1": 1, "badlen": -1}
@@ -28,13 +26,17 @@ def query_text(number: Column, latex: Column) -> Column:
     return F.concat_ws(" ", F.lit("equation"), number, F.lit("eq"), number, F.array_join(terms, " "))
 
 
-def candidates(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame:
+def asks(eqs: DataFrame) -> DataFrame:
+    """(id, name, text): what is asked for each formula."""
+    return eqs.select("id", F.col("eq_num").alias("name"), query_text(F.col("eq_num"), F.col("equation")).alias("text"))
+
+
+def candidates(eqs: DataFrame, pieces: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each formula and distinct prose sentence: retrieved ones, then those after and before it.
 
-    `pieces` is the pool of passages, `posts` its postings.
+    A formula without passages or context has no rows.  `pieces` is the pool of passages, `hits` (id, name, rank, chunk_ord, score) what was found for each formula.
     """
-    hits = R.within_papers(posts, eqs.select("id", F.col("eq_num").alias("qid"), query_text(F.col("eq_num"), F.col("equation")).alias("text")), DEPTH)
-    hits = keep(hits.select("id", F.col("qid").alias("eq_num"), "rank", "chunk_ord", "score"), "hits")
+    hits = hits.where(F.col("rank") <= DEPTH).select("id", F.col("name").alias("eq_num"), "rank", "chunk_ord", "score")
     # a passage is cleaned and cut once, however many formulas it was found for
     met = pieces.join(hits.select("id", "chunk_ord").distinct(), ["id", "chunk_ord"], "left_semi")
     said = _prose(met.select("id", "chunk_ord", "chunk_id", "section_id", "para_id", "char_offset", "text"))
@@ -102,11 +104,11 @@ def choose(scored: DataFrame, eqs: DataFrame) -> DataFrame:
     return out.select("id", "eq_num", F.coalesce("s", F.lit("")).alias("meaning"), (-F.col("p")).alias("points"), (-F.col("b")).alias("bm25"), "chunk_id", F.col("char_offset").alias("char_start"), (F.col("char_offset") + F.length("s")).alias("char_end"), "signals")
 
 
-def retrieval_log(eqs: DataFrame, posts: DataFrame) -> DataFrame:
+def retrieval_log(eqs: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, eq_num, query, hits): what was asked for each formula, and how many passages came."""
-    asked = eqs.select("id", "eq_num", query_text(F.col("eq_num"), F.col("equation")).alias("query"))
-    n = R.within_papers(posts, asked.select("id", F.col("eq_num").alias("qid"), F.col("query").alias("text")), DEPTH).groupBy("id", F.col("qid").alias("eq_num")).agg(F.count(F.lit(1)).alias("hits"))
-    return asked.join(n, ["id", "eq_num"], "left").select("id", "eq_num", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
+    n = hits.where(F.col("rank") <= DEPTH).groupBy("id", "name").agg(F.count(F.lit(1)).alias("hits"))
+    asked = asks(eqs).join(n, ["id", "name"], "left")
+    return asked.select("id", F.col("name").alias("eq_num"), F.col("text").alias("query"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def idf(texts: DataFrame, col: str = "text") -> DataFrame:

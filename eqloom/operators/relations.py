@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from eqloom import lexicon as L
 from eqloom.functions import text as T
 from eqloom.operators import documents as D
-from eqloom.operators import retrieval as R
 
 DEPTH, JACCARD, COSINE, WIDTH = 3, 0.30, 0.60, 200
 
@@ -48,7 +47,10 @@ def cue_sentence(number: Column, context: Column) -> Column:
 
 
 def cosines(texts: DataFrame) -> DataFrame:
-    """(id, a, b, cosine) of TF-IDF vectors of (id, eq_num, text); counts are those of the paper."""
+    """(id, a, b, cosine) of TF-IDF vectors of (id, eq_num, text); counts are those of the paper.
+
+    Texts without words (null ones too) count, but have no rows.
+    """
     stop = F.array(*[F.lit(w) for w in L.PAIR_STOP])
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda t: ~F.array_contains(stop, t) & (F.length(t) > 1))
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
@@ -66,15 +68,20 @@ def clean(c: Column) -> Column:
     return F.substring(T.strip(F.regexp_replace(c, " {2,}", " ")), 1, WIDTH)
 
 
-def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, posts: DataFrame, refs: DataFrame, meanings: DataFrame, symbols: DataFrame) -> DataFrame:
+def asks(eqs: DataFrame) -> DataFrame:
+    """(id, name, text): what is asked for the passages around each formula."""
+    return eqs.select("id", F.col("eq_num").alias("name"), F.concat(F.lit("equation "), "eq_num", F.lit(" eq "), "eq_num", F.lit(" ("), "eq_num", F.lit(")")).alias("text"))
+
+
+def graded(eqs: DataFrame, places: DataFrame, pieces: DataFrame, hits: DataFrame, refs: DataFrame, meanings: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, a, b, grade, description, jaccard, cosine, signals) of every ordered pair.
 
     strong: a cross reference to b beside a, a citation of b in a's own context, or a sentence
     that cites b with a cue of a derivation; potential: shared symbols or similar texts.
+    A paper of one formula has no rows; an empty text is like no other, and no symbols are shared with none.
     """
     local = T.strip(F.concat_ws(" ", "before", "after"))
-    ask = eqs.select("id", F.col("eq_num").alias("qid"), F.concat(F.lit("equation "), "eq_num", F.lit(" eq "), "eq_num", F.lit(" ("), "eq_num", F.lit(")")).alias("text"))
-    hits = R.within_papers(posts, ask, DEPTH).join(pieces.select("id", "chunk_ord", "text"), ["id", "chunk_ord"])
+    hits = hits.where(F.col("rank") <= DEPTH).select("id", F.col("name").alias("qid"), "rank", "chunk_ord").join(pieces.select("id", "chunk_ord", "text"), ["id", "chunk_ord"])
     wide = hits.groupBy("id", F.col("qid").alias("eq_num")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("found"))
     own = symbols.where("reject_reason IS NULL").groupBy("id", "eq_num").agg(F.sort_array(F.collect_set("sym")).alias("syms"))
     side = eqs.select("id", "eq_num", local.alias("local")).join(meanings.select("id", "eq_num", "meaning"), ["id", "eq_num"], "left").join(places, ["id", "eq_num"], "left").join(own, ["id", "eq_num"], "left").join(wide, ["id", "eq_num"], "left")

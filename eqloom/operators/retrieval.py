@@ -23,8 +23,11 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl): a row for each term of each document; of the terms in `wanted` only, if it is given."""
-    rows = terms(docs, id_col, text_col).select("id", "dl", F.explode("t").alias("term"))
+    """(id, term, tf, dl): a row for each term of each document; of the terms in `wanted` only, if it is given.
+
+    A null or empty text has no rows, nor has a document without an id; rows that repeat an id are one document.
+    """
+    rows = terms(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select("id", "dl", F.explode("t").alias("term"))
     if wanted is not None:
         rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
@@ -79,7 +82,8 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query_t
     """(qid, id, score, matched): BM25+ of each query and document that share a term.
 
     `where` filters candidates on the columns of docs; document counts and lengths stay
-    those of the whole corpus.  Only the queries' terms leave the documents.
+    those of the whole corpus.  Only the queries' terms leave the documents.  Null texts on either
+    side share no term; documents without an id count, but are no hits.
     """
     q = query_terms(queries, query_id, query_text)
     posts = postings(docs, wanted=q)
@@ -128,15 +132,28 @@ def rerank(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, vec: s
     return j.drop("dv", "qv").withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 6)), "rank")))
 
 
-def paper_postings(chunks: DataFrame) -> DataFrame:
-    """(id, chunk_ord, term, tf, dl, n, avgdl, df) of passages (id, chunk_ord, text); counts are those of the paper."""
+def paper_postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, chunk_ord, term, tf, dl, n, avgdl, df) of passages (id, chunk_ord, text); counts are those of the paper.
+
+    With `asked` (id, terms), an array of terms a paper, only those terms are rows; all passages count.
+    """
     paper = Window.partitionBy("id")
     tok = chunks.select("id", "chunk_ord", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
+    if asked is not None:  # the one shuffle; what follows stays within the papers
+        tok = tok.join(asked.select("id", "terms"), "id")
     tok = tok.withColumns({"n": F.count(F.lit(1)).over(paper), "avgdl": F.avg("dl").over(paper)})
+    if asked is not None:
+        tok = tok.withColumn("t", F.filter("t", lambda x: F.array_contains("terms", x)))
     posts = tok.select("id", "chunk_ord", "dl", "n", "avgdl", F.explode("t").alias("term")).groupBy("id", "chunk_ord", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("dl", "n", "avgdl")])
     return posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term")))
 
 
+def search_papers(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, qid, rank, chunk_ord, score): the k best passages of each query's own paper, all queries in one plan."""
+    terms = queries.select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id").agg(F.collect_set("term").alias("terms"))
+    return within_papers(paper_postings(chunks, terms), queries, k)
+
+
 def within_papers(posts: DataFrame, queries: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
     """(id, qid, rank, chunk_ord, score): the k best passages of a query's own paper.
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from eqloom import lexicon as L
 from eqloom.functions import text as T
-from eqloom.operators import retrieval as R
 
 DEPTH, WORDS = 5, 15
 
@@ -74,15 +73,20 @@ def earlier(eqs: DataFrame) -> DataFrame:
     return found.select("id", "eq_num", "ord", "sym", "f.definition", "f.pattern")
 
 
-def definitions(eqs: DataFrame, pieces: DataFrame, posts: DataFrame) -> DataFrame:
+def asks(eqs: DataFrame) -> DataFrame:
+    """(id, name, text): what is asked for each symbol of a paper, its first three forms."""
+    sym = of_formulas(eqs).select("id", F.col("sym").alias("name")).distinct()
+    return sym.select("id", "name", F.array_join(F.slice(forms(F.col("name")), 1, 3), " ").alias("text"))
+
+
+def definitions(eqs: DataFrame, pieces: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, eq_num, ord, sym, definition, pattern, confidence, reject_reason, chunk_id) of each symbol with a phrase.
 
-    A phrase is looked for in the five best passages for the symbol, then in the formula's own
+    A phrase is looked for in the five best passages for the symbol (`hits`: id, name, rank, chunk_ord), then in the formula's own
     context; rows with a reject_reason are for the audit, the others are results.
     """
     syms = of_formulas(eqs)
-    asked = syms.select("id", F.col("sym").alias("qid"), F.array_join(F.slice(forms(F.col("sym")), 1, 3), " ").alias("text")).distinct()
-    hits = R.within_papers(posts, asked, DEPTH).join(pieces.select("id", "chunk_ord", "chunk_id", "text"), ["id", "chunk_ord"])
+    hits = hits.where(F.col("rank") <= DEPTH).select("id", F.col("name").alias("qid"), "rank", "chunk_ord").join(pieces.select("id", "chunk_ord", "chunk_id", "text"), ["id", "chunk_ord"])
     top = F.array_sort(F.collect_list(F.struct("rank", "text", "chunk_id")))
     near = hits.groupBy("id", F.col("qid").alias("sym")).agg(top.alias("h"))
     s = syms.join(near, ["id", "sym"], "left")
