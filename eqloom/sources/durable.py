@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """The table written to the folder in spark.checkpoint.dir and read back (local mode: under /tmp)."""
+    """The table written to the folder in spark.checkpoint.dir and read back (local mode: under /tmp).
+
+    It lasts as long as the session's driver and is deleted with it.
+    """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
@@ -16,6 +19,8 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file:///tmp/checkpoints"
     path = f"{folder.rstrip('/')}/eqloom/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
