@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqloom.llm import ann, decontam, langid, line_dedup, minhash, packing, quality, substring, toxicity, warc
-from eqloom.llm.common import crc_fold, shared_dir
+from eqloom.llm.common import crc_fold, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +54,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are read with their payload and digested anew; revisits by their headers."""
-    path = f"{shared_dir(spark)}/eqloom/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     warc.archive(_table(spark, sf_dir, "pages"), path)
     full = warc.read(spark, path).where("record_type = 'response'").withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
     heads = warc.read(spark, path, payload=False).where("record_type = 'revisit'")

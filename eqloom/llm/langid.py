@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
     score is the cosine with the nearest centroid; rejected marks texts farther from it than
     nearly all of its training texts.  A null text, or one without a letter, or any text when
     nothing was learned, is `und` with score 0 and rejected.  Equal cosines go to the first
-    language by name.  Repeated rows and null ids are scored like others.
+    language by name.  Texts may be of any length.  Repeated rows and null ids are scored like others.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(_score(model), "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

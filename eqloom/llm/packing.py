@@ -188,7 +188,7 @@ def _place(capacity: int):
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE, end_id: int = END_ID, with_ids: bool = False, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    A null or empty text is the end id alone.  Repeated rows and repeated or null ids are
+    A null or empty text is the end id alone; a text of any length is cut into pieces.  Repeated rows and repeated or null ids are
     packed once for each row.  Tied lengths are placed in a fixed order.  Only the two named
     columns are read.  An empty table gives no rows.
     """

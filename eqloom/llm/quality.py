@@ -169,7 +169,7 @@ def _score(model: Tables):
 def score(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for each row: the probability of label 1 by the whole text.
 
-    Null, empty and blank texts are scored by their (zero) features.  Repeated rows and null
+    Texts may be of any length.  Null, empty and blank texts are scored by their (zero) features.  Repeated rows and null
     ids are scored like others; other columns are not read.  With labels of one class only,
     the score is near that class; with none, near 0.
     """

@@ -244,7 +244,9 @@ def cut_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id",
 
     The reference is read in shards of about shard_words words; each shard's automaton is
     broadcast and dropped again, so driver and executors hold one shard at a time, and a
-    reference of any size is only more passes.  Null and empty texts as in dedup_passages.
+    reference of any size is only more passes.  Null and empty texts as in dedup_passages, on either
+    side; texts may be of any length, but a reference text is never split over shards.  Repeated rows
+    are each cut.  Other columns are not read.  An empty table gives an empty table.
     """
     import re
 

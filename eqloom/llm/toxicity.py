@@ -146,7 +146,7 @@ def _score(model: Weights):
 def score(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for each row: the probability of label 1 by the whole text.
 
-    A null, empty or blank text gets the score of the bias alone.  Repeated rows and null ids
+    Texts may be of any length.  A null, empty or blank text gets the score of the bias alone.  Repeated rows and null ids
     are scored like others; other columns are not read.  With labels of one class only, the
     score is near that class; with none, near 0.
     """
