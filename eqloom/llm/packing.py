@@ -25,6 +25,10 @@ from eqloom.llm.common import kept_state, materialize, plain, split_words, text_
 
 CAPACITY, END_ID, PIECE = 4096, 2, 1024
 GROUP_WINDOWS, GROUP_PIECES, CACHE = 128, 8192, 250_000
+# letters and digits that neither fold nor compose into something with a mark at its end
+WORD_END = "[0-9A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{17F}\\x{400}-\\x{481}\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}]$"
+# ASCII and the precomposed Latin letters up to U+017F, but for the dotted capital I
+PLAIN = "^[\\x00-\\x7F\\x{C0}-\\x{12F}\\x{131}-\\x{17F}]*$"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -73,9 +77,9 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 def _encoder(path: str):
     """Words to ids by the tokenizer, with a bounded cache a worker keeps between tasks.
 
-    White space always parts tokens, and so does a run of stops after a letter or digit;
-    case is folded by the tokenizer.  So ids are looked up for lower-cased stems and for
-    their stops.  Stems of letters alone are one pre-token each: many of them are encoded
+    White space always parts tokens, and so does a run of stops after a common letter or digit;
+    case is folded by the tokenizer.  So ids are looked up for stems (lower-cased, where that
+    is surely all the tokenizer does) and for their stops.  Stems of letters alone are one pre-token each: many of them are encoded
     in one text and told apart by the tokens that end a word.
     """
     state = kept_state()
@@ -124,9 +128,10 @@ def _encoder(path: str):
     def ids_of(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
         """Id strings, and for each word the two of them (stem, stops) that make it up."""
         stem = pc.utf8_rtrim(words, characters=".,;:!?")
-        parted = pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.not_equal(stem, words))
+        parted = pc.and_(pc.match_substring_regex(stem, WORD_END), pc.not_equal(stem, words))
         stem = pc.if_else(parted, stem, words)
-        stem = pc.if_else(pc.match_substring(stem, "\u0130"), stem, pc.utf8_lower(stem)).dictionary_encode()
+        # other letters may compose with marks before the tokenizer folds them, so they are looked up as they are
+        stem = pc.if_else(pc.match_substring_regex(stem, PLAIN), pc.utf8_lower(stem), stem).dictionary_encode()
         stops = pc.replace_substring_regex(words.filter(parted), r"^.*[\pL\pN]", "").dictionary_encode()
         at = np.nonzero(parted.to_numpy(zero_copy_only=False))[0]
         pool = lookup(stem.dictionary.to_pylist())
