@@ -194,6 +194,9 @@ def test_packing_round_trip(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     odd = ["Hello, WORLD!!! it's été... (a). <|endoftext|> foo<|endoftext|>. İst ΣΣ 3.14, 5km; don't!?", "ﬁne №5 ½. 日本語。 ​. 😀.😀 .x. ..x.."]
+    r = random.Random(12)
+    spans = [(32, 126)] * 6 + [(9, 13), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x52F), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x4FFF), (0xFB00, 0xFB06), (0x1F600, 0x1F64F), (0x1E00, 0x1EFF)]
+    odd += ["".join(chr(r.randint(*r.choice(spans))) + r.choice(["", "", " ", "the", "ing", "ß", "İ", "'s"]) for _ in range(r.randrange(1, 60))) for _ in range(400)]
     extra = docs.sparkSession.createDataFrame([(80 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(extra)
     out = packing.pack(both, path, with_ids=True, group_windows=4).collect()
