@@ -71,19 +71,24 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 
 def sieve(keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
-    """(b, m): a bitmap of 2 ** bits bits in rows of 4 KB, with a bit for each long in column key.
+    """(b, w0..w7): a bitmap of 2 ** bits bits in rows of eight words, with a bit for each long in column key.
 
-    Its size is bounded by `bits`, whatever the number of keys; a null key sets no bit.
+    Its size is bounded by `bits` (2 ** (bits - 9) rows), whatever the number of keys; a null key sets no bit.
     """
-    n = keys.where("key is not null").select((F.pmod("key", F.lit(1 << bits)) + 1).alias("n")).distinct()
-    n = n.withColumn("b", F.bitmap_bucket_number("n")).repartition("b")
-    return n.groupBy("b").agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
+    n = keys.where("key is not null").select(F.pmod("key", F.lit(1 << bits)).alias("n")).distinct()
+    word = F.shiftright("n", 6).bitwiseAND(F.lit(7))
+    return n.groupBy(F.shiftright("n", 9).alias("b")).agg(*[F.coalesce(F.bit_or(F.when(word == j, _bit(F.col("n")))), F.lit(0).cast("long")).alias(f"w{j}") for j in range(8)])
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """The same bitmap as bytes on the driver."""
+    """A bit for the low bits of each long in column key: 2 ** bits bits on the driver, whatever the number of keys."""
+    n = F.pmod("key", F.lit(1 << bits)) + 1
     out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
-    for r in sieve(keys, bits).collect():
+    for r in keys.where("key is not null").select(n.alias("n")).groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m")).collect():
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
     return out
 
@@ -91,16 +96,15 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 def sifted(rows: DataFrame, key: Column, keys: DataFrame, as_name: str, bits: int = SIEVE_BITS) -> DataFrame:
     """rows with a boolean column: false where the key is surely none of `keys` (see sieve).
 
-    The bitmap is broadcast (16 MB at most), so no row moves.  A chance hit only sends a row
-    the longer way.
+    The bitmap is broadcast (262,144 rows of 72 bytes at most), so no row moves.  A chance hit only
+    sends a row the longer way.
     """
-    b, m, k = unused([*rows.columns, as_name], "_b", "_m", "_k")
-    n = F.pmod(k, F.lit(1 << bits)) + 1
-    place = F.bitmap_bit_position(n)
-    held = F.conv(F.hex(F.substring(m, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(held.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0, F.lit(False))
-    found = rows.withColumn(k, key).withColumn(b, F.bitmap_bucket_number(n))
-    return found.join(F.broadcast(keys.select(F.col("b").alias(b), F.col("m").alias(m))), b, "left").withColumn(as_name, hit).drop(b, m, k)
+    b, k, *words = unused([*rows.columns, as_name], "_b", "_k", *[f"_w{j}" for j in range(8)])
+    word = F.element_at(F.array(*words), (F.shiftright(k, 6).bitwiseAND(F.lit(7)) + 1).cast("int"))
+    hit = F.coalesce(word.bitwiseAND(_bit(F.col(k))) != 0, F.lit(False))
+    found = rows.withColumn(k, F.pmod(key, F.lit(1 << bits))).withColumn(b, F.shiftright(k, 9))
+    held = keys.select(F.col("b").alias(b), *[F.col(f"w{j}").alias(w) for j, w in enumerate(words)])
+    return found.join(F.broadcast(held), b, "left").withColumn(as_name, hit).drop(b, k, *words)
 
 
 def on_few(rows: DataFrame, key: Column, few: DataFrame, few_key: Column, then, otherwise) -> DataFrame:
