@@ -66,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
@@ -105,9 +105,10 @@ FROM m""",
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS raw FROM d),
 t AS (SELECT doc_id, line, raw, lower(regexp_replace(raw, '^[ \t\n\r\v\f]+|[ \t\n\r\v\f]+$', '', 'g')) AS norm FROM l),
-f AS (SELECT norm, min((doc_id, line)) AS pos FROM t WHERE length(norm) >= 24 GROUP BY norm),
-v AS (SELECT norm, pos, norm AS v FROM f UNION ALL
-  SELECT norm, pos, substr(norm, 1, i - 1) || substr(norm, i + 1) FROM (SELECT norm, pos, unnest(range(1, length(norm) + 1)) AS i FROM f)),
+f AS (SELECT norm, min((doc_id, line)) AS pos FROM t WHERE norm <> '' GROUP BY norm),
+long AS (SELECT * FROM f WHERE length(norm) >= 24),
+v AS (SELECT norm, pos, norm AS v FROM long UNION ALL
+  SELECT norm, pos, substr(norm, 1, i - 1) || substr(norm, i + 1) FROM (SELECT norm, pos, unnest(range(1, length(norm) + 1)) AS i FROM long)),
 k AS (SELECT norm, pos, hash(v) AS v FROM v),
 n AS (SELECT DISTINCT a.norm FROM k a JOIN k b ON a.v = b.v AND b.pos < a.pos AND levenshtein(a.norm, b.norm) <= 1),
 g AS (SELECT t.*, n.norm IS NOT NULL OR (f.norm IS NOT NULL AND (t.doc_id, t.line) > f.pos) AS gone

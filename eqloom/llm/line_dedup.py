@@ -2,8 +2,8 @@
 
 Lines are compared trimmed and lower-cased.  A line of `exact_chars` or more goes if an earlier
 line (by document id, then line number) is equal, one of `min_chars` or more also if an earlier
-one of that length is one edit away; blank lines stay.  op6 leaves lines under 24 characters
-alone, as its SQL does; the pipeline removes the later exact copies of every non-blank line.
+one of that length is one edit away; blank lines stay.  op6 and the pipeline remove the later exact
+copies of every non-blank line; a line under 24 characters says too little to go for a likeness.
 
 1. Equal lines meet by hash; a map-side minimum keeps the earliest place of each.
 2. Coarse variants: a line without one of three blocks, for both lengths that the shorter
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import bitmap, discard, join_counted, materialize, on_few, plain, text_slices, unused
+from eqloom.llm.common import bitmap, discard, join_counted, materialize, plain, text_slices, unused
 
 MIN_CHARS, BLOCKS, BITS = 24, 3, 23
 
@@ -131,11 +131,11 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Line numbers to remove as a mask over the lines up to the last of them."""
     for b in batches:
         lists = b.column("lines")
-        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        off, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
         most = np.maximum.reduceat(flat, off[:-1]) + 1 if len(lists) else np.zeros(0, np.int64)  # no list is empty
         ends = np.concatenate([[0], np.cumsum(most)])
         mask = np.zeros(ends[-1], bool)
-        mask[flat[off[0] : off[-1]] + np.repeat(ends[:-1], np.diff(off))] = True
+        mask[flat + np.repeat(ends[:-1], np.diff(off))] = True
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(mask)).cast(pa.list_(pa.bool_())), pa.array(np.diff(off).astype(np.int64))], ["id", "fp", "gone", "n"])
 
 
@@ -182,15 +182,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null with no lines; an empty text is one empty line.  A text may become
     empty.  Texts and lines may be of any length: lines are cut by a mask, in one pass over them.
     All other columns are passed through (a column that is itself called n_lines or
-    n_removed is replaced).  An empty table gives an empty table.  Only documents that lose lines are shuffled.
+    n_removed is replaced).  An empty table gives an empty table.
     """
     i, f, gone, n = unused([*docs.columns, "n_lines", "n_removed"], "_id", "_fp", "_gone", "_n")
     few = repeated_lines(docs, id_col, text_col, **how).select(F.col("id").alias(i), F.col("fp").alias(f), F.col("gone").alias(gone), F.col("n").alias(n))
     own_id, own_fp = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
     out = docs.drop("n_lines", "n_removed") if {"n_lines", "n_removed"} & {c.lower() for c in docs.columns} else docs
-    cut = lambda d: d.join(few, own_id.eqNullSafe(F.col(i)) & (own_fp == F.col(f)), "left").drop(i, f)
-    whole = lambda d: d.withColumns({gone: F.lit(None).cast("array<boolean>"), n: F.lit(None).cast("long")})
-    out = on_few(out, F.xxhash64(own_id, own_fp), few, F.xxhash64(i, f), cut, whole)
+    out = out.join(few, own_id.eqNullSafe(F.col(i)) & (own_fp == F.col(f)), "left").drop(i, f)
     keep = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, at: ~F.coalesce(F.get(F.col(gone), at), F.lit(False)))
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1))).cast("long")
     left = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
