@@ -99,7 +99,8 @@ def test_sketch_fills_and_estimates():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.08
 
 
-def test_lines_brute_force(spark, empty):
+@pytest.mark.parametrize("exact", [24, 1])
+def test_lines_brute_force(spark, empty, exact):
     r = random.Random(5)
     base = ["".join(r.choice("abcdef ä") for _ in range(r.randrange(25, 60))).strip() + "xyz0123456789012345678" for _ in range(15)]
     rows = []
@@ -124,16 +125,20 @@ def test_lines_brute_force(spark, empty):
         return row[-1] <= 1
 
     every = [((-1 if i is None else i, n), x.strip(" \t\n\r\v\f").lower()) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    first = {}
+    for p, x in every:
+        first[x] = min(p, first.get(x, p))
     every = [(p, x) for p, x in every if len(x) >= 24]
     df = spark.createDataFrame([(i, t, *["x"] * 2) for i, t in rows], "doc_id long, text string, h string, pos string")
-    got = {(x["doc_id"], x["n_lines"], x["n_removed"], x["text"]) for x in line_dedup.dedup_lines(df).collect()}
+    got = {(x["doc_id"], x["n_lines"], x["n_removed"], x["text"]) for x in line_dedup.dedup_lines(df, exact_chars=exact).collect()}
     want = set()
     for i, t in rows:
         if t is None:
             want.add((i, 0, 0, None))
             continue
         lines = t.split("\n")
-        keep = [x for n, x in enumerate(lines) if len(s := x.strip(" \t\n\r\v\f").lower()) < 24 or not any(p < (-1 if i is None else i, n) and near(s, y) for p, y in every)]
+        gone = lambda s, p: (len(s) >= exact and first[s] < p) or (len(s) >= 24 and any(q < p and near(s, y) for q, y in every))
+        keep = [x for n, x in enumerate(lines) if not gone(x.strip(" \t\n\r\v\f").lower(), (-1 if i is None else i, n))]
         want.add((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
     assert got == want
     assert line_dedup.dedup_lines(empty).count() == 0
