@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqloom.llm import decontam, line_dedup, minhash, packing, toxicity
-from eqloom.llm.common import materialize, on_few, unused
+from eqloom.llm.common import materialize, unused
 
 
 def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -32,11 +32,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is none of ids (one column, null included); only rows that may go are shuffled."""
+    """docs whose doc_id is none of ids (one column, null included)."""
     (gone,) = unused(docs.columns, "_gone")
-    ids = materialize(ids.toDF(gone).distinct(), "gone")
-    left = lambda d: d.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
-    return on_few(docs, F.xxhash64("doc_id"), ids, F.xxhash64(gone), left, lambda d: d)
+    ids = ids.toDF(gone).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat id and text one stays.  A null doc_id is linked with nothing; null, empty and blank texts stay.
     """
     near = minhash.near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    docs = _without(docs, near.where("not kept").select("doc_id"))
-    (again,) = unused(docs.columns, "_again")
-    repeated = materialize(docs.groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again), "repeated")
-    return on_few(docs, F.xxhash64("doc_id"), repeated, F.xxhash64(again), lambda d: d.dropDuplicates(["doc_id", "text"]), lambda d: d)
+    return _without(docs, near.where("not kept").select("doc_id")).dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
