@@ -70,7 +70,7 @@ def test_repeated_numbers_take_no_place():
 
 def test_later_formulas_choose_among_as_many_sentences_as_they_need(spark):
     names = "id long, eq_num string, eq_ord int"
-    eqs = spark.createDataFrame([(1, str(k), k) for k in range(1, 5)], names)
+    eqs = spark.createDataFrame([(1, str(k), k - 3) for k in range(1, 5)], names)  # places need not begin at 1
     cands = [(1, str(k), 10 - i, 1.0, i, 0, f"s{i}", "c", 0, ["eq_num"]) for k in range(1, 5) for i in range(9)]
     scored = spark.createDataFrame(cands, "id long, eq_num string, points int, score double, rank int, pos int, s string, chunk_id string, char_offset int, signals array<string>")
     assert sorted((r.eq_num, r.meaning) for r in M.choose(scored, eqs).collect()) == [(str(k), f"s{k - 1}") for k in range(1, 5)]
