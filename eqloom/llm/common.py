@@ -166,6 +166,16 @@ def give_back() -> None:
     state["trim"](0)
 
 
+def tidy(run):
+    """run over batches; what it held last goes back to the system, so a worker that waits for its next task holds little."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One chunk of strings with 64-bit offsets, nulls as empty texts."""
     if isinstance(col, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices
+from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices, tidy
 
 WINDOW, COVERAGE, CHUNK, RUN, BLOCK = 5, 0.8, 1_000_000, 13, 1 << 20
 UNITS = "% mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw v a pa k c f usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years percent degrees"
@@ -398,7 +398,7 @@ def _match(ix: Index, k: int, coverage: float):
                 out = [[ids[lo + p // len(ix.ids)] for p in cols[0]], [ix.ids[p % len(ix.ids)] for p in cols[0]], *map(list, cols[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string()))], ["id", "item", "coverage", "slots", "match"])
 
-    return run
+    return tidy(run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, chunk: int = CHUNK) -> DataFrame:

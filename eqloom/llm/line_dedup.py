@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import bitmap, discard, join_counted, materialize, plain, text_slices, unused
+from eqloom.llm.common import bitmap, discard, join_counted, materialize, plain, text_slices, tidy, unused
 
 MIN_CHARS, BLOCKS, BITS = 24, 3, 23
 
@@ -96,7 +96,7 @@ def _lines(min_chars: int, exact_chars: int, blocks: int):
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[idx[once]].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), b.column("fp").take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(hs[idx].view(np.int64)), lists], ["id", "fp", "line", "h", "keys"])
 
-    return run
+    return tidy(run)
 
 
 def _texts(held: np.ndarray, bits: int):
@@ -112,7 +112,7 @@ def _texts(held: np.ndarray, bits: int):
                 hit = np.nonzero((held[x >> 3] >> (x & 7).astype(np.uint8)) & 1)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(hs[hit].view(np.int64)), pa.array([uniq[i] for i in hit], pa.string())], ["h", "norm"])
 
-    return run
+    return tidy(run)
 
 
 def _variants(blocks: int):

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import as_long, discard, materialize, mix, ngram_hashes, plain, split_words, text_slices, word_hashes
+from eqloom.llm.common import as_long, discard, materialize, mix, ngram_hashes, plain, split_words, text_slices, tidy, word_hashes
 from eqloom.llm.components import connected_components
 
 BANDS, ROWS, BLOCK, SHINGLES = 30, 5, 512, 2_000_000
@@ -96,7 +96,7 @@ def _sketch_pass(k: int, bands: int, rows: int):
                     ["id", "n", "fp1", "fp2", "bands", "z"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _linked(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:

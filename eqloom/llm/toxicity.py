@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices, unit_hash
+from eqloom.llm.common import dictionary, mix, ngram_hashes, plain, split_words, text_slices, tidy, unit_hash
 
 BITS, PER_CLASS, EPOCHS = 20, 2500, 6
 EDGE = b".,;:!?\"'()[]{}<>|*#%&$-_~`"
@@ -169,4 +169,4 @@ def keep(docs: DataFrame, model: Weights, least: float, text_col: str = "text")
             for lo, hi in text_slices(texts):
                 yield b.slice(lo, hi - lo).filter(pa.array(probability(texts.slice(lo, hi - lo)) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -1,6 +1,9 @@
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -566,3 +569,35 @@ def test_pipeline(spark, sf):
     out = p.run(spark, sf)
     assert out.select("doc_id").distinct().count() == rows[4].count()
     assert out.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n <> doc_tokens").isEmpty()
+
+
+def test_a_packing_worker_holds_little():
+    """Over 4 MB of texts full of different words: memory beyond the start, at most and when the task has ended."""
+    code = """
+import re, threading, time
+import numpy as np, pyarrow as pa, public_tokenizers
+import pyspark.worker
+from eqloom.llm import packing
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+path = public_tokenizers.path("word_bpe_49k.json")
+packing._encoder(path)
+rng = np.random.default_rng(1)
+texts = [" ".join(f"w{x}-{x % 7}" for x in rng.integers(0, 60_000, 250)) for _ in range(2000)]
+b = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["id", "text"])
+del texts
+start, most, on = held(), [0.0], [True]
+def watch():
+    while on[0]:
+        most[0] = max(most[0], held())
+        time.sleep(0.005)
+w = threading.Thread(target=watch)
+w.start()
+rows = sum(o.num_rows for o in packing._pieces(path, 4096, 1024, 2, True)(iter([b])))
+end, on[0] = held(), False
+w.join()
+print(rows, most[0] - start, end - start)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=120)
+    rows, most, end = map(float, out.stdout.split())
+    print(out.stdout)
+    assert rows >= 2000 and most < 90 and end < 45
