@@ -83,3 +83,39 @@ def test_kept_tables_leave_no_shuffle_files(spark):
     before = files()
     keep(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
     assert files() <= before
+
+
+def test_passages_are_numbered_without_a_shuffle_of_their_own(spark, sf, monkeypatch):
+    """A paper's paragraphs come together once; no table of paragraphs is written, and no passage is sorted among all."""
+    nodes = H.nodes(papers.pages(spark, sf).where("id < 20"), "id", "html", D.PARTS, D.CAP)
+    eqs, kept = keep(D.equations(nodes), "equations"), {}
+    monkeypatch.setattr(D, "keep", lambda df, tag: kept.setdefault(tag, df))
+    D.passages(nodes, eqs)
+    assert list(kept) == ["chunks"]
+    assert "Window" not in kept["chunks"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_passages_of_odd_papers(spark):
+    """Repeated paragraph ids, numbers in any order, a repeated number, a table beside no formula, an empty paragraph, a null section."""
+    names = "id long, kind string, ord int, elem_id string, para_id string, section_id string, text string, method string, number string, before string, after string, title string"
+    row = lambda kind, at, para, text=None, number=None, method=None, sec="S1", before=None, after=None, title=None: (1, kind, at, None, para, sec, text, method, number, before, after, title)
+    spot = lambda at, para, number, before="", after="", **how: row("spot", at, para, number=number, method="child", before=before, after=after, **how)
+    nodes = [row("para", 5, "p2", "Second one here. Another follows it."), row("para", 1, "p1", "First of them all.", title="T"), row("para", 7, "p1", ""), row("para", 9, "p1", "Short. Third with a repeated id.", sec=None)]
+    nodes += [spot(6, "p2", "10", "It is said."), spot(2, "p1", "9", "So it was.", title="T"), spot(3, "p1", "9", "Not this."), spot(4, "p1", "A.1", "Odd number."), spot(8, None, "3", "Nowhere."), spot(11, "p2", "77", "No formula.")]
+    eqs = spark.createDataFrame([(1, n, i + 3, f"x_{n}") for i, n in enumerate(["10", "9", "A.1", "3"])], "id long, eq_num string, eq_ord int, equation string")
+    got = D.passages(spark.createDataFrame(nodes, names), eqs).orderBy("chunk_ord").collect()
+    assert [r.chunk_ord for r in got] == list(range(len(got)))
+    p1, p2 = ["9", "A.1"], ["10", "77"]
+    assert [(r.chunk_type[:4], r.text, r.para_id, r.section_id, r.eq_nums, r.char_offset) for r in got] == [
+        ("sent", "First of them all.", "p1", "S1", p1, 0),
+        ("sent", "Second one here.", "p2", "S1", p2, 0),
+        ("sent", "Another follows it.", "p2", "S1", p2, 17),
+        ("sent", "Third with a repeated id.", "p1", "", p1, 7),
+        ("para", "First of them all.", "p1", "S1", p1, 0),
+        ("para", "Second one here. Another follows it.", "p2", "S1", p2, 0),
+        ("para", "Short. Third with a repeated id.", "p1", "", p1, 0),
+        ("equa", "Nowhere. x_3", "", "S1", [], 0),
+        ("equa", "T So it was. x_9", "p1", "S1", p1, 0),
+        ("equa", "It is said. x_10", "p2", "S1", p2, 0),
+        ("equa", "Odd number. x_A.1", "p1", "S1", p1, 0),
+    ]

@@ -85,3 +85,9 @@ def test_spot_keeps_the_prose_of_both_sides():
 
 def test_null_page(spark):
     assert H.nodes(spark.createDataFrame([(1, None)], "i long, h string"), "i", "h").count() == 0
+
+
+def test_equal_attributes_are_read_once():
+    a, b, c = H.tree('<p class="x y" id=1>a</p><p class="x y" id=1>b</p><p class="x z" id=1>c</p>').kids
+    assert a.attrs is b.attrs and a.attrs == {"class": "x y", "id": "1"} and b.classes == ["x", "y"]
+    assert c.classes == ["x", "z"] and (a.raw(), b.raw()) == ("a", "b")
