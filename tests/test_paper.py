@@ -118,3 +118,11 @@ def test_a_table_that_comes_again_is_read_like_the_first():
     for i, page in enumerate(pages):
         assert list(H.rows(i, page, H.KINDS, 7, seen)) == list(H.rows(i, page, H.KINDS, 7))
     assert len(seen[H.TABLES]) == 1
+
+
+def test_entries_are_read_once_for_all_their_faults(spark):
+    texts = spark.range(1).select(F.lit('{"p": {"1": {"relations": {"2": {"grade": "odd", "description": ""}, "4": {"grade": "none"}}}, "2": {}, "3": {"relations": []}}, "q": {}}').alias("value"))
+    v = K.violations(K.read_document(texts))
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = {(r.eq_num, r.problem) for r in v.collect() if "relation" in r.problem}
+    assert got == {("1", "bad relation to 2"), ("1", "bad relation to 4"), ("1", "no relation to 3"), ("1", "relations without audit"), ("2", "missing field relations"), ("3", "relations is no object")} | {(a, f"no relation to {b}") for a in "23" for b in "123" if a != b}
