@@ -1,5 +1,6 @@
 """The analysis of a paper in one pass against the column expressions, and what it takes of the engine."""
 
+import json
 import random
 
 import pytest
@@ -58,6 +59,23 @@ def test_written_pages(spark, sf):
     same(spark, papers.pages(spark, sf).where("id < 60"))
 
 
+def test_documents_are_those_of_the_tables(spark, sf):
+    """What a worker writes is what the tables of the expressions give, in the same order."""
+    rng = random.Random(6)
+    odd = spark.createDataFrame([(i, odd_page(rng).replace("the ", 'the "\\x1f\\n" ')) for i in range(60)] + [(900, None), (901, ""), (902, "<p>no formula")], "id long, html string")
+    for pages in (odd, papers.pages(spark, sf).where("id < 40")):
+        at_once = K.at_once(pages, "id", "html")
+        got = {r.id: json.loads(r.json, object_pairs_hook=list) for r in at_once["document"].collect()}
+        other = K.analyse(pages, "id", "html", pdf_lines=spark.createDataFrame([], "id long, page int, line_no int, line string"))["document"]
+        assert got == {r.id: json.loads(r.json, object_pairs_hook=list) for r in other.collect()} and len(got) > 20
+
+
+def test_documents_are_not_shuffled(spark, sf, monkeypatch):
+    monkeypatch.setattr(K, "keep", lambda df, tag: pytest.fail("the document needs no table"))
+    plan = K.at_once(papers.pages(spark, sf).repartition(64), "id", "html")["document"]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("Join", "Aggregate", "Window", "Sort") if x in plan]
+
+
 @pytest.mark.parametrize("name", ["symbols", "relations"])
 def test_pages_are_not_shuffled_for_a_table(spark, sf, monkeypatch, name):
     plans = []
