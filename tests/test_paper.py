@@ -76,6 +76,19 @@ def test_documents_are_not_shuffled(spark, sf, monkeypatch):
     assert not [x for x in ("Join", "Aggregate", "Window", "Sort") if x in plan]
 
 
+def test_pages_are_dealt_out_in_several_rounds(spark):
+    """One part more than cores would take twice as long as one less."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("Some words of it. More words follow here.").alias("text"))
+    assert H.templated(docs.repartition(cores + 1)).rdd.getNumPartitions() == 4 * cores and H.templated(docs.repartition(4 * cores + 1)).rdd.getNumPartitions() == 4 * cores + 1
+    pages = H.templated(docs.repartition(cores + 1))
+    assert {r.id for r in pages.collect()} == set(range(100))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs(None))
+    P.documents(pages, "id", "html")
+    assert len(jobs(None)) == before  # the dealing waits until rows are asked for
+
+
 @pytest.mark.parametrize("name", ["symbols", "relations"])
 def test_pages_are_not_shuffled_for_a_table(spark, sf, monkeypatch, name):
     plans = []
